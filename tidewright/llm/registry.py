@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.llm import packing, substring_dedup
+from tidewright.llm import packing, substring_dedup, suffix_dedup
 
-_MODULES = (substring_dedup, packing)
+_MODULES = (substring_dedup, packing, suffix_dedup)
 
 
 def queries() -> dict:
