@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.llm import packing, substring_dedup, suffix_dedup
+from tidewright.llm import fingerprint, packing, substring_dedup, suffix_dedup, warc
 
-_MODULES = (substring_dedup, packing, suffix_dedup)
+_MODULES = (substring_dedup, warc, packing, fingerprint, suffix_dedup)
 
 
 def queries() -> dict:
