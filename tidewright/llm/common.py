@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -35,11 +36,14 @@ def _context_dir(spark: SparkSession) -> str | None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder."""
+    """Cuts the lineage with a checkpoint in the shared folder, and lets go of shuffles that nothing needs any more."""
     where = shared_dir(df.sparkSession)
     if not _context_dir(df.sparkSession):
         df.sparkSession.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector
+    return out
 
 
 def split_words(text: Column) -> Column:

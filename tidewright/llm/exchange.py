@@ -26,19 +26,19 @@ KEY_BYTES = 5
 Emit = Callable[[pa.Table], np.ndarray]
 
 
-def pack(keys: np.ndarray, flags: np.ndarray) -> bytes:
-    """Low 40 bits of each key, then the flag bits."""
-    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+def pack(keys: np.ndarray, flags: np.ndarray, width: int = KEY_BYTES) -> bytes:
+    """The low bytes of each key, then the flag bits."""
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     return low.tobytes() + np.packbits(flags).tobytes()
 
 
-def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(body) * 8 // (KEY_BYTES * 8 + 1)
-    while n * KEY_BYTES + (n + 7) // 8 > len(body):
+def unpack(body: bytes, width: int = KEY_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    n = len(body) * 8 // (width * 8 + 1)
+    while n * width + (n + 7) // 8 > len(body):
         n -= 1
     keys = np.zeros((n, 8), np.uint8)
-    keys[:, :KEY_BYTES] = np.frombuffer(body, np.uint8, n * KEY_BYTES).reshape(-1, KEY_BYTES)
-    return keys.view("<u8").ravel(), np.unpackbits(np.frombuffer(body, np.uint8, offset=n * KEY_BYTES), count=n).astype(bool)
+    keys[:, :width] = np.frombuffer(body, np.uint8, n * width).reshape(-1, width)
+    return keys.view("<u8").ravel(), np.unpackbits(np.frombuffer(body, np.uint8, offset=n * width), count=n).astype(bool)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,6 +86,41 @@ def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.n
     return dealt.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT)
 
 
+def weights(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int, width: int = 4) -> DataFrame:
+    """As ``repeated``, but the answer is a byte per key: over all chunks that hold it, the sum of 1, or of 2
+    where the chunk flags it; at most 255.
+
+    So 1 means a single unflagged occurrence.  Two keys that agree in bucket and
+    low bytes share a weight; the weight is still one and the same wherever a key occurs.
+    """
+
+    def send(t: pa.Table) -> pa.Table:
+        chunk = t["chunk"][0].as_py()
+        keys, flags = emit(t)
+        order, cuts = by_bucket(keys, buckets)
+        keys, flags = keys[order], flags[order]
+        rows = [(b, pack(keys[i:j], flags[i:j], width)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        return sent(chunk, rows)
+
+    def answer(t: pa.Table) -> pa.Table:
+        parts = [unpack(x, width) for x in t["body"].to_pylist()]
+        keys, flags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        _, inverse = np.unique(keys, return_inverse=True)
+        told = np.minimum(np.bincount(inverse, weights=1 + flags), 255).astype(np.uint8)[inverse]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array([told[j - len(p[0]) : j].tobytes() for p, j in zip(parts, ends, strict=True)], pa.binary())})
+
+    return dealt.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT)
+
+
+def read_weights(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+    out = np.zeros(len(keys), np.uint8)
+    order, cuts = by_bucket(keys, buckets)
+    for b, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True):
+        out[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(body, np.uint8)
+    return out
+
+
 def sent(chunk: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "body": pa.array([x for _, x in rows], pa.binary())})
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.llm import fingerprint, packing, substring_dedup, suffix_dedup, warc
+from tidewright.llm import decontaminate, fingerprint, jaccard_join, packing, pii, substring_dedup, suffix_dedup, warc
 
-_MODULES = (substring_dedup, warc, packing, fingerprint, suffix_dedup)
+_MODULES = (substring_dedup, warc, packing, fingerprint, pii, suffix_dedup, decontaminate, jaccard_join)
 
 
 def queries() -> dict:
