@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidewright.llm import decontaminate, fingerprint, jaccard_join, packing, pii, substring_dedup, suffix_dedup, warc
+import corpus_pipeline
+from tidewright.llm import decontaminate, fingerprint, jaccard_join, line_dedup, packing, pii, quality, substring_dedup, suffix_dedup, warc
 
-_MODULES = (substring_dedup, warc, packing, fingerprint, pii, suffix_dedup, decontaminate, jaccard_join)
+_MODULES = (substring_dedup, line_dedup, warc, packing, quality, fingerprint, pii, suffix_dedup, decontaminate, jaccard_join)
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
+    found = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
+    return {**found, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    found = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
