@@ -41,3 +41,7 @@ class Spans:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * _powers("down", self.n + 1)[start])
+
+    def every(self, size: int) -> np.ndarray:
+        """Of each span of this size, without the finaliser."""
+        return (self.sums[size:] - self.sums[:-size]) * _powers("down", self.n + 1)[: self.n - size + 1]

@@ -38,6 +38,7 @@ from tidewright.llm.substring_dedup import _gather, member
 
 LENGTH, GRAM = 50, 20
 BATCH = 1 << 20
+SORTED = 1 << 20  # bytes of segments in one suffix array
 LAST = np.iinfo(np.int64).max
 _LEN = U(0xA24BAED4963EE407)
 
@@ -57,15 +58,12 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     """
     n = len(data)
     depth = min(depth or n, n)
-    # the end of the data sorts before a zero byte, but ranks of 8 bytes can't tell; the length settles it
+    # a word can't tell a missing byte from a zero; only the last seven suffixes have missing ones
     head_word = words8(data)
     tail = np.minimum(n - np.arange(n), 8)
-    order = np.argsort(head_word, kind="stable") if n > 8 else np.lexsort((tail, head_word))
-    if n > 8:  # only the last seven suffixes are shorter than a word
-        short = np.arange(n) >= n - 7
-        same = head_word[order]
-        if np.isin(head_word[short], same[~short[order]]).any() or len(np.unique(head_word[short])) < 7:
-            order = np.lexsort((tail, head_word))
+    short = head_word[max(0, n - 7) :]
+    plain = n > 7 and not np.isin(head_word[: n - 7], short).any() and len(np.unique(short)) == len(short)
+    order = np.argsort(head_word) if plain else np.lexsort((tail, head_word))
     key, length = head_word[order], tail[order]
     head = np.concatenate([[True], (key[1:] != key[:-1]) | (length[1:] != length[:-1])]) if n else np.zeros(0, bool)
     first = np.flatnonzero(head)
@@ -81,14 +79,12 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
         after = at + known
         follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         composite = (rank[at].astype(U) << U(32)) | follow.astype(U)
-        o = np.argsort(composite, kind="stable")
+        o = np.argsort(composite)
         at, composite = at[o], composite[o]
         order[tied] = at
-        group = composite >> U(32)
         fresh = np.concatenate([[True], composite[1:] != composite[:-1]])
         rank_of = tied[np.flatnonzero(fresh)]
         rank[at] = np.repeat(rank_of, np.diff(np.concatenate([np.flatnonzero(fresh), [len(at)]])))
-        del group
         head[tied] = fresh
         first = np.flatnonzero(head)
         known *= 2
@@ -106,7 +102,7 @@ def windows_equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int)
 def smallest_owner(data: np.ndarray, windows: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For each window (its first byte), the smallest owner of all windows with the same bytes."""
     _, rank = suffix_array(data, length)
-    order = windows[np.argsort(rank[windows], kind="stable")]
+    order = windows[np.argsort(rank[windows])]
     words = words8(data)
     head = np.flatnonzero(np.concatenate([[True], ~windows_equal(words, order[1:], order[:-1], length)]))
     place = np.zeros(len(data), np.int64)
@@ -124,33 +120,29 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         z = np.zeros(0, np.int64)
         return z, z, z.astype(U), z.astype(U), z
     spans = Spans(BYTE_CODES[data])
-    at = np.arange(n - gram + 1)
-    low = spans.of(at, at + gram)
+    low = spans.every(gram)
     width, have = length - gram + 1, 1
     while have * 2 <= width:
         low, have = np.minimum(low[:-have], low[have:]), have * 2
     if have < width:
-        low = np.minimum(low[: starts], low[width - have : width - have + starts])
-    cross = np.zeros(starts + 1, np.int64)
-    np.add.at(cross, np.clip(offsets[1:] - length + 1, offsets[:-1], None).clip(0, starts), 1)
-    np.add.at(cross, offsets[1:].clip(0, starts), -1)
-    valid = np.cumsum(cross[:-1]) == 0
-    edge = np.concatenate([[True], (low[1:] != low[:-1]) | (valid[1:] != valid[:-1])])
-    begin = np.zeros(starts + 1, bool)
-    begin[offsets[:-1].clip(0, starts)] = True
-    edge |= begin[:-1]
-    first = np.flatnonzero(edge)
+        low = np.minimum(low[:starts], low[width - have : width - have + starts])
+    # segments also end where a document does; of those, the ones that run into the next document go
+    stops = np.concatenate([offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])])
+    first = np.concatenate([np.flatnonzero(low[1:] != low[:-1]) + 1, stops[stops < starts]])
+    first.sort()
+    first = first[np.concatenate([[True], first[1:] != first[:-1]])]
     last = np.concatenate([first[1:], [starts]]) - 1
-    use = valid[first]
-    first, last = first[use], last[use]
-    key = low[first]
+    doc = np.searchsorted(offsets, first, side="right") - 1
+    use = last + length <= offsets[doc + 1]
+    first, last, doc = first[use], last[use], doc[use]
+    key = mix(low[first])
     name = mix(spans.of(first, last + length) + (last - first).astype(U) * _LEN + key)
-    return first, last, key, name, np.searchsorted(offsets, first, side="right") - 1
+    return first, last, key, name, doc
 
 
 def least_by(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, sorted; the place of one; the smallest and the largest document of each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, d = keys[order], docs[order]
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     if not len(k):
@@ -169,27 +161,34 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
     def ids_of(t: pa.Table) -> np.ndarray:
         return np.asarray(t["doc_id"].fill_null(LAST))
 
-    def parsed(t: pa.Table):
+    def parsed(t: pa.Table) -> list[tuple]:
+        """The segments of a chunk, batch by batch; the texts stay where Arrow has them."""
+        out = []
         for part in X.batches(t, BATCH):
             data, offsets = X.buffers(part)
             first, last, key, name, doc = segments(data, offsets, length, gram)
-            yield part, data, offsets, first, last, key, name, ids_of(part)[doc] if len(doc) else doc
+            out.append((part, data, offsets, first, last, key, name, ids_of(part)[doc] if len(doc) else doc))
+        return out
 
-    def keys_of(t: pa.Table):
+    def keys_of(batches: list[tuple]):
         keys, ids = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for *_, key, _, doc in parsed(t):
+        for *_, key, _, doc in batches:
             keys.append(key), ids.append(doc)
         keys, _, least, most = least_by(np.concatenate(keys), np.concatenate(ids))
         return keys, least != most
 
+    def emit(t: pa.Table):
+        return keys_of(parsed(t))
+
     def offer(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.sent(0, [])
-        keys, _ = keys_of(t)
+        batches = parsed(t)
+        keys, _ = keys_of(batches)
         hot = keys[X.read_flags(answers, keys, buckets)]
         found, texts = [], []
         base = 0
-        for _, data, _, first, last, own, name, doc in parsed(t):
+        for _, data, _, first, last, own, name, doc in batches:
             use = np.flatnonzero(member(own, hot))
             names, at, least, _ = least_by(name[use], doc[use])
             at = use[at]
@@ -206,30 +205,36 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
         for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if j > i:
                 o = order[i:j]
-                body = np.array([j - i], "<u8").tobytes() + name[o].astype("<u8").tobytes() + doc[o].astype("<i8").tobytes() + size[o].astype("<u4").tobytes()
+                body = np.array([j - i], "<u8").tobytes() + name[o].astype("<u8").tobytes() + doc[o].astype("<i8").tobytes() + size[o].astype("<u4").tobytes() + (own[o] & U(255)).astype(np.uint8).tobytes()
                 rows.append((b, body + text[_gather(begin[o], size[o])].tobytes()))
         return X.sent(key[0].as_py(), rows)
 
     def judge(t: pa.Table) -> pa.Table:
-        name, doc, size, text, counts = [], [], [], [], []
+        name, doc, size, part, text, counts = [], [], [], [], [], []
         for body in t["body"].to_pylist():
             n = int(np.frombuffer(body, "<u8", 1)[0])
             name.append(np.frombuffer(body, "<u8", n, 8))
             doc.append(np.frombuffer(body, "<i8", n, 8 + 8 * n))
             size.append(np.frombuffer(body, "<u4", n, 8 + 16 * n).astype(np.int64))
-            text.append(np.frombuffer(body, np.uint8, offset=8 + 20 * n))
+            part.append(np.frombuffer(body, np.uint8, n, 8 + 20 * n))
+            text.append(np.frombuffer(body, np.uint8, offset=8 + 21 * n))
             counts.append(n)
-        name, doc, size, text = (np.concatenate(x) for x in (name, doc, size, text))
+        name, doc, size, part, text = (np.concatenate(x) for x in (name, doc, size, part, text))
         begin = np.cumsum(size) - size
         distinct, at, doc, _ = least_by(name, doc)
-        begin, span = begin[at], size[at]
-        text = text[_gather(begin, span)]
-        begin = np.cumsum(span) - span
+        begin, span, part = begin[at], size[at], part[at]
         wins = span - length + 1
-        windows = _gather(begin, wins)
-        least = smallest_owner(text, windows, np.repeat(doc, wins), length)
-        # runs of windows with one owner, by segment
         opens = np.cumsum(wins) - wins
+        least = np.empty(int(wins.sum()), np.int64)
+        # equal windows have equal keys: sorted are as many keys at a time as make about SORTED bytes
+        weight = np.cumsum(np.bincount(part, weights=span, minlength=256))
+        group = (weight[part] / SORTED).astype(np.int64)
+        for g in np.unique(group):
+            s = np.flatnonzero(group == g)
+            local = text[_gather(begin[s], span[s])]
+            starts = np.cumsum(span[s]) - span[s]
+            least[_gather(opens[s], wins[s])] = smallest_owner(local, _gather(starts, wins[s]), np.repeat(doc[s], wins[s]), length)
+        # runs of windows with one owner, by segment
         edge = np.concatenate([[True], least[1:] != least[:-1]])
         edge[opens] = True
         runs = np.flatnonzero(edge)
@@ -247,14 +252,15 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         out: dict[str, list] = {k: [] for k in names}
-        if t.num_rows:
+        batches = parsed(t) if t.num_rows else []
+        if batches:
             stage = both["stage"].to_numpy()
-            keys, _ = keys_of(t)
+            keys, _ = keys_of(batches)
             hot = keys[X.read_flags(both.filter(pa.array(stage == 0)), keys, buckets)]
             verdicts = both.filter(pa.array(stage == 1))
             # the distinct segments in the order in which they were offered
             segs = [np.zeros(0, U)], [np.zeros(0, U)]
-            for _, _, _, _, _, own, name, _ in parsed(t):
+            for _, _, _, _, _, own, name, _ in batches:
                 use = np.flatnonzero(member(own, hot))
                 segs[0].append(name[use]), segs[1].append(own[use])
             name, at = np.unique(np.concatenate(segs[0]), return_index=True)
@@ -272,7 +278,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
                 leasts.append(np.frombuffer(body, "<i8", total, 4 * (len(o) + total)))
                 base += total
             begin, least = np.concatenate(begins), np.concatenate(leasts)
-        for part, data, offsets, first, last, own, segment, doc in parsed(t):
+        for part, data, offsets, first, last, own, segment, doc in batches:
             gone = np.zeros(len(data) + 1, np.int64)
             use = np.flatnonzero(member(own, hot))
             if len(use):
@@ -307,7 +313,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
                 out["kept"] += kept
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=False)})
 
-    answers = X.repeated(dealt, keys_of, buckets)
+    answers = X.repeated(dealt, emit, buckets)
     offers = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(offer, X.SENT)
     verdicts = offers.groupBy("bucket").applyInArrow(judge, X.SENT)
     both = answers.withColumn("stage", F.lit(0)).unionByName(verdicts.withColumn("stage", F.lit(1)))
