@@ -194,31 +194,34 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
     # white space at the end keeps the documents of a batch apart
     dealt = X.deal(docs.select(F.col(id_col).alias("doc_id"), F.concat(F.coalesce(text_col, F.lit("")), F.lit(" ")).alias("text")), chunks)
 
-    def parsed(t: pa.Table):
+    def parsed(t: pa.Table) -> list[tuple]:
+        """Words and segments of a chunk, batch by batch; the texts stay where Arrow has them."""
+        out = []
         for part in X.batches(t, BATCH):
             data, offsets = X.buffers(part)
             w = words_of(data, offsets)
-            yield part, data, offsets, w, segments(w, window)
+            out.append((part, data, offsets, w, segments(w, window)))
+        return out
 
-    def keys_of(t: pa.Table):
-        return _counted(np.concatenate([np.zeros(0, U), *(s.key for *_, s in parsed(t))]))
+    def keys_of(batches: list[tuple]):
+        return _counted(np.concatenate([np.zeros(0, U), *(s.key for *_, s in batches)]))
 
     def emit(t: pa.Table):
-        keys, counts = keys_of(t)
+        keys, counts = keys_of(parsed(t))
         return keys, counts > 1
 
-    def chosen(t: pa.Table, answers: pa.Table):
-        """The repeated keys, then the distinct segments that have them, in a fixed order."""
-        keys, _ = keys_of(t)
+    def chosen(batches: list[tuple], answers: pa.Table):
+        keys, _ = keys_of(batches)
         return keys[X.read_flags(answers, keys, buckets)]
 
     # per distinct segment: name, key, count, number of windows; then the hashes of the windows
     def offer(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.sent(0, [])
-        hot = chosen(t, answers)
+        batches = parsed(t)
+        hot = chosen(batches, answers)
         found = []
-        for *_, s in parsed(t):
+        for *_, s in batches:
             use = member(s.key, hot)
             name, at, counts = np.unique(s.name[use], return_index=True, return_counts=True)
             first, size = s.first[use][at], (s.last - s.first + 1)[use][at]
@@ -264,10 +267,11 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
             return pa.table({k: pa.array([], pa.string() if k.startswith("kept") else pa.int64()) for k in out if keep_text or k != "kept"})
         stage = both["stage"].to_numpy()
         answers, verdicts = both.filter(pa.array(stage == 0)), both.filter(pa.array(stage == 1))
-        hot = chosen(t, answers)
+        batches = parsed(t)
+        hot = chosen(batches, answers)
         # the distinct segments once more, in the order in which they were offered
         names, keys, sizes = [], [], []
-        for *_, s in parsed(t):
+        for *_, s in batches:
             use = member(s.key, hot)
             name, at = np.unique(s.name[use], return_index=True)
             names.append(name), keys.append(s.key[use][at]), sizes.append((s.last - s.first + 1)[use][at])
@@ -279,7 +283,7 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
         for b, body in zip(verdicts["bucket"].to_pylist(), verdicts["body"].to_pylist(), strict=True):
             o = order[cuts[b] : cuts[b + 1]]
             flags[_gather(base[o], size[o])] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(size[o].sum())).astype(bool)
-        for part, data, offsets, w, s in parsed(t):
+        for part, data, offsets, w, s in batches:
             gone = np.zeros(len(w.code) + 1, np.int64)
             use = np.flatnonzero(member(s.key, hot))
             if len(use):
