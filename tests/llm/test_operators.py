@@ -1,0 +1,483 @@
+"""Each training-data operator against brute force, on the driver's smallest tables and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from tidewright.llm import decontaminate, fingerprint, jaccard_join, line_dedup, packing, pii, quality, registry, substring_dedup, suffix_dedup, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# columns whose names the operators use inside
+CLASH = ("chunk", "bucket", "body", "digest", "vertex", "n", "hash", "key", "doc", "lines", "words", "rank", "kept", "evidence", "codes", "base", "size", "salt", "first_id")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def prose(seed, n, vocabulary=400):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+LONG = prose(99, 30_000, 5_000)
+BASE = prose(1, 200)
+
+
+def _rows():
+    near = BASE.split()
+    near[50] = near[120] = "changed"
+    swapped = "  ".join(x.upper() if i % 7 == 0 else x for i, x in enumerate(BASE.split()))
+    run = "x " * 36
+    texts = [None, "", " \n\t ", "one", "one two three", "One TWO three", BASE, BASE, " ".join(near), swapped, run, "x " * 35, "y " * 17 + "z " * 60, "q " + "y " * 20 + "z " * 60, LONG, LONG[:60_000] + " tail", "é" * 120, "é" * 120 + "ü", "a" * 500, "a" * 90, "\x1c \x85 \xa0 odd spaces", "line one of eleven words here to be counted as enough\n" + BASE, BASE + "\nline one of eleven words here to be counted as enough\nlast"]
+    return [(i, t, "src0" if i % 3 else None, None if i % 5 == 0 else "en") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    rows = [*_rows(), (None, BASE, None, None), (None, None, "s", "en"), _rows()[6], _rows()[14]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for c in CLASH:
+        df = df.selectExpr("*", f"'clash' AS {c}")
+    return df.repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def table(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+def pairs_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def same(got, want):
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+# --- 1
+
+
+def _cut_windows(docs, k):
+    seen = Counter(tuple(w[p : p + k]) for _, t in docs for w in [words(t)] for p in range(len(w) - k + 1))
+    for i, t in docs:
+        w = words(t)
+        gone = [False] * len(w)
+        for p in range(len(w) - k + 1):
+            if seen[tuple(w[p : p + k])] > 1:
+                gone[p : p + k] = [True] * k
+        yield i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("source", "chunks", "window"), [("edge", None, 35), ("edge", 4, 5), ("table", 3, 35)])
+def test_substrings(request, source, chunks, window):
+    df = request.getfixturevalue(source)
+    got = substring_dedup.deduplicate(df, window, chunks=chunks).collect()
+    same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], _cut_windows(pairs_of(df), window))
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
+def test_symbols_of_equal_windows_agree():
+    rng = np.random.default_rng(5)
+    block = rng.integers(0, 4, 60).astype(np.uint64)
+    for _ in range(50):
+        stream = np.concatenate([rng.integers(0, 4, 30).astype(np.uint64), block, rng.integers(0, 4, 30).astype(np.uint64)])
+        mark = np.zeros(len(stream), bool)
+        mark[[0, -1]] = True
+        name, at, to, left, right, m = substring_dedup.recompress(stream + np.uint64(9), mark)
+        inside = {(n, a - 30, b - 30) for n, a, b, x, y in zip(name, at, to, left, right, strict=True) if x >= 30 and y <= 90}
+        alone = np.concatenate([[np.uint64(77)], block, [np.uint64(78)]])
+        mark = np.zeros(len(alone), bool)
+        mark[[0, -1]] = True
+        name, at, to, left, right, m = substring_dedup.recompress(alone + np.uint64(9), mark)
+        assert inside == {(n, a - 1, b - 1) for n, a, b, x, y in zip(name, at, to, left, right, strict=True) if x >= 1 and y <= 61}
+
+
+# --- 8
+
+
+def _cut_bytes(docs, k):
+    docs = [(i, (t or "").encode()) for i, t in docs]
+    order = lambda i: float("inf") if i is None else i
+    least = {}
+    for i, b in docs:
+        for p in range(len(b) - k + 1):
+            s = b[p : p + k]
+            least[s] = min(least.get(s, float("inf")), order(i))
+    for i, b in docs:
+        level = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - k + 1):
+            if least[b[p : p + k]] < order(i):
+                level[p] += 1
+                level[p + k] -= 1
+        gone = np.cumsum(level)[: len(b)] > 0
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+        yield i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize(("source", "chunks"), [("edge", None), ("edge", 4), ("table", 3)])
+def test_suffixes(request, source, chunks):
+    df = request.getfixturevalue(source)
+    got = suffix_dedup.deduplicate(df, chunks=chunks).collect()
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], _cut_bytes(pairs_of(df), 50))
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
+
+
+def test_suffix_array():
+    rng = random.Random(3)
+    for _ in range(200):
+        b = bytes(rng.choice([0, 97, 98, 255]) for _ in range(rng.randrange(1, 80)))
+        order, _ = suffix_dedup.suffix_array(np.frombuffer(b, np.uint8))
+        assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+# --- 2
+
+
+def test_patience():
+    a, b = [1, 2, 3, 4, 5, 6], [9, 1, 2, 7, 4, 5, 6]
+    assert line_dedup.patience(a, b) == [(0, 1), (1, 2), (3, 4), (4, 5), (5, 6)]
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(8) for _ in range(rng.randrange(12))] for _ in range(2))
+        found = line_dedup.patience(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+    assert line_dedup.patience(a, a) == [(i, i) for i in range(len(a))]
+
+
+def _lines(docs, rare=line_dedup.RARE, least=line_dedup.MIN_WORDS):
+    """The same rules, document by document in plain Python, over distinct (id, text)."""
+    distinct = {(i is None, i or 0, t or "") for i, t in docs}
+    clean = {d: [re.sub(r"[\x09-\x0D]", " ", x).strip(" ") for x in d[2].split("\n")] for d in distinct}
+    have = defaultdict(set)
+    for d, ls in clean.items():
+        for x in ls:
+            if x:
+                have[x].add(d)
+    out = {}
+    for d, ls in clean.items():
+        shared = {(len(have[x]), min(have[x])) for x in ls if x and len(have[x]) > 1}
+        floor = max(rare, min((n for n, _ in shared), default=0))
+        gone = set()
+        for owner in {o for n, o in shared if n <= floor and o != d}:
+            gone.update(line_dedup.deletable(clean[owner], ls, [len(words(x)) for x in ls], least))
+        out[d] = "\n".join(x for k, x in enumerate(d[2].split("\n")) if k not in gone)
+    return [(i, None if t is None else out[(i is None, i or 0, t)]) for i, t in docs]
+
+
+@pytest.mark.parametrize("source", ["edge", "table"])
+def test_lines(request, source):
+    df = request.getfixturevalue(source)
+    got = line_dedup.deduplicate(df)
+    same([(r.doc_id, r.text) for r in got.collect()], _lines(pairs_of(df)))
+    assert set(df.columns) <= set(got.columns) and got.count() == df.count()
+    assert line_dedup.stage(df).columns == df.columns
+
+
+# --- 3
+
+
+@pytest.mark.parametrize(("limit", "size"), [(0, 200), (0, 1 << 20), (100, 1000)])
+def test_warc(spark, small, limit, size):
+    body = "<p>" + "page " * 50
+    odd = [(1000, "u\r\nv", body), (1001, None, None), (1002, "u", ""), (1003, "u", body), (None, "u", body), (1004, "u", "é\x1f" + "\x08" * 5), (1005, "u", "WARC/1.1\r\n\r\n")]
+    df = spark.read.parquet(f"{small}/pages.parquet").union(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    for c in CLASH:
+        df = df.selectExpr("*", f"'clash' AS {c}")
+    got = warc.round_trip(df, limit, size).collect()
+    pages = [(r.page_id, (r.html or "").encode()) for r in df.collect()]
+    first = {}
+    for i, b in sorted((x for x in pages if x[0] is not None)):
+        first.setdefault(b, i)
+    want = []
+    for i, b in pages:
+        lead = first.get(b) if len(b) >= limit else i
+        alone = lead is None or lead == i
+        want.append((i, len(b), warc.base32_sha1(b), "response" if alone else "revisit", None if alone else lead))
+    same([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], want)
+
+
+def test_warc_reader_ignores_false_magic(tmp_path):
+    rec = lambda i, body: warc.member(warc.record("response", f"urn:page:{i}", "u", warc.base32_sha1(body), len(body), None, body), 0)
+    inner = rec(9, b"inner")  # stored, not compressed: its magic is in plain sight
+    data = rec(1, b"x" * 40 + inner + b"y" * 40) + warc.EMPTY + b"junk" + rec(2, b"two")
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    starts = []
+    with path.open("rb") as f:
+        for lo in range(0, len(data), 7):
+            starts += [(at, x["warc-record-id"]) for at, x, _ in warc.read_range(f, lo, min(lo + 7, len(data)))]
+        whole = [x["warc-record-id"] for _, x, _ in warc.read_range(f, 0, len(data))]
+    assert whole == ["<urn:page:1>", "<urn:page:2>"]
+    assert [x for _, x in starts if "9" not in x] == whole and len({a for a, _ in starts}) == len(starts)
+
+
+# --- 4
+
+
+def test_packing(edge, table):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for df in (edge.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), table):
+        ids = {i: np.array([*exact.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in pairs_of(df)}
+        got = packing.public_pack(df, keep_ids=True).collect()
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in got:
+            part = ids[r.doc_id][r.start : r.start + r.length]
+            assert (len(part), zlib.crc32(part.tobytes()), len(ids[r.doc_id])) == (r.length, r.ids_crc32, r.doc_tokens) and part.tolist() == r.ids
+            pieces[r.doc_id].append((r.start, r.length))
+            sequences[r.sequence_id].append((r.offset, r.length))
+        gapless = lambda xs: [x[0] for x in sorted(xs)] == [0, *np.cumsum([x[1] for x in sorted(xs)])[:-1]]
+        assert pieces.keys() == ids.keys() and all(gapless(v) and sum(n for _, n in v) == len(ids[i]) for i, v in pieces.items())
+        sizes = [sum(n for _, n in v) for v in sequences.values()]
+        assert all(map(gapless, sequences.values())) and all(n <= 1024 and (n == 1024 or n & (n - 1) == 0) for n in sizes)
+    assert packing.public_pack(edge).count() >= edge.count()
+
+
+def test_ranks_give_the_ids_of_the_tokenizer():
+    import public_tokenizers as P
+
+    enc = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    letters = [chr(i) for i in range(0x250)]
+    for c in letters:
+        for t in (f"a{c}b", f" {c} {c}{c}1", f"'s{c}'ll {c}\n {c}", f"{c}<|endoftext|>{c}", f"漢{c}"):
+            assert enc.ids(t).tolist() == enc.slow.encode(t, add_special_tokens=False).ids
+
+
+def test_level_minimises_the_sum_of_squares():
+    rng = random.Random(4)
+    p = packing.Packer(64, 0)
+    for _ in range(500):
+        size = rng.randrange(1, 64)
+        counts = p.count.copy()
+
+        def after(h, counts=counts, size=size):
+            c = counts.copy()
+            if h:
+                c[h] -= 1
+            if h + size < 64:
+                c[h + size] += 1
+            return int((c**2).sum())
+
+        allowed = [0] + [h for h in range(1, 64 - size + 1) if counts[h]]
+        assert after(p.level(size)) == min(map(after, allowed))
+        p.add(1, np.zeros(size, "<u4"))
+
+
+# --- 6
+
+
+def test_fingerprints(edge, table):
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for df in (edge, table):
+        docs = sorted({(i is not None, i or 0, t or "") for i, t in pairs_of(df)})
+        got = fingerprint.with_edits(df).collect()
+        assert len(got) == df.count()
+        by_text = {t: r.fingerprint for r in fingerprint.fingerprints(df).collect() for i, t in [(r.doc_id, None)]}
+        del by_text
+        if df is table:
+            after = {x: docs[k - 1] for k, x in enumerate(docs)}
+            text = {i: t for _, i, t in docs}
+            errors = []
+            for r in got:
+                t, following = text[r.doc_id], after[(True, r.doc_id, text[r.doc_id])][2]
+                half = len(t) // 2
+                changed = t[: len(t) - half] + following[:half]
+                assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+                errors += [r.near_edited - like(shingles(t), shingles(changed)), r.near_next - like(shingles(t), shingles(following))]
+            assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+    same_text = defaultdict(set)
+    for r in fingerprint.fingerprints(edge).join(edge.select("doc_id", "text"), "doc_id").collect():
+        same_text[" ".join(words(r.text))].add(r.fingerprint)
+    assert all(len(v) == 1 for v in same_text.values()) and same_text[""] == {""}
+
+
+# --- 7
+
+MAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _luhn(digits):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def _spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    checks = (("email", MAIL, lambda s: True), ("ip", IP, lambda s: all(int(x) <= 255 for x in s.split("."))), ("card", CARD, lambda s: 13 <= len(digits(s)) <= 19 and _luhn(digits(s))), ("phone", PHONE, lambda s: 9 <= len(digits(s)) <= 15))
+    return [[f"{k}:{m.start()}:{m.end()}" for m in r.finditer(t or "") if ok(m.group())] for k, r, ok in checks]
+
+
+def test_base_spans(spark, edge, table):
+    hard = ["a@b.c_d@e.f x@y", "é a.b+c@d-e.f.g. z@@q.r", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 1.0000000000300.1.1", "4111 1111 1111 1111 4111-1111-1111-1111-1 4111111111111111", "+1 (706) 555-3138 +12 +1--------2 +1234567890123456", "7" * 40, "5500 0000 0000 0004\n378282246310005", "@ . + 1", "x" * 3000 + "@", "1 " * 2000, "a@b.c@d.e"]
+    rng = random.Random(8)
+    hard += ["".join(rng.choice("a1 .@+-()0259\n") for _ in range(120)) for _ in range(300)]
+    made = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")
+    for df in (made, edge, table):
+        got = df.select("text", pii.base_spans(pii.F.coalesce("text", pii.F.lit(""))).alias("spans"))
+        got = got.select("text", pii.joined_spans(pii.F.col("spans")).alias("j")).collect()
+        for r in got:
+            assert r.j == ",".join(x for kind in _spans(r.text) for x in kind), r.text
+    assert pii.analyse(edge).count() == edge.count() and pii.sanitise(edge).count() == edge.count()
+
+
+def test_terms_that_disclose(spark):
+    near = [f"Write to Zanzibar Quux at zq@example.org about case {i} of the report" for i in range(6)]
+    rows = near + [f"the report of case {i} at hand about things to write" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.spans) for r in pii.sanitise(df).collect()}
+    assert got[0][0].split() == "Write to at [email] about case 0 of the report".split()
+    assert got[0][1] == "email:26:40,term:9:17,term:18:22"
+    assert got[50] == (rows[50], "")
+    copies = spark.createDataFrame(list(enumerate([near[0]] * 9 + rows[6:])), "doc_id long, text string")
+    assert "term" not in "".join(r.spans for r in pii.sanitise(copies).collect())
+
+
+# --- 9
+
+
+def test_benchmark(spark, small, edge, table):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{small}/benchmark.parquet'")
+    want = con.execute(decontaminate.ORACLE["op9_decontaminate"]).fetchall()
+    same([tuple(r) for r in decontaminate.contained(table, bench).collect()], want)
+    items = spark.createDataFrame([(1, " ".join(BASE.split()[20:60])), (2, None), (3, "one two three"), (4, prose(5, 50)), (5, " ".join([*BASE.split()[20:50], *"nothing of that".split()]))], "item_id long, text string")
+    got = decontaminate.contained(edge, items).collect()
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [words((t or "").lower())] for i in range(max(1, len(w) - 4)) if w}
+    want = set()
+    held = defaultdict(set)
+    for i, t in pairs_of(edge):
+        held[i] |= sets(t)
+    for item, t in [(r.item_id, r.text) for r in items.collect()]:
+        for i, s in held.items():
+            if sets(t) and 100 * len(s & sets(t)) >= 80 * len(sets(t)):
+                want.add((i, item))
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    left = decontaminate.clean(edge, items)
+    assert left.columns == edge.columns and {r.doc_id for r in left.collect()} == {i for i, _ in pairs_of(edge)} - {i for i, _ in want}
+    assert decontaminate.clean(edge, items.where("false")).count() == edge.count()
+
+
+# --- 10
+
+
+def _components(docs, percent=80):
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    sets = []
+    for _, t in docs:
+        w = words(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    held = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            held[x].append(i)
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in held[x] if j < i).items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    ids = defaultdict(list)
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            ids[find(k)].append(i)
+    return [(i, len(sets[k]), i if not sets[k] else min(ids[find(k)], default=None)) for k, (i, _) in enumerate(docs)]
+
+
+@pytest.fixture(scope="module")
+def family(spark):
+    """A group of near copies: some link to the original only, some to each other in chains."""
+    rng, rows = random.Random(6), []
+    for g in range(3):
+        original = prose(100 + g, 150, 3_000).split()
+        for k in range(40):
+            t = list(original)
+            for _ in range(rng.randrange(0, 7)):
+                t[rng.randrange(len(t))] = f"edit{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(t[: rng.choice([150, 150, 130])])))
+            del k
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("source", "size"), [("edge", 20_000), ("table", 20_000), ("family", 20_000), ("family", 9), ("edge", 1)])
+def test_jaccard(request, source, size):
+    df = request.getfixturevalue(source)
+    got = jaccard_join.join(df, chunks=3, family_size=size).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], _components(pairs_of(df)))
+
+
+def test_join_in_memory_is_exact():
+    rng = random.Random(7)
+    for percent in (50, 80):
+        sets = []
+        for _ in range(6):
+            core = rng.sample(range(10_000), 60)
+            sets += [np.unique(np.array(core[: rng.randrange(40, 60)] + rng.sample(range(10_000), rng.randrange(0, 25)), np.uint64)) for _ in range(30)]
+        join = jaccard_join.Join(sets, percent)
+        join.run(np.arange(len(sets)))
+        plain = jaccard_join.Join(sets, percent)
+        for i in range(len(sets)):
+            plain.against(i, np.arange(i + 1, len(sets))) if i + 1 < len(sets) else None
+        assert join.roots(np.arange(len(sets))).tolist() == plain.roots(np.arange(len(sets))).tolist()
+
+
+# --- 5
+
+
+def test_quality(spark, edge):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = "pmod(xxhash64(doc_id), 2) = "
+    made = quality.classify(docs, quality.fit(docs, labels.where(half + "0"))).join(labels.where(half + "1"), "doc_id").selectExpr("quality = 0 OR toxic = 1 AS bad", "rejected").groupBy("bad", "rejected").count().collect()
+    n = {(r.bad, r.rejected): r["count"] for r in made}
+    assert n[(True, True)] / (n[(True, True)] + n.get((True, False), 0)) > 0.93
+    assert n[(False, False)] / (n[(False, False)] + n.get((False, True), 0)) > 0.99
+    model = quality.fit(docs, labels.where("false"))
+    told = quality.classify(edge, model).collect()
+    assert len(told) == edge.count() and all(r.evidence == 0 for r in told if not words(r.text))
+    odd = spark.createDataFrame([(None, 1, 0), (6, None, 0), (7, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.stage(edge, odd).columns == edge.columns
+
+
+def test_sparse_sites_are_shrunk(spark):
+    rows = [(i, "good words in here", "big", "a") for i in range(200)] + [(1000, "good words in here", "tiny", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+    class Fixed(quality.Model):
+        def evidence(self, shapes, hits):
+            return np.full(len(shapes), -1.0)
+
+    got = {r.source: r for r in quality.classify(df, Fixed(None, np.zeros(1), np.ones(1), {}, None)).collect()}
+    assert abs(got["tiny"].path_posterior - got["big"].host_posterior) < 0.01
+
+
+# --- all
+
+
+def test_empty_tables(spark, edge):
+    none = edge.where("false")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    made = [substring_dedup.deduplicate(none), line_dedup.deduplicate(none), warc.round_trip(pages), packing.public_pack(none), quality.classify(none, quality.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))), fingerprint.with_edits(none), pii.analyse(none), suffix_dedup.deduplicate(none), decontaminate.contained(none, spark.createDataFrame([], "item_id long, text string")), jaccard_join.join(none)]
+    assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_registry_names_all_ten():
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries() if n != "pipeline"} == set(range(1, 11))
