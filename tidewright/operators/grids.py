@@ -100,7 +100,8 @@ def cycle_strength(series: DataFrame, period: str) -> DataFrame:
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson's r as an aggregate; null if a side is constant."""
     spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))))
+    r = F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def overlap(a: DataFrame, b: DataFrame, most: int, width_ms: int | None = None, start_ms: int | None = None, end_ms: int | None = None) -> tuple[int, int, int]:
