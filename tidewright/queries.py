@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import grids, islands, rows, scalar
 from tidewright.sources import series as S
+from tidewright.sources.files import work_dir
+from tidewright.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,3 +280,45 @@ query(
     f"""WITH {_BASE}, {LAGGED}, {MIDDLE}, N AS (SELECT S.*, CASE WHEN value < lo THEN 'below' WHEN value > hi THEN 'above' END AS dir, greatest(lo - value, value - hi) AS dev, greatest(lo - value, value - hi) AS rk FROM S JOIN B USING (dataset_id) WHERE value < lo OR value > hi),
 P AS (SELECT *, lag(ts_ms) OVER w AS pt, lag(dir) OVER w AS pd FROM N WINDOW w AS (PARTITION BY dataset_id ORDER BY ts_ms, seq)), T AS (SELECT P.*, pt IS NULL OR pd <> dir OR (mid > 0 AND ts_ms - pt > 3 * mid) AS st FROM P JOIN M USING (dataset_id)), {_ISLANDS}""",
 )
+
+# --- files, store, lineage ----------------------------------------------------------------------------------------
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Store:
+    """The events as a wide CSV file of two channels, ingested into a new store."""
+    folder = work_dir(spark, "ingest")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event_time"), "value", "user_id").write.csv(f"{folder}/events.csv", header=True)
+    store = Store(spark, f"{folder}/store")
+    store.ingest_csv(f"{folder}/events.csv", multi_line=False)
+    return store
+
+
+def _ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _ingested(spark, sf_dir)
+    stored = store.read_many(sorted(store.catalog()))
+    return stored.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("row_count"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.avg("value").alias("mean"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+
+
+def _lineage(spark: SparkSession, sf_dir: str) -> Store:
+    store = _ingested(spark, sf_dir)
+    store.copy("events/value")
+    store.remove_outliers("events/value")
+    store.resample("events/value-3", 6 * HOUR_MS)
+    return store
+
+
+_ALL = "E AS (SELECT epoch_us(ts) // 1000 AS ts_ms, value, user_id::DOUBLE AS user_id FROM events)"
+_CHANNEL = "SELECT 'events/{c}' AS dataset_id, count(*) AS row_count, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, round(avg({c}), 6) + 0.0 AS mean, round(min({c}), 6) + 0.0 AS min_value, round(max({c}), 6) + 0.0 AS max_value FROM E"
+query("ingest_csv", _ingest_summary, f"WITH {_ALL} {_CHANNEL.format(c='value')} UNION ALL {_CHANNEL.format(c='user_id')}")
+query(
+    "list_datasets",
+    lambda s, d: _lineage(s, d).entries().select("id", "kind", "source_column", "row_count", "parent_id", F.coalesce("origin", F.lit("")).alias("origin")),
+    f"""WITH {_ALL}, Q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM E), K AS (SELECT E.* FROM E, Q WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+R AS (SELECT count(DISTINCT (ts_ms - t0) // {6 * HOUR_MS}) AS n FROM K, (SELECT min(ts_ms) AS t0 FROM K))
+SELECT 'events/value' AS id, 'measurement' AS kind, 'value' AS source_column, count(*) AS row_count, '' AS parent_id, '' AS origin FROM E UNION ALL SELECT 'events/user_id', 'measurement', 'user_id', count(*), '', '' FROM E
+UNION ALL SELECT 'events/value-2', 'measurement', 'value', count(*), 'events/value', 'copy' FROM E UNION ALL SELECT 'events/value-3', 'measurement', 'value', count(*), 'events/value', 'remove_outliers' FROM K
+UNION ALL SELECT 'events/value-3-2', 'measurement', 'value', n, 'events/value-3', 'resample' FROM R""",
+)
+query("graph_edges", lambda s, d: _lineage(s, d).edges(), "SELECT * FROM (VALUES ('events/value', 'events/value-2', 'copy'), ('events/value', 'events/value-3', 'remove_outliers'), ('events/value-3', 'events/value-3-2', 'resample')) t(parent, child, origin)")
+query("greet", lambda s, d: s.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("Hi "), "r_name").alias("greeting")), "SELECT 'Hi ' || r_name AS greeting FROM region")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -69,3 +70,9 @@ class Files:
             if ".tmp-" not in name and not any(p.startswith((".", "_")) for p in name.split("/")):
                 out.append(name)
         return sorted(out)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that every executor sees; a local temporary one only where none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
