@@ -322,3 +322,16 @@ def representatives(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = {
+    "op10_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS x, b.k AS y, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.k <> b.k GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE 100 * m >= 80 * (a.n + b.n - m)),
+t AS (SELECT k AS x, k AS y FROM d UNION SELECT t.x, e.y FROM t JOIN e ON e.x = t.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN t ON t.x = d.k JOIN d o ON o.k = t.y LEFT JOIN n ON n.k = d.k GROUP BY d.k, d.doc_id, n.n
+"""
+}

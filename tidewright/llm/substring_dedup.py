@@ -323,3 +323,16 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35, keep_text=False)
+
+
+ORACLE = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT k, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT k, i FROM x WHERE s IN (SELECT s FROM x GROUP BY s HAVING count(*) > 1)),
+c AS (SELECT DISTINCT k, i + j AS i FROM r, (SELECT unnest(range(0, 35)) AS j)),
+u AS (SELECT k, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM d),
+g AS (SELECT k, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS kept FROM u ANTI JOIN c USING (k, i) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (k)
+"""
+}

@@ -323,3 +323,19 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False)
+
+
+ORACLE = {
+    "op8_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT k, o, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT k, o, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+m AS (SELECT s, min(o) AS least FROM x GROUP BY s),
+r AS (SELECT k, i, i > lag(i) OVER (PARTITION BY k ORDER BY i) + 50 AS apart FROM x JOIN m USING (s) WHERE o > least),
+e AS (SELECT k, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS run FROM r),
+p AS (SELECT k, min(i) AS a, max(i) + 50 AS b FROM e GROUP BY k, run),
+q AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS z FROM p),
+g AS (SELECT k, count(*) AS n, sum(b - a)::BIGINT AS gone, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM q JOIN d USING (k) GROUP BY k)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN g USING (k)
+"""
+}

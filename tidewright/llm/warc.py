@@ -245,3 +245,16 @@ def round_trip(pages: DataFrame, dedup_bytes: int = 0, size: int = RANGE, folder
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), 0)
+
+
+# Five hexadecimal digits are four digits of base 32.
+_FOUR = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // {32**k}) % 32 + 1, 1)" for k in (3, 2, 1, 0))
+ORACLE = {
+    "op3_warc": f"""
+WITH p AS (SELECT row_number() OVER () AS k, page_id, coalesce(html, '') AS b, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
+v AS (SELECT k, i, ('0x' || substr(sha1(b), i * 5 + 1, 5))::INT AS v FROM p, (SELECT unnest(range(0, 8)) AS i)),
+g AS (SELECT k, string_agg({_FOUR}, '' ORDER BY i) AS digest FROM v GROUP BY k)
+SELECT page_id, octet_length(encode(b)) AS payload_bytes, digest AS payload_digest, CASE WHEN f IS NULL OR page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> coalesce(page_id, -1) THEN f END AS refers_to
+FROM p JOIN g USING (k)
+"""
+}
