@@ -481,3 +481,16 @@ def test_empty_tables(spark, edge):
 
 def test_registry_names_all_ten():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries() if n != "pipeline"} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.oracle_sql()))
+def test_sql(spark, small, name):
+    import glob
+    import os
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{small}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    df = registry.queries()[name](spark, small)
+    cols = ", ".join(df.columns)
+    same([tuple(r) for r in df.collect()], con.execute(f"SELECT {cols} FROM ({registry.oracle_sql()[name]})").fetchall())
