@@ -111,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     share = min(1.0, max_labelled / max(1, n))
     picked = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(max_labelled)
     rows = docs.select(F.col("doc_id").alias("d_id"), "text").where("text IS NOT NULL").join(picked, F.col("d_id") == F.col("doc_id")).select("doc_id", "text", "quality", "toxic")
+    rows = cut(rows)  # at most max_labelled texts, read three times
 
     def shapes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -181,12 +182,19 @@ def _strength(groups: DataFrame, prior: str) -> float:
     return float(min(1e6, max(1.0, (row.within / row.n) / max(excess, 1e-9))))
 
 
-def classify(docs: DataFrame, model: Model, *, host_col: str = "source", path_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``evidence, host_posterior, path_posterior, posterior, rejected`` (in place of columns so named)."""
+def classify(docs: DataFrame, model: Model, *, host_col: str = "source", path_col: str = "lang", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``evidence, host_posterior, path_posterior, posterior, rejected`` (in place of columns so named).
+
+    Texts are scored twice, for the sites and for the result; without ``keep_text`` the column is dropped and
+    the scores are kept in the shared folder instead.
+    """
     made = ("evidence", "host_posterior", "path_posterior", "posterior", "rejected")
     names = [c for c in docs.columns if c not in made]
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     scored = evidence(docs.select(*names), model, text_col=text_col).withColumns({"__host": site(host_col), "__path": site(path_col), "__p": 1 / (1 + F.exp(-F.col("__evidence")))})
+    if not keep_text:
+        names = [c for c in names if c != text_col]
+        scored = cut(scored.drop(text_col))
     paths = cut(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(1 - 1e-6, max(1e-6, (total.s or 0.0) / max(1, total.n or 0)))
@@ -212,5 +220,5 @@ def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    made = classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    made = classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep_text=False)
     return made.select("doc_id", "evidence", "host_posterior", "path_posterior", "posterior", "rejected")
