@@ -150,7 +150,7 @@ def test_integral(spark, form):
     assert scalar.integrate(series(spark, [1, 2], times=[7, 7])).count() == 0
 
 
-def test_value_at(spark):
+def test_value_at(spark, form):
     def at(s, t):
         return scalar.value_at(s, spark.createDataFrame([("s", t)], "dataset_id string, at_ms long")).first()
 

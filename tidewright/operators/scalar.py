@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.plans.frames import ID, previous, quantiles
+from tidewright.plans.frames import ID, STRETCH, previous, quantiles, small, stretched
 
 # The percentile ladder of a distribution.
 LADDER = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -144,10 +144,22 @@ def value_at(series: DataFrame, instants: DataFrame) -> DataFrame:
     rows = series.select(ID, "ts_ms", "seq", F.lit(0).alias("probe"), F.struct("ts_ms", "value").alias("r"))
     # the reading before: strictly earlier; the one after: at the instant or later
     asked = instants.select(ID, F.col("at_ms").alias("ts_ms"), F.lit(-(1 << 63)).cast("long").alias("seq"), F.lit(1).alias("probe"), F.lit(None).cast("struct<ts_ms:bigint,value:double>").alias("r"))
-    order = Window.partitionBy(ID).orderBy("ts_ms", F.desc("probe"), "seq")
+    merged = rows.unionByName(asked)
+    if small(series):
+        order = Window.partitionBy(ID).orderBy("ts_ms", F.desc("probe"), "seq")
+    else:
+        merged = stretched(merged)
+        order = Window.partitionBy(ID, STRETCH).orderBy("ts_ms", F.desc("probe"), "seq")
     before = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    met = rows.unionByName(asked).withColumns({"before": before, "after": after}).where("probe = 1").withColumnRenamed("ts_ms", "at_ms")
+    met = merged.withColumns({"before": before, "after": after}).where("probe = 1").withColumnRenamed("ts_ms", "at_ms")
+    if STRETCH in merged.columns:
+        # what lies in other stretches: their last and first readings
+        held = F.when(F.col("probe") == 0, F.struct("ts_ms", "seq"))
+        ends = merged.groupBy(ID, STRETCH).agg(F.max_by("r", held).alias("l"), F.min_by("r", held).alias("f"))
+        across = Window.partitionBy(ID).orderBy(STRETCH)
+        ends = ends.withColumns({"earlier": F.last("l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)), "later": F.first("f", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))})
+        met = met.join(ends.select(ID, STRETCH, "earlier", "later"), [ID, STRETCH]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     b, a, at = F.col("before"), F.col("after"), F.col("at_ms")
     first = a.isNull() | (b.isNotNull() & ((at - b["ts_ms"]) <= (a["ts_ms"] - at)))
     nearest = F.when(first, b).otherwise(a)

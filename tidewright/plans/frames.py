@@ -19,6 +19,7 @@ STRETCH_MS = 86_400_000
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY  # the sketch is off by 1 / ACCURACY at most; from ACCURACY values on three ranks are to spare
 ID = "dataset_id"
+STRETCH = "__stretch"
 
 
 def small(df: DataFrame) -> bool:
@@ -26,8 +27,9 @@ def small(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL
 
 
-def _stretch(df: DataFrame) -> DataFrame:
-    return df.withColumn("__stretch", F.floor(F.col("ts_ms") / F.lit(STRETCH_MS)))
+def stretched(df: DataFrame) -> DataFrame:
+    """Adds the stretch of time that a row is in."""
+    return df.withColumn(STRETCH, F.floor(F.col("ts_ms") / F.lit(STRETCH_MS)))
 
 
 def previous(df: DataFrame, columns: Sequence[str] = ("ts_ms", "value"), whole: bool | None = None) -> DataFrame:
@@ -35,11 +37,11 @@ def previous(df: DataFrame, columns: Sequence[str] = ("ts_ms", "value"), whole:
     held = F.struct(*columns)
     if small(df) if whole is None else whole:
         return df.withColumn("prev", F.lag(held).over(Window.partitionBy(ID).orderBy("ts_ms", "seq")))
-    cut = _stretch(df)
-    last = cut.groupBy(ID, "__stretch").agg(F.max_by(held, F.struct("ts_ms", "seq")).alias("__last"))
-    last = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(ID).orderBy("__stretch"))).drop("__last")
-    own = F.lag(held).over(Window.partitionBy(ID, "__stretch").orderBy("ts_ms", "seq"))
-    return cut.join(last, [ID, "__stretch"]).withColumn("prev", F.coalesce(own, "__carried")).drop("__stretch", "__carried")
+    cut = stretched(df)
+    last = cut.groupBy(ID, STRETCH).agg(F.max_by(held, F.struct("ts_ms", "seq")).alias("__last"))
+    last = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(ID).orderBy(STRETCH))).drop("__last")
+    own = F.lag(held).over(Window.partitionBy(ID, STRETCH).orderBy("ts_ms", "seq"))
+    return cut.join(last, [ID, STRETCH]).withColumn("prev", F.coalesce(own, "__carried")).drop(STRETCH, "__carried")
 
 
 def running(df: DataFrame, flag: Column, name: str, whole: bool | None = None) -> DataFrame:
@@ -48,12 +50,12 @@ def running(df: DataFrame, flag: Column, name: str, whole: bool | None = None) -
     frame = (Window.unboundedPreceding, Window.currentRow)
     if small(df) if whole is None else whole:
         return df.withColumn(name, F.sum(one).over(Window.partitionBy(ID).orderBy("ts_ms", "seq").rowsBetween(*frame)))
-    cut = _stretch(df.withColumn("__one", one))
-    sums = cut.groupBy(ID, "__stretch").agg(F.sum("__one").alias("__sum"))
-    before = F.sum("__sum").over(Window.partitionBy(ID).orderBy("__stretch").rowsBetween(*frame)) - F.col("__sum")
-    sums = sums.select(ID, "__stretch", before.alias("__before"))
-    own = F.sum("__one").over(Window.partitionBy(ID, "__stretch").orderBy("ts_ms", "seq").rowsBetween(*frame))
-    return cut.join(sums, [ID, "__stretch"]).withColumn(name, F.col("__before") + own).drop("__stretch", "__one", "__before")
+    cut = stretched(df.withColumn("__one", one))
+    sums = cut.groupBy(ID, STRETCH).agg(F.sum("__one").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(ID).orderBy(STRETCH).rowsBetween(*frame)) - F.col("__sum")
+    sums = sums.select(ID, STRETCH, before.alias("__before"))
+    own = F.sum("__one").over(Window.partitionBy(ID, STRETCH).orderBy("ts_ms", "seq").rowsBetween(*frame))
+    return cut.join(sums, [ID, STRETCH]).withColumn(name, F.col("__before") + own).drop(STRETCH, "__one", "__before")
 
 
 def quantiles(df: DataFrame, column: str, at: Sequence[float], aggregates: Sequence[Column] = (), name: str = "q", whole: bool | None = None) -> DataFrame:
