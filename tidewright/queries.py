@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import grids, islands, rows, scalar
+from tidewright.plans.api import Engine
 from tidewright.sources import series as S
 from tidewright.sources.files import work_dir
 from tidewright.sources.store import Store
@@ -321,4 +322,41 @@ UNION ALL SELECT 'events/value-2', 'measurement', 'value', count(*), 'events/val
 UNION ALL SELECT 'events/value-3-2', 'measurement', 'value', n, 'events/value-3', 'resample' FROM R""",
 )
 query("graph_edges", lambda s, d: _lineage(s, d).edges(), "SELECT * FROM (VALUES ('events/value', 'events/value-2', 'copy'), ('events/value', 'events/value-3', 'remove_outliers'), ('events/value-3', 'events/value-3-2', 'resample')) t(parent, child, origin)")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _lineage(spark, sf_dir).entries()
+    children = e.where("parent_id <> ''").groupBy(F.col("parent_id").alias("p")).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("children"))
+    return e.join(children, F.col("id") == F.col("p"), "left").select("id", "parent_id", F.coalesce("children", F.lit("")).alias("children"))
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _ingested(spark, sf_dir)
+    made = store.copy("events/value", "Copy of it")
+    return scalar.summary_stats(store.read(made["id"]))
+
+
+def _mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _lineage(spark, sf_dir).mermaid().splitlines()], "line string")
+
+
+def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = Engine(spark, _ingested(spark, sf_dir).files.root).server_info()
+    return spark.createDataFrame([(info["storage_format"], ",".join(info["supported_ingest_formats"]), "catalog.json" in info["files"])], "storage_format string, supported_ingest_formats string, has_catalog boolean")
+
+
+query(
+    "describe_dataset",
+    _described,
+    """SELECT * FROM (VALUES ('events/user_id', '', ''), ('events/value', '', 'events/value-2,events/value-3'), ('events/value-2', 'events/value', ''), ('events/value-3', 'events/value', 'events/value-3-2'),
+('events/value-3-2', 'events/value-3', '')) t(id, parent_id, children)""",
+)
+query("copy_dataset", _copied, f"WITH S AS (SELECT 'copy_of_it' AS dataset_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events) {_SUMMARY} GROUP BY dataset_id")
+query(
+    "dataset_graph",
+    _mermaid,
+    """SELECT * FROM (VALUES ('graph TD'), ('  events_user_id["events/user_id"]'), ('  events_value["events/value"]'), ('  events_value_2["events/value-2"]'), ('  events_value_3["events/value-3"]'), ('  events_value_3_2["events/value-3-2"]'),
+('  events_value -->|copy| events_value_2'), ('  events_value -->|remove_outliers| events_value_3'), ('  events_value_3 -->|resample| events_value_3_2')) t(line)""",
+)
+query("server_info", _info, "SELECT 'parquet' AS storage_format, 'csv' AS supported_ingest_formats, true AS has_catalog")
 query("greet", lambda s, d: s.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("Hi "), "r_name").alias("greeting")), "SELECT 'Hi ' || r_name AS greeting FROM region")
