@@ -321,7 +321,7 @@ def _spans(t):
 
 
 def test_base_spans(spark, edge, table):
-    hard = ["a@b.c_d@e.f x@y", "é a.b+c@d-e.f.g. z@@q.r", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 1.0000000000300.1.1", "4111 1111 1111 1111 4111-1111-1111-1111-1 4111111111111111", "+1 (706) 555-3138 +12 +1--------2 +1234567890123456", "7" * 40, "5500 0000 0000 0004\n378282246310005", "@ . + 1", "x" * 3000 + "@", "1 " * 2000, "a@b.c@d.e"]
+    hard = ["a@b.c_d@e.f x@y", "é a.b+c@d-e.f.g. z@@q.r", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 1.0000000000300.1.1", "4111 1111 1111 1111 4111-1111-1111-1111-1 4111111111111111", "+1 (706) 555-3138 +12 +1--------2 +1234567890123456", "7" * 40, "5500 0000 0000 0004\n378282246310005", "@ . + 1", "😀 a@b.co 😀😀 10.0.0.1\n😀 +1 202 555 0123", "x" * 3000 + "@", "1 " * 2000, "a@b.c@d.e"]
     rng = random.Random(8)
     hard += ["".join(rng.choice("a1 .@+-()0259\n") for _ in range(120)) for _ in range(300)]
     made = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")
@@ -425,6 +425,15 @@ def test_jaccard(request, source, size):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], _components(pairs_of(df)))
 
 
+def test_one_of_each_component_stays(edge):
+    got = jaccard_join.representatives(edge)
+    assert got.columns == edge.columns
+    docs = pairs_of(edge)
+    lead = {(i, c) for i, n, c in _components(docs) if i is not None and i == c}
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(i for i, _ in lead)
+    assert [r.text for r in got.collect() if r.doc_id is None] == [None]
+
+
 def test_join_in_memory_is_exact():
     rng = random.Random(7)
     for percent in (50, 80):
