@@ -62,11 +62,16 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def chunk_count(total_bytes: int, least: int = 8 << 20, most: int = 1 << 30) -> int:
+def chunk_count(total_bytes: int, partitions: int, least: int = 8 << 20, most: int = 1 << 30) -> int:
     """How many chunks a corpus is dealt into.
 
     Packed exchanges send one blob per (chunk, bucket), so the chunk grows with the
-    square root of the corpus: both the number of blobs and their size stay moderate.
+    square root of the corpus: both the number of blobs and their size stay moderate.  There are as many as
+    shuffle partitions, at least, unless that leaves less than 256 KiB to each.
     """
     size = min(most, max(least, int(least * math.sqrt(total_bytes / (1 << 30)))))
-    return max(1, math.ceil(total_bytes / size))
+    return max(1, math.ceil(total_bytes / size), min(partitions, total_bytes >> 18))
+
+
+def chunks_for(docs: DataFrame, text_col: str = "text") -> int:
+    return chunk_count(text_bytes(docs, text_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
-from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunk_count, cut, lower_ascii, text_bytes
+from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii
 from tidewright.llm.graph import components
 from tidewright.llm.hashing import Spans, U, mix
 from tidewright.llm.substring_dedup import member, words_of
@@ -184,7 +184,7 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
     counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one"))
     total = digests.count()
     hot = counts.where(F.col("n") > max(1000, total // 1000)).select(F.col("digest").alias("hot_digest"), "one")
-    chunks = chunks or chunk_count(text_bytes(docs))
+    chunks = chunks or chunks_for(docs)
     rows = docs.withColumn("digest", _digest(F.col("text"))).join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
     rows = rows.where(F.col("hot_digest").isNull() | F.col("one").isNull() | F.col("one").eqNullSafe(F.col("doc_id")))
     dealt = rows.select("digest", F.concat(lower_ascii(F.col("text")), F.lit(" ")).alias("text"), F.pmod(F.xxhash64("digest"), F.lit(chunks)).cast("int").alias("chunk"))
@@ -274,10 +274,30 @@ def _joined(held: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("family", "block").applyInArrow(run, EDGES)
 
 
+def _central(rows: DataFrame) -> DataFrame:
+    """``of, p``: in each family, the set with the largest share of shingles that half of the family has."""
+
+    def spread(parts):
+        for part in parts:
+            for v, n, family, tokens in zip(part["vertex"].to_pylist(), part["n"].to_pylist(), part["family"].to_pylist(), part["tokens"], strict=True):
+                x = np.frombuffer(tokens.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), a), pa.int64()) for a in (v, n, family)] + [pa.array(x)], names=["vertex", "n", "family", "token"])
+
+    each = rows.select("vertex", "n", "family", "tokens").mapInArrow(spread, "vertex long, n long, family long, token long")
+    members = rows.groupBy(F.col("family").alias("m_family")).agg(F.count(F.lit(1)).alias("m"))
+    common = each.groupBy(F.col("family").alias("c_family"), F.col("token").alias("c_token")).agg(F.count(F.lit(1)).alias("c")).join(members, F.col("c_family") == F.col("m_family")).where("2 * c >= m").select("c_family", "c_token")
+    score = each.join(common, (F.col("family") == F.col("c_family")) & (F.col("token") == F.col("c_token"))).groupBy("family", "vertex", "n").agg(F.count(F.lit(1)).alias("k"))
+    best = F.max_by("vertex", F.struct(F.col("k") / F.col("n"), F.col("k"), -F.col("vertex")))
+    found = score.groupBy(F.col("family").alias("s_family")).agg(best.alias("best"))
+    # a family without such shingles takes its smallest set
+    least = rows.groupBy(F.col("family").alias("of")).agg(F.min_by("vertex", F.struct("n", "vertex")).alias("small"))
+    return least.join(found, F.col("of") == F.col("s_family"), "left").select("of", F.coalesce("best", "small").alias("p"))
+
+
 def _large(held: DataFrame, big: DataFrame, percent: int, family_size: int) -> DataFrame:
     """Families that don't fit one task: distances to one pivot first, then blocks of what links to it."""
     rows = held.join(big, held["family"] == big["c"], "left_semi")
-    pivot = rows.groupBy("family").agg(F.min_by("vertex", F.struct("n", "vertex")).alias("p")).withColumnRenamed("family", "of")
+    pivot = _central(rows)
     pivots = rows.join(pivot, (F.col("family") == F.col("of")) & (F.col("vertex") == F.col("p"))).select(F.col("of"), "p", F.col("tokens").alias("p_tokens"))
 
     def measure(parts):
@@ -298,9 +318,8 @@ def _large(held: DataFrame, big: DataFrame, percent: int, family_size: int) -> D
     return near.unionByName(_joined(dealt, percent))
 
 
-def join(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, family_size: int = FAMILY) -> DataFrame:
-    """``doc_id, n_shingles, component_id``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def _components(rows: DataFrame, percent: int, chunks: int | None, family_size: int) -> DataFrame:
+    """``doc_id, digest, n, component_id`` for each of ``rows (doc_id, text)``."""
     made = cut(classes(rows, percent, chunks))
     found = components(links(made.where("prefix IS NOT NULL"), percent, family_size))
     digests = rows.select("doc_id", _digest(F.col("text")).alias("digest"))
@@ -310,14 +329,35 @@ def join(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "d
     smallest = known.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "of")
     told = known.join(smallest, F.col("c") == F.col("of")).select(F.col("digest").alias("k_digest"), "n", "component_id")
     out = digests.join(told, F.col("digest") == F.col("k_digest"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
 
-def representatives(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns; rows without an id stay if their component has none."""
-    found = join(docs, percent).select(F.col("doc_id").alias("j_id"), F.col("component_id").alias("j_component"))
-    lead = found.where(F.col("j_id").eqNullSafe(F.col("j_component"))).select("j_id").distinct()
-    return docs.join(lead, docs["doc_id"].eqNullSafe(lead["j_id"]), "left_semi")
+def join(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, family_size: int = FAMILY) -> DataFrame:
+    """``doc_id, n_shingles, component_id``."""
+    found = _components(_plain(docs, id_col, text_col), percent, chunks, family_size)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id (of rows with this id, one), with all columns.
+
+    Texts without words stay, repeated rows once; rows without an id stay if no row of their component has one.
+    """
+    found = cut(_components(_plain(docs, id_col, text_col), percent, None, FAMILY))
+    lead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = lead.where("doc_id IS NOT NULL").groupBy("doc_id", F.col("n") == 0).agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows")).select("doc_id", "digest", "rows")
+    nameless = lead.where("doc_id IS NULL").select("doc_id", "digest").distinct().withColumn("rows", F.lit(1).cast("long"))
+    chosen = cut(named.union(nameless)).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__lead"), "rows")
+    rows = docs.withColumn("__digest", _digest(F.coalesce(text_col, F.lit(""))))
+    kept = rows.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__lead")), "left_semi")
+    if chosen.where("rows > 1").limit(1).count():
+        one = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__digest"])
+        kept = one.unionByName(kept.where(F.col(id_col).isNull()))
+    return kept.drop("__digest")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
-from tidewright.llm.common import WHITE, chunk_count, text_bytes
+from tidewright.llm.common import WHITE, chunks_for
 from tidewright.llm.hashing import BYTE_CODES, Spans, U, mix
 
 ROUNDS = 3
@@ -189,7 +189,7 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, and ``kept`` (the words left, joined by one space) if asked for."""
-    chunks = chunks or chunk_count(text_bytes(docs, text_col))
+    chunks = chunks or chunks_for(docs, text_col)
     buckets = chunks
     # white space at the end keeps the documents of a batch apart
     dealt = X.deal(docs.select(F.col(id_col).alias("doc_id"), F.concat(F.coalesce(text_col, F.lit("")), F.lit(" ")).alias("text")), chunks)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
-from tidewright.llm.common import chunk_count, text_bytes
+from tidewright.llm.common import chunks_for
 from tidewright.llm.hashing import BYTE_CODES, Spans, U, mix
 from tidewright.llm.substring_dedup import _gather, member
 
@@ -154,7 +154,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``kept`` (binary) if asked for."""
     if length < gram or length < 8:
         raise ValueError("length must be at least gram and 8")
-    chunks = chunks or chunk_count(text_bytes(docs, text_col))
+    chunks = chunks or chunks_for(docs, text_col)
     buckets = chunks
     dealt = X.deal(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")), chunks)
 
