@@ -200,7 +200,10 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
         for part in X.batches(t, BATCH):
             data, offsets = X.buffers(part)
             w = words_of(data, offsets)
-            out.append((part, data, offsets, w, segments(w, window)))
+            s = segments(w, window)
+            # places within a batch are small numbers, and the codes are not needed any more
+            w = w._replace(start=w.start.astype(np.int32), end=w.end.astype(np.int32), code=w.code[:0])
+            out.append((part, data, offsets, w, s._replace(first=s.first.astype(np.int32), last=s.last.astype(np.int32))))
         return out
 
     def keys_of(batches: list[tuple]):
@@ -284,7 +287,7 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
             o = order[cuts[b] : cuts[b + 1]]
             flags[_gather(base[o], size[o])] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(size[o].sum())).astype(bool)
         for part, data, offsets, w, s in batches:
-            gone = np.zeros(len(w.code) + 1, np.int64)
+            gone = np.zeros(len(w.mark) + 1, np.int64)
             use = np.flatnonzero(member(s.key, hot))
             if len(use):
                 which = np.searchsorted(name, s.name[use])
