@@ -311,7 +311,9 @@ def _large(held: DataFrame, big: DataFrame, percent: int, family_size: int) -> D
 
     told = cut(rows.join(pivots, F.col("family") == F.col("of")).select("vertex", "n", "tokens", "family", "p", "p_tokens").mapInArrow(measure, "vertex long, n long, tokens binary, family long, p long, outside boolean"))
     near = told.where("NOT outside AND vertex <> p").select(F.col("vertex").alias("a"), F.col("p").alias("b"))
-    blocks = told.where("NOT outside").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / family_size).cast("int").alias("blocks")).withColumnRenamed("family", "of")
+    # a block has at least as many rows that link to the pivot as there are outsiders: what is replicated is no more than the family
+    inner, outer = F.count_if(~F.col("outside")), F.count_if(F.col("outside"))
+    blocks = told.groupBy(F.col("family").alias("of")).agg(F.greatest(F.lit(1), F.ceil(inner / F.greatest(F.lit(family_size), outer))).cast("int").alias("blocks"))
     spread = told.join(blocks, F.col("family") == F.col("of"))
     place = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")))
     dealt = spread.select("vertex", "n", "tokens", "family", "outside", F.explode(place).alias("block"))
