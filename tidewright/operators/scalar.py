@@ -146,19 +146,21 @@ def value_at(series: DataFrame, instants: DataFrame) -> DataFrame:
     asked = instants.select(ID, F.col("at_ms").alias("ts_ms"), F.lit(-(1 << 63)).cast("long").alias("seq"), F.lit(1).alias("probe"), F.lit(None).cast("struct<ts_ms:bigint,value:double>").alias("r"))
     merged = rows.unionByName(asked)
     if small(series):
-        order = Window.partitionBy(ID).orderBy("ts_ms", F.desc("probe"), "seq")
+        parts = [ID]
     else:
-        merged = stretched(merged)
-        order = Window.partitionBy(ID, STRETCH).orderBy("ts_ms", F.desc("probe"), "seq")
+        merged, parts = stretched(merged), [ID, STRETCH]
+    # both look back, one of them in reverse order: a frame that looks ahead costs its length at every row
+    order = Window.partitionBy(*parts).orderBy("ts_ms", F.desc("probe"), "seq")
+    back = Window.partitionBy(*parts).orderBy(F.desc("ts_ms"), "probe", F.desc("seq"))
     before = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     met = merged.withColumns({"before": before, "after": after}).where("probe = 1").withColumnRenamed("ts_ms", "at_ms")
     if STRETCH in merged.columns:
         # what lies in other stretches: their last and first readings
         held = F.when(F.col("probe") == 0, F.struct("ts_ms", "seq"))
         ends = merged.groupBy(ID, STRETCH).agg(F.max_by("r", held).alias("l"), F.min_by("r", held).alias("f"))
         across = Window.partitionBy(ID).orderBy(STRETCH)
-        ends = ends.withColumns({"earlier": F.last("l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)), "later": F.first("f", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))})
+        ends = ends.withColumns({"earlier": F.last("l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)), "later": F.last("f", ignorenulls=True).over(Window.partitionBy(ID).orderBy(F.desc(STRETCH)).rowsBetween(Window.unboundedPreceding, -1))})
         met = met.join(ends.select(ID, STRETCH, "earlier", "later"), [ID, STRETCH]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     b, a, at = F.col("before"), F.col("after"), F.col("at_ms")
     first = a.isNull() | (b.isNotNull() & ((at - b["ts_ms"]) <= (a["ts_ms"] - at)))
