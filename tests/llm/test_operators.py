@@ -180,6 +180,17 @@ def test_lines(request, source):
     assert line_dedup.stage(df).columns == df.columns
 
 
+def test_frequent_lines_have_partners_too(spark):
+    common = [f"common line {i} of the corpus that many documents hold word for word" for i in range(3)]
+    texts = ["\n".join(common + [f"own {i} a"]) for i in range(12)]
+    texts += ["a rare line that this document is the first to hold as far as known\n" + "\n".join(common)]
+    texts += ["something else\na rare line that this document is the first to hold as far as known"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate(df).collect()}
+    assert got == dict(_lines(list(enumerate(texts)), rare=len(texts)))
+    assert got[12] == "a rare line that this document is the first to hold as far as known" and got[13] == "something else"
+
+
 # --- 3
 
 
