@@ -191,6 +191,15 @@ def test_frequent_lines_have_partners_too(spark):
     assert got[12] == "a rare line that this document is the first to hold as far as known" and got[13] == "something else"
 
 
+def test_the_query_deletes_blocks_of_any_size(spark, small):
+    rows = pairs_of(spark.read.parquet(f"{small}/documents.parquet"))
+    want = dict(_lines(rows, rare=len(rows), least=1))
+    got = {r.doc_id: r.kept_sha256 for r in line_dedup.op2_line_dedup(spark, small).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in want.items()}
+    df = spark.createDataFrame([(1, "a b c\nfirst"), (2, "second\na b c")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.stage(df).collect()} == {1: "a b c\nfirst", 2: "second"}
+
+
 # --- 3
 
 
