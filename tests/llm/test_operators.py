@@ -191,6 +191,23 @@ def test_frequent_lines_have_partners_too(spark):
     assert got[12] == "a rare line that this document is the first to hold as far as known" and got[13] == "something else"
 
 
+def test_blocks_meet_a_document_that_holds_them(spark):
+    a, b, c = "one two three four five six", "seven eight nine", "ten eleven twelve"
+    texts = [f"{a}\nx", f"y\n{b}", f"{c}\nz", f"{a}\n\n{b}", f"{b}\n{c}", f"{a}\n\n{b}\n{c}", f"p\n{a}\n\n{b}\n{c}\nq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate(df).collect()}
+    assert got == {**dict(enumerate(texts)), 6: "p\nq"}
+    rng = random.Random(3)
+    for _ in range(300):
+        lines = [rng.randrange(4) for _ in range(rng.randrange(14))]
+        size = [0 if x == 0 else rng.randrange(1, 6) for x in lines]
+        found = line_dedup.spans_of(lines, size, {1, 2}, 8)
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if all(x < 3 for x in lines[i : j + 1]) and sum(size[i : j + 1]) >= 8:
+                    assert all(any(i <= u <= k <= v <= j and sum(size[u : v + 1]) >= 8 for u, v in found) for k in range(i, j + 1) if lines[k])
+
+
 def test_the_query_deletes_blocks_of_any_size(spark, small):
     rows = pairs_of(spark.read.parquet(f"{small}/documents.parquet"))
     want = dict(_lines(rows, rare=len(rows), least=1))
