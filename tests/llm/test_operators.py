@@ -382,6 +382,16 @@ def test_terms_that_disclose(spark):
     assert "term" not in "".join(r.spans for r in pii.sanitise(copies).collect())
 
 
+def test_terms_are_marked_on_every_line_of_the_document(spark):
+    near = [f"Write to Zanzibar Quux at zq@example.org about case {i} of the report" for i in range(6)]
+    rest = [f"the report of case {i} at hand about things to write" for i in range(200)]
+    rows = [f"{near[0]}\nthe report\n😀 Quux is at hand", *near[1:], *rest, "Quux without the address"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in pii.sanitise(df, threshold=0.8).collect()}
+    assert [x.split() for x in got[0]] == ["Write to at [email] about case 0 of the report".split(), ["the", "report"], ["😀", "is", "at", "hand"]]
+    assert got[206] == ["Quux without the address"]
+
+
 # --- 9
 
 

@@ -9,8 +9,8 @@ both give the pointwise mutual information; divided by the information of e it i
 
     disclosure(e, t) = ln(N c(e,t) / (c(e) c(t))) / ln(N / c(e))
 
-It is 1 if t occurs beside e only.  In the lines that name e, the words whose disclosure is
-``threshold`` or more are spans as well, if at least ``support`` different lines of the corpus hold
+It is 1 if t occurs beside e only.  In the documents that name e, the words whose disclosure is
+``threshold`` or more are spans as well, on whatever line, if at least ``support`` different lines of the corpus hold
 both (a word seen once tells nothing; copies of a line count once there).  In the sanitised text, base
 spans are generalised to their kind and terms are removed.
 
@@ -86,7 +86,7 @@ def base_spans(text: Column) -> Column:
 
 
 def masked_lines(text: Column, spans: Column) -> Column:
-    """Lines with a base span: start, the line with its spans blanked, and the entities in it."""
+    """All lines: start, the line with its spans blanked, and the entities in it."""
     kept = "array<struct<start:int,line:string,entities:array<string>>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out"))
 
@@ -96,7 +96,7 @@ def masked_lines(text: Column, spans: Column) -> Column:
         blank = F.aggregate(within, line, lambda a, s: F.overlay(a, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] - begin + 1, s["end"] - s["start"]))
         entities = F.array_distinct(F.transform(within, lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))
         row = F.array(F.struct(begin.alias("start"), blank.alias("line"), entities.alias("entities")))
-        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.when(F.size(within) > 0, row).otherwise(F.array().cast(kept))).alias("out"))
+        return F.struct((end + 1).alias("at"), F.concat(acc["out"], row).alias("out"))
 
     return F.aggregate(F.split(text, "\n"), zero, step, lambda acc: acc["out"])
 
@@ -107,7 +107,7 @@ def words(line: Column) -> Column:
 
 def disclosures(found: DataFrame, docs_text: DataFrame, lines: int, threshold: float, support: int) -> DataFrame:
     """``entity, terms``: the words that disclose each entity."""
-    near = found.select(F.explode("lines").alias("x")).select(F.xxhash64("x.line").alias("context"), "x.entities", words(F.col("x.line")).alias("terms"))
+    near = found.select(F.explode(F.filter("lines", lambda x: F.size(x["entities"]) > 0)).alias("x")).select(F.xxhash64("x.line").alias("context"), "x.entities", words(F.col("x.line")).alias("terms"))
     each = near.select("context", F.explode("entities").alias("entity"), "terms")
     of_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
     both = each.select("context", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_et"), F.count_distinct("context").alias("different")).where(F.col("different") >= support)
@@ -124,7 +124,7 @@ def analyse(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPOR
     base = texts.withColumn("base", base_spans(F.col("text")))
     lines = F.when(F.size("base") > 0, masked_lines(F.col("text"), F.col("base")))
     count = F.size(F.split("text", "\n"))
-    # everything that follows needs the lines with an entity only, not the texts
+    # everything that follows needs the lines of documents with an entity only, not the texts
     found = cut(base.select("doc_id", "base", lines.alias("lines"), count.alias("n_lines"), F.xxhash64("text").alias("key"), *(["text"] if keep_text else [])))
     total = found.agg(F.sum("n_lines")).first()[0] or 0
     named = found.where("lines IS NOT NULL")
@@ -133,14 +133,13 @@ def analyse(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPOR
     known = entities.join(reveal, "entity").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "terms"))).alias("reveal"))
     joined = found.join(known.withColumnRenamed("key", "known_key"), F.col("key") == F.col("known_key"), "left")
 
-    def terms_of(line: Column) -> Column:
-        bad = F.array_distinct(F.flatten(F.transform(line["entities"], lambda e: F.coalesce(F.try_element_at(F.col("reveal"), e), F.array().cast("array<string>")))))
-        hits = lambda b: F.filter(located(line["line"], WORD, 4), lambda s: F.array_contains(b, F.lower(s["value"])))
-        moved = lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + line["start"]).alias("start"), (s["end"] + line["start"]).alias("end"), s["value"].alias("value"))
-        return F.transform(let(bad, hits), moved)
+    def terms_of(bad: Column) -> Column:
+        hits = lambda line: F.filter(located(line["line"], WORD, 4), lambda s: F.array_contains(bad, F.lower(s["value"])))
+        moved = lambda line: lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + line["start"]).alias("start"), (s["end"] + line["start"]).alias("end"), s["value"].alias("value"))
+        return F.flatten(F.transform("lines", lambda line: F.transform(hits(line), moved(line))))
 
     none = F.array().cast(f"array<{SPAN}>")
-    terms = F.when(F.col("reveal").isNotNull(), F.flatten(F.transform("lines", terms_of))).otherwise(none)
+    terms = F.when(F.col("reveal").isNotNull(), let(F.array_distinct(F.flatten(F.map_values("reveal"))), terms_of)).otherwise(none)
     return joined.select("doc_id", "base", terms.alias("terms"), *(["text"] if keep_text else []))
 
 
