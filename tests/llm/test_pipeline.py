@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as C
-from tests.llm.test_operators import _components, _lines, words
+from tests.llm.test_llm_operators import _components, _lines, words
 from tidewright.llm import packing, quality
 
 
