@@ -75,10 +75,32 @@ def _cut_windows(docs, k):
         yield i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("source", "chunks", "window"), [("edge", None, 35), ("edge", 4, 5), ("table", 3, 35)])
-def test_substrings(request, source, chunks, window):
+def thue_morse(n, a="a", b="b"):
+    """Two strings of n symbols that collide in every polynomial hash modulo 2**64 from n = 1024 on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_equal_hashes_mean_equal_contents(spark, n):
+    one, two = ("".join(x) for x in thue_morse(n))
+    left, right = [prose(k, 34, 9000) for k in (1, 2)]
+    texts = [f"{left} {one} {right}", f"{left} {two} {right}", one, two, *(" ".join(x) for x in thue_morse(n, "ab", "ba"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = list(enumerate(texts))
+    for crowded in (None, 0):
+        got = substring_dedup.deduplicate(df, 35, chunks=2, crowded_from=crowded).collect()
+        same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], _cut_windows(docs, 35))
+        got = suffix_dedup.deduplicate(df, chunks=2, crowded_from=crowded).collect()
+        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], _cut_bytes(docs, 50))
+    got = jaccard_join.join(df, chunks=2).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], _components(docs))
+
+
+@pytest.mark.parametrize(("source", "chunks", "window", "crowded"), [("edge", None, 35, None), ("edge", 4, 5, 1), ("table", 3, 35, None), ("table", 3, 35, 1)])
+def test_substrings(request, source, chunks, window, crowded):
     df = request.getfixturevalue(source)
-    got = substring_dedup.deduplicate(df, window, chunks=chunks).collect()
+    got = substring_dedup.deduplicate(df, window, chunks=chunks, crowded_from=crowded).collect()
     same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], _cut_windows(pairs_of(df), window))
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
@@ -121,10 +143,10 @@ def _cut_bytes(docs, k):
         yield i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize(("source", "chunks"), [("edge", None), ("edge", 4), ("table", 3)])
-def test_suffixes(request, source, chunks):
+@pytest.mark.parametrize(("source", "chunks", "crowded", "shard"), [("edge", None, None, 2 << 20), ("edge", 4, 1, 2_000), ("table", 3, None, 50_000), ("table", 3, 1, 3_000)])
+def test_suffixes(request, source, chunks, crowded, shard):
     df = request.getfixturevalue(source)
-    got = suffix_dedup.deduplicate(df, chunks=chunks).collect()
+    got = suffix_dedup.deduplicate(df, chunks=chunks, crowded_from=crowded, sorted_bytes=shard).collect()
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], _cut_bytes(pairs_of(df), 50))
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
@@ -137,6 +159,32 @@ def test_suffix_array():
         assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
+def test_kasai_and_merging(monkeypatch):
+    rng = random.Random(4)
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for lanes in (1, 7, 4096):
+        monkeypatch.setattr(suffix_dedup, "LANES", lanes)
+        for n in (1, 2, 9, 60, 400):
+            b = bytes(rng.choice([0, 97, 98]) for _ in range(n)) + b"ab" * (n % 7)
+            data = np.frombuffer(b, np.uint8)
+            order, _ = suffix_dedup.suffix_array(data)
+            got = suffix_dedup.kasai(data, order, suffix_dedup.words8(data), 12)
+            assert got.tolist() == [0] + [min(12, common(b[i:], b[j:])) for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+    # windows of one key over several shards
+    for _ in range(30):
+        merger, seen, told = suffix_dedup.Merger(10), {}, []
+        for shard in range(5):
+            data = np.frombuffer(bytes(rng.choice([0, 97]) for _ in range(40)), np.uint8)
+            windows = np.arange(31)
+            part, owner = np.sort(np.full(31, shard // 3)), np.array([rng.randrange(9) for _ in windows])
+            told.append((data, windows, part, merger.add(data, windows, owner, part)))
+            for w, o, p in zip(windows, owner, part, strict=True):
+                k = (int(p), data[w : w + 10].tobytes())
+                seen[k] = min(seen.get(k, 99), int(o))
+        least = merger.owners()
+        assert all(least[m] == seen[int(p), d[w : w + 10].tobytes()] for d, ws, ps, ms in told for w, p, m in zip(ws, ps, ms, strict=True))
+
+
 # --- 2
 
 

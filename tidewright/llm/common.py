@@ -62,16 +62,27 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def chunk_count(total_bytes: int, partitions: int, least: int = 8 << 20, most: int = 1 << 30) -> int:
+def chunk_count(total_bytes: int, partitions: int, least: int = 8 << 20, most: int = 64 << 20) -> int:
     """How many chunks a corpus is dealt into.
 
     Packed exchanges send one blob per (chunk, bucket), so the chunk grows with the
-    square root of the corpus: both the number of blobs and their size stay moderate.  There are as many as
+    square root of the corpus, up to 64 MiB, which a task holds with its arrays.  There are as many as
     shuffle partitions, at least, unless that leaves less than 256 KiB to each.
     """
     size = min(most, max(least, int(least * math.sqrt(total_bytes / (1 << 30)))))
     return max(1, math.ceil(total_bytes / size), min(partitions, total_bytes >> 18))
 
 
-def chunks_for(docs: DataFrame, text_col: str = "text") -> int:
-    return chunk_count(text_bytes(docs, text_col), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def bucket_counts(chunks: int, total_bytes: int) -> tuple[int, int]:
+    """Buckets of the exchange of fingerprints (a tenth of the text) and of that of segments.
+
+    As many as chunks; where those are very many, of 2 GiB and 256 MiB of text, so that a blob keeps a hundred bytes and more.
+    """
+    return max(1, min(chunks, max(4_096, total_bytes >> 31))), max(1, min(chunks, max(4_096, total_bytes >> 28)))
+
+
+def chunks_for(docs: DataFrame, text_col: str = "text") -> tuple[int, int, int]:
+    """Chunks, and buckets of the two packed exchanges, over these texts."""
+    total = text_bytes(docs, text_col)
+    chunks = chunk_count(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chunks, *bucket_counts(chunks, total)

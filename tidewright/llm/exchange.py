@@ -4,7 +4,8 @@ Sending each fingerprint as a row costs 30 to 40 bytes.  Here every chunk of
 documents sends one binary value per bucket: its distinct fingerprints, sorted.  A bucket
 answers each chunk with one small value in the same order.  Repetition inside a chunk is
 folded before anything is sent, so a fingerprint that occurs in a third of all
-documents costs one entry per chunk.
+documents costs one entry per chunk.  What such a crowded key stands for is not gathered under the key: the operators
+deal its windows out one by one.
 
 Three Spark operations: grouped map over the chunks, grouped map over the buckets, and
 a cogrouped map that brings the answers back to the chunks.  The chunk exchange of the
@@ -58,11 +59,20 @@ def deal(docs: DataFrame, chunks: int, id_col: str = "doc_id") -> DataFrame:
     return docs.withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(chunks)).cast("int"))
 
 
-def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """``(chunk, bucket, body)``: for each distinct key of the chunk, in order, whether it is repeated.
+def _body(told: np.ndarray, crowded: np.ndarray) -> bytes:
+    return np.packbits(told).tobytes() + np.packbits(crowded).tobytes()
+
+
+def crowd(chunks: int) -> int:
+    """A key in more chunks than this is crowded: an eighth of all, 64 at least."""
+    return max(64, chunks // 8)
+
+
+def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int, crowded_from: int) -> DataFrame:
+    """``(chunk, bucket, body)``: for each distinct key of the chunk, in order, whether it is repeated, and whether it is crowded.
 
     ``emit`` gives a chunk's distinct sorted keys and which of them already count as
-    repeated within it; a key that occurs in two chunks is repeated as well.
+    repeated within it; a key that occurs in two chunks is repeated as well, one in over ``crowded_from`` chunks is crowded.
     """
 
     def send(t: pa.Table) -> pa.Table:
@@ -78,10 +88,11 @@ def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.n
         keys, flags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         known = np.zeros(len(counts), bool)
-        np.logical_or.at(known, inverse[flags], True)
-        told = (known | (counts > 1))[inverse]
+        known[inverse[flags]] = True
+        told, crowded = (known | (counts > 1))[inverse], (counts > crowded_from)[inverse]
         ends = np.cumsum([len(p[0]) for p in parts])
-        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array([np.packbits(told[j - len(p[0]) : j]).tobytes() for p, j in zip(parts, ends, strict=True)], pa.binary())})
+        bodies = [_body(told[j - len(p[0]) : j], crowded[j - len(p[0]) : j]) for p, j in zip(parts, ends, strict=True)]
+        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(bodies, pa.binary())})
 
     return dealt.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT)
 
@@ -125,14 +136,16 @@ def sent(chunk: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "body": pa.array([x for _, x in rows], pa.binary())})
 
 
-def read_flags(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers of ``repeated`` in the order of the chunk's keys."""
-    out = np.zeros(len(keys), bool)
+def read_flags(answers: pa.Table, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of ``repeated`` in the order of the chunk's keys: which are repeated, which crowded."""
+    told, crowded = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     order, cuts = by_bucket(keys, buckets)
     for b, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True):
         i, j = cuts[b], cuts[b + 1]
-        out[order[i:j]] = np.unpackbits(np.frombuffer(body, np.uint8), count=j - i).astype(bool)
-    return out
+        bits = np.frombuffer(body, np.uint8).reshape(2, -1)
+        for to, row in zip((told, crowded), bits, strict=True):
+            to[order[i:j]] = np.unpackbits(row, count=j - i)
+    return told, crowded
 
 
 def batches(t: pa.Table, least_bytes: int) -> Iterator[pa.Table]:

@@ -51,8 +51,7 @@ def shingle_sets(t: pa.Table, k: int) -> list[np.ndarray]:
         data, offsets = X.buffers(part)
         w = words_of(data, offsets)
         spans = Spans(w.code)
-        at = np.arange(max(0, len(w.code) - k + 1))
-        every = spans.of(at, at + k)
+        every = spans.every(k)
         for first, n in zip(w.first.tolist(), w.count.tolist(), strict=True):
             if n >= k:
                 out.append(np.unique(every[first : first + n - k + 1]))
@@ -184,7 +183,7 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
     counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one"))
     total = digests.count()
     hot = counts.where(F.col("n") > max(1000, total // 1000)).select(F.col("digest").alias("hot_digest"), "one")
-    chunks = chunks or chunks_for(docs)
+    chunks, buckets, _ = (chunks, chunks, chunks) if chunks else chunks_for(docs)
     rows = docs.withColumn("digest", _digest(F.col("text"))).join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
     rows = rows.where(F.col("hot_digest").isNull() | F.col("one").isNull() | F.col("one").eqNullSafe(F.col("doc_id")))
     dealt = rows.select("digest", F.concat(lower_ascii(F.col("text")), F.lit(" ")).alias("text"), F.pmod(F.xxhash64("digest"), F.lit(chunks)).cast("int").alias("chunk"))
@@ -204,7 +203,7 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
         t = distinct(t)
         sets = shingle_sets(t, SHINGLE_WORDS)
         keys = np.unique(np.concatenate([np.zeros(0, U), *sets]))
-        weight = X.read_weights(answers, keys, chunks)
+        weight = X.read_weights(answers, keys, buckets)
         base, out = key[0].as_py() << 32, []
         for i, (digest, s) in enumerate(zip(t["digest"].to_pylist(), sets, strict=True)):
             n = len(s)
@@ -218,7 +217,7 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
                 out.append((digest, base + i, n, None, None))
         return _class_table(out)
 
-    answers = X.weights(dealt, emit, chunks)
+    answers = X.weights(dealt, emit, buckets)
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, CLASSES)
 
 

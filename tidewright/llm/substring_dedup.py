@@ -17,13 +17,15 @@ representative form a segment.
 1. Every chunk of documents sends the keys of its representatives (packed exchange); a key
    that occurs once in the corpus proves all its windows unique.
 2. Of repeated keys, each chunk sends its distinct segments with counts and the 64-bit hashes of
-   their windows; the shard of a key counts them exactly.
+   their windows; the shard of a key counts them exactly.  A key that very many chunks hold (a common phrase, with ever other
+   words around it) would draw its segments into one shard: its windows are dealt out one by one by their hash.
 3. The verdicts go back and the covered words are cut out.
 
 Results: null, empty and blank texts have no words (``n_words`` 0, SHA-256 of nothing); a
 text shorter than the window loses nothing; repeated rows (even with equal or null
 ids) are separate documents and repeat each other; other columns are ignored.  Equal windows are
-recognised by two hashes, of the representative's context and of the window, 64 bits each.
+recognised by two hashes, of the representative's context and of the window, 64 bits each, built by mixing
+functions throughout (``hashing``): no family of texts collides by construction.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
 from tidewright.llm.common import WHITE, chunks_for
-from tidewright.llm.hashing import BYTE_CODES, Spans, U, mix
+from tidewright.llm.hashing import Spans, U, gather, mix, word_codes
 
 ROUNDS = 3
 BATCH = 1 << 20
@@ -78,7 +80,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     blank = _WHITE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    codes = Spans(BYTE_CODES[data]).of(start, end) + (end - start).astype(U) * _LEN if len(data) else np.zeros(0, U)
+    codes = word_codes(data, start, end)
     before = np.searchsorted(start, offsets)  # words before each document
     count = np.diff(before)
     docs = len(offsets) - 1
@@ -154,8 +156,7 @@ def segments(w: Words, window: int, rounds: int = ROUNDS) -> Segments:
     # windows with a separator in them don't exist
     inside = np.concatenate([[0], np.cumsum(w.mark)])
     valid = np.flatnonzero(inside[window:] == inside[:starts])
-    hashes = np.zeros(starts, U)
-    hashes[valid] = spans.of(valid, valid + window)
+    hashes = spans.every(window)
     if not len(valid):
         return Segments(valid, valid, hashes[valid], hashes[valid], hashes)
     own = best[valid]
@@ -176,21 +177,26 @@ def member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(values, return_counts=True)
+def singled(s: Segments, use: np.ndarray, crowded: np.ndarray) -> Segments:
+    """The segments whose key is in ``use``; those of ``crowded`` keys are cut into single windows, each its own key.
 
+    A window belongs to the same kind of segment wherever it occurs, so equal windows still meet.
+    """
+    many = member(s.key, crowded)
+    plain = member(s.key, use) & ~many
+    each = gather(s.first[many], (s.last - s.first + 1)[many]).astype(s.first.dtype)
+    own = mix(s.hashes[each] + _TO)
+    return Segments(np.concatenate([s.first[plain], each]), np.concatenate([s.last[plain], each]), np.concatenate([s.key[plain], own]), np.concatenate([s.name[plain], mix(own + _AT)]), s.hashes)
 
-def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices first[i], first[i]+1, ... of all ranges, one after the other."""
-    total = int(size.sum())
-    begin = np.cumsum(size) - size
-    return np.repeat(first - begin, size) + np.arange(total)
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(values, return_counts=True)
 
 
-def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None, crowded_from: int | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, and ``kept`` (the words left, joined by one space) if asked for."""
-    chunks = chunks or chunks_for(docs, text_col)
-    buckets = chunks
+    chunks, buckets, shards = (chunks, chunks, chunks) if chunks else chunks_for(docs, text_col)
+    crowded_from = X.crowd(chunks) if crowded_from is None else crowded_from
     # white space at the end keeps the documents of a batch apart
     dealt = X.deal(docs.select(F.col(id_col).alias("doc_id"), F.concat(F.coalesce(text_col, F.lit("")), F.lit(" ")).alias("text")), chunks)
 
@@ -213,22 +219,21 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
         keys, counts = keys_of(parsed(t))
         return keys, counts > 1
 
-    def chosen(batches: list[tuple], answers: pa.Table):
+    def chosen(batches: list[tuple], answers: pa.Table) -> list[Segments]:
+        """Of each batch the segments of repeated keys; those of crowded keys window by window."""
         keys, _ = keys_of(batches)
-        return keys[X.read_flags(answers, keys, buckets)]
+        told, crowded = X.read_flags(answers, keys, buckets)
+        return [singled(s, keys[told], keys[crowded]) for *_, s in batches]
 
     # per distinct segment: name, key, count, number of windows; then the hashes of the windows
     def offer(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.sent(0, [])
-        batches = parsed(t)
-        hot = chosen(batches, answers)
         found = []
-        for *_, s in batches:
-            use = member(s.key, hot)
-            name, at, counts = np.unique(s.name[use], return_index=True, return_counts=True)
-            first, size = s.first[use][at], (s.last - s.first + 1)[use][at]
-            found.append((name, s.key[use][at], counts, size, s.hashes[_gather(first, size)]))
+        for s in chosen(parsed(t), answers):
+            name, at, counts = np.unique(s.name, return_index=True, return_counts=True)
+            first, size = s.first[at], (s.last - s.first + 1)[at]
+            found.append((name, s.key[at], counts, size, s.hashes[gather(first, size)]))
         if not found:
             return X.sent(0, [])
         name, own, counts, size, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -236,13 +241,13 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
         distinct, at, inverse = np.unique(name, return_index=True, return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.uint32)
         own, size, begin = own[at], size[at], begin[at]
-        order, cuts = X.by_bucket(own, buckets)
+        order, cuts = X.by_bucket(own, shards)
         rows = []
         for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if j > i:
                 o = order[i:j]
                 body = np.array([j - i], "<u8").tobytes() + own[o].astype("<u8").tobytes() + total[o].astype("<u4").tobytes() + size[o].astype("<u4").tobytes()
-                rows.append((b, body + hashes[_gather(begin[o], size[o])].astype("<u8").tobytes()))
+                rows.append((b, body + hashes[gather(begin[o], size[o])].astype("<u8").tobytes()))
         return X.sent(key[0].as_py(), rows)
 
     def judge(t: pa.Table) -> pa.Table:
@@ -271,27 +276,25 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
         stage = both["stage"].to_numpy()
         answers, verdicts = both.filter(pa.array(stage == 0)), both.filter(pa.array(stage == 1))
         batches = parsed(t)
-        hot = chosen(batches, answers)
+        picked = chosen(batches, answers)
         # the distinct segments once more, in the order in which they were offered
         names, keys, sizes = [], [], []
-        for *_, s in batches:
-            use = member(s.key, hot)
-            name, at = np.unique(s.name[use], return_index=True)
-            names.append(name), keys.append(s.key[use][at]), sizes.append((s.last - s.first + 1)[use][at])
+        for s in picked:
+            name, at = np.unique(s.name, return_index=True)
+            names.append(name), keys.append(s.key[at]), sizes.append((s.last - s.first + 1)[at])
         name, at = np.unique(np.concatenate(names), return_index=True)
         own, size = np.concatenate(keys)[at], np.concatenate(sizes)[at]
-        order, cuts = X.by_bucket(own, buckets)
+        order, cuts = X.by_bucket(own, shards)
         base = np.cumsum(size) - size
         flags = np.zeros(int(size.sum()), bool)
         for b, body in zip(verdicts["bucket"].to_pylist(), verdicts["body"].to_pylist(), strict=True):
             o = order[cuts[b] : cuts[b + 1]]
-            flags[_gather(base[o], size[o])] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(size[o].sum())).astype(bool)
-        for part, data, offsets, w, s in batches:
+            flags[gather(base[o], size[o])] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(size[o].sum())).astype(bool)
+        for (part, data, offsets, w, _), s in zip(batches, picked, strict=True):
             gone = np.zeros(len(w.mark) + 1, np.int64)
-            use = np.flatnonzero(member(s.key, hot))
-            if len(use):
-                which = np.searchsorted(name, s.name[use])
-                p = _gather(s.first[use], size[which])[flags[_gather(base[which], size[which])]]
+            if len(s.name):
+                which = np.searchsorted(name, s.name)
+                p = gather(s.first, size[which])[flags[gather(base[which], size[which])]]
                 np.add.at(gone, p, 1)
                 np.add.at(gone, p + window, -1)
             removed = np.cumsum(gone[:-1]) > 0
@@ -316,7 +319,7 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
                     out["kept"].append(text.decode("utf-8", "replace"))
         return pa.table({k: pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in out.items() if keep_text or k != "kept"})
 
-    answers = X.repeated(dealt, emit, buckets)
+    answers = X.repeated(dealt, emit, buckets, crowded_from)
     offers = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(offer, X.SENT)
     verdicts = offers.groupBy("bucket").applyInArrow(judge, X.SENT)
     both = answers.withColumn("stage", F.lit(0)).unionByName(verdicts.withColumn("stage", F.lit(1)))
