@@ -81,8 +81,37 @@ def bucket_counts(chunks: int, total_bytes: int) -> tuple[int, int]:
     return max(1, min(chunks, max(4_096, total_bytes >> 31))), max(1, min(chunks, max(4_096, total_bytes >> 28)))
 
 
-def chunks_for(docs: DataFrame, text_col: str = "text") -> tuple[int, int, int]:
-    """Chunks, and buckets of the two packed exchanges, over these texts."""
+def chunks_for(docs: DataFrame, text_col: str = "text") -> tuple[int, int, int, int]:
+    """Chunks, buckets of the two packed exchanges, and bytes, of these texts."""
     total = text_bytes(docs, text_col)
     chunks = chunk_count(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return chunks, *bucket_counts(chunks, total)
+    return chunks, *bucket_counts(chunks, total), total
+
+
+#: Words of 64 bits in a sieve; it is what a broadcast of one holds at most.
+SLOTS = 1 << 21
+
+
+def _slot(value: Column) -> Column:
+    return F.pmod(value, F.lit(SLOTS)).cast("long")
+
+
+def _mask(value: Column) -> Column:
+    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(value, by).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(32).bitwiseOR(bit(40))
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """A Bloom filter of 64-bit hashes as a table of at most ``SLOTS`` rows: ``slot, bits``."""
+    return keys.groupBy(_slot(F.col(column)).alias("slot")).agg(F.bit_or(_mask(F.col(column))).alias("bits"))
+
+
+def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str, among: bool = True) -> DataFrame:
+    """The rows whose hash may be among the keys (or, ``among=False``, surely isn't), without shuffling them.
+
+    Only the sieve is broadcast, whose size is bounded whatever the number of keys.
+    """
+    held = F.broadcast(sieve(keys, key).withColumnsRenamed({"slot": "__slot", "bits": "__bits"}))
+    met = rows.join(held, _slot(F.col(column)) == F.col("__slot"), "inner" if among else "left")
+    hit = F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(_mask(F.col(column))) == _mask(F.col(column))
+    return met.where(hit if among else ~hit).select(*rows.columns)
