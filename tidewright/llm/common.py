@@ -35,14 +35,18 @@ def _context_dir(spark: SparkSession) -> str | None:
     return held.get() if held.isDefined() else None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder, and lets go of shuffles that nothing needs any more."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder; ``free`` lets go of shuffles that nothing needs any more.
+
+    Freeing costs a full collection of garbage, so it is asked for after large exchanges only.
+    """
     where = shared_dir(df.sparkSession)
     if not _context_dir(df.sparkSession):
         df.sparkSession.sparkContext.setCheckpointDir(where)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector
     return out
 
 

@@ -27,19 +27,18 @@ KEY_BYTES = 5
 Emit = Callable[[pa.Table], np.ndarray]
 
 
-def pack(keys: np.ndarray, flags: np.ndarray, width: int = KEY_BYTES) -> bytes:
-    """The low bytes of each key, then the flag bits."""
+def pack(keys: np.ndarray, *flags: np.ndarray, width: int = KEY_BYTES) -> bytes:
+    """Their number, the low bytes of each key, then the bits of each flag."""
     low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return low.tobytes() + np.packbits(flags).tobytes()
+    return b"".join([np.array([len(keys)], "<u4").tobytes(), low.tobytes(), *(np.packbits(f).tobytes() for f in flags)])
 
 
-def unpack(body: bytes, width: int = KEY_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    n = len(body) * 8 // (width * 8 + 1)
-    while n * width + (n + 7) // 8 > len(body):
-        n -= 1
+def unpack(body: bytes, width: int = KEY_BYTES) -> tuple[np.ndarray, ...]:
+    n = int(np.frombuffer(body, "<u4", 1)[0])
     keys = np.zeros((n, 8), np.uint8)
-    keys[:, :width] = np.frombuffer(body, np.uint8, n * width).reshape(-1, width)
-    return keys.view("<u8").ravel(), np.unpackbits(np.frombuffer(body, np.uint8, offset=n * width), count=n).astype(bool)
+    keys[:, :width] = np.frombuffer(body, np.uint8, n * width, 4).reshape(-1, width)
+    bits = np.frombuffer(body, np.uint8, offset=4 + n * width).reshape(-1, (n + 7) // 8)
+    return keys.view("<u8").ravel(), *(np.unpackbits(x, count=n).astype(bool) for x in bits)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -63,33 +62,38 @@ def _body(told: np.ndarray, crowded: np.ndarray) -> bytes:
     return np.packbits(told).tobytes() + np.packbits(crowded).tobytes()
 
 
-def crowd(chunks: int) -> int:
-    """A key in more chunks than this is crowded: an eighth of all, 64 at least."""
-    return max(64, chunks // 8)
+def crowd(chunks: int, shards: int, total_bytes: int, segment_bytes: int) -> tuple[int, int]:
+    """What makes a key crowded: so many segments in a chunk, in more than so many chunks.
+
+    The first is half of what a chunk sends to a shard on average, the second a quarter of the chunks: such a key
+    alone would be an eighth of a shard.
+    """
+    return max(16, total_bytes // (2 * segment_bytes * chunks * shards)), max(8, chunks // 4)
 
 
-def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int, crowded_from: int) -> DataFrame:
+def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, crowded_from: int) -> DataFrame:
     """``(chunk, bucket, body)``: for each distinct key of the chunk, in order, whether it is repeated, and whether it is crowded.
 
-    ``emit`` gives a chunk's distinct sorted keys and which of them already count as
-    repeated within it; a key that occurs in two chunks is repeated as well, one in over ``crowded_from`` chunks is crowded.
+    ``emit`` gives a chunk's distinct sorted keys, which of them already count as
+    repeated within it, and which are dense in it; a key that occurs in two chunks is repeated as well, one that is dense in over
+    ``crowded_from`` chunks is crowded.
     """
 
     def send(t: pa.Table) -> pa.Table:
         chunk = t["chunk"][0].as_py()
-        keys, flags = emit(t)
+        keys, flags, dense = emit(t)
         order, cuts = by_bucket(keys, buckets)
-        keys, flags = keys[order], flags[order]
-        rows = [(b, pack(keys[i:j], flags[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        keys, flags, dense = keys[order], flags[order], dense[order]
+        rows = [(b, pack(keys[i:j], flags[i:j], dense[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return sent(chunk, rows)
 
     def answer(t: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in t["body"].to_pylist()]
-        keys, flags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        keys, flags, dense = (np.concatenate([p[i] for p in parts]) for i in range(3))
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         known = np.zeros(len(counts), bool)
         known[inverse[flags]] = True
-        told, crowded = (known | (counts > 1))[inverse], (counts > crowded_from)[inverse]
+        told, crowded = (known | (counts > 1))[inverse], (np.bincount(inverse[dense], minlength=len(counts)) > crowded_from)[inverse]
         ends = np.cumsum([len(p[0]) for p in parts])
         bodies = [_body(told[j - len(p[0]) : j], crowded[j - len(p[0]) : j]) for p, j in zip(parts, ends, strict=True)]
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(bodies, pa.binary())})
@@ -110,7 +114,7 @@ def weights(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.nd
         keys, flags = emit(t)
         order, cuts = by_bucket(keys, buckets)
         keys, flags = keys[order], flags[order]
-        rows = [(b, pack(keys[i:j], flags[i:j], width)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        rows = [(b, pack(keys[i:j], flags[i:j], width=width)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return sent(chunk, rows)
 
     def answer(t: pa.Table) -> pa.Table:

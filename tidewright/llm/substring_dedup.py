@@ -43,6 +43,7 @@ from tidewright.llm.common import WHITE, chunks_for
 from tidewright.llm.hashing import Spans, U, gather, mix, word_codes
 
 ROUNDS = 3
+SEGMENT_BYTES = 50  # of text, for each segment that a chunk has
 BATCH = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[list(WHITE)] = True
@@ -193,10 +194,10 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_counts=True)
 
 
-def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None, crowded_from: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None, crowded: tuple[int, int] | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, and ``kept`` (the words left, joined by one space) if asked for."""
-    chunks, buckets, shards = (chunks, chunks, chunks) if chunks else chunks_for(docs, text_col)
-    crowded_from = X.crowd(chunks) if crowded_from is None else crowded_from
+    chunks, buckets, shards, total = (chunks, chunks, chunks, 0) if chunks else chunks_for(docs, text_col)
+    dense, dense_chunks = crowded or X.crowd(chunks, shards, total, SEGMENT_BYTES)
     # white space at the end keeps the documents of a batch apart
     dealt = X.deal(docs.select(F.col(id_col).alias("doc_id"), F.concat(F.coalesce(text_col, F.lit("")), F.lit(" ")).alias("text")), chunks)
 
@@ -217,13 +218,13 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
 
     def emit(t: pa.Table):
         keys, counts = keys_of(parsed(t))
-        return keys, counts > 1
+        return keys, counts > 1, counts >= dense
 
     def chosen(batches: list[tuple], answers: pa.Table) -> list[Segments]:
         """Of each batch the segments of repeated keys; those of crowded keys window by window."""
         keys, _ = keys_of(batches)
-        told, crowded = X.read_flags(answers, keys, buckets)
-        return [singled(s, keys[told], keys[crowded]) for *_, s in batches]
+        told, many = X.read_flags(answers, keys, buckets)
+        return [singled(s, keys[told], keys[many]) for *_, s in batches]
 
     # per distinct segment: name, key, count, number of windows; then the hashes of the windows
     def offer(key, t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -319,7 +320,7 @@ def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", te
                     out["kept"].append(text.decode("utf-8", "replace"))
         return pa.table({k: pa.array(v, pa.string() if k.startswith("kept") else pa.int64()) for k, v in out.items() if keep_text or k != "kept"})
 
-    answers = X.repeated(dealt, emit, buckets, crowded_from)
+    answers = X.repeated(dealt, emit, buckets, dense_chunks)
     offers = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(offer, X.SENT)
     verdicts = offers.groupBy("bucket").applyInArrow(judge, X.SENT)
     both = answers.withColumn("stage", F.lit(0)).unionByName(verdicts.withColumn("stage", F.lit(1)))

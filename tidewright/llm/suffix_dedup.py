@@ -41,6 +41,7 @@ LENGTH, GRAM = 50, 20
 BATCH = 1 << 20
 SORTED = 2 << 20  # bytes of segments in one suffix array
 LANES = 1 << 13
+SEGMENT_BYTES = 20  # of text, for each segment that a chunk has
 LAST = np.iinfo(np.int64).max
 _ALONE, _NAMED = U(0xA24BAED4963EE407), U(0xC2B2AE3D27D4EB4F)
 
@@ -240,22 +241,22 @@ def singled(data: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarr
     return first, last, key, name, doc
 
 
-def least_by(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted; the place of one; the smallest and the largest document of each."""
+def least_by(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; the place of one; the smallest and the largest document of each; how often it occurs."""
     order = np.argsort(keys)
     k, d = keys[order], docs[order]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     if not len(k):
-        return k, order, d, d
-    return k[head], order[head], np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)
+        return k, order, d, d, order
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[head], order[head], np.minimum.reduceat(d, head), np.maximum.reduceat(d, head), np.diff(np.concatenate([head, [len(k)]]))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, chunks: int | None = None, crowded_from: int | None = None, sorted_bytes: int = SORTED) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, chunks: int | None = None, crowded: tuple[int, int] | None = None, sorted_bytes: int = SORTED) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``kept`` (binary) if asked for."""
     if length < gram or length < 8:
         raise ValueError("length must be at least gram and 8")
-    chunks, buckets, shards = (chunks, chunks, chunks) if chunks else chunks_for(docs, text_col)
-    crowded_from = X.crowd(chunks) if crowded_from is None else crowded_from
+    chunks, buckets, shards, total = (chunks, chunks, chunks, 0) if chunks else chunks_for(docs, text_col)
+    dense, dense_chunks = crowded or X.crowd(chunks, shards, total, SEGMENT_BYTES)
     dealt = X.deal(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")), chunks)
 
     def ids_of(t: pa.Table) -> np.ndarray:
@@ -271,19 +272,20 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
         return out
 
     def keys_of(batches: list[tuple]):
+        """Distinct keys, their smallest and largest document, and how often they occur."""
         keys, ids = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for *_, key, doc in batches:
             keys.append(key), ids.append(doc)
-        keys, _, least, most = least_by(np.concatenate(keys), np.concatenate(ids))
-        return keys, least != most
+        return least_by(np.concatenate(keys), np.concatenate(ids))
 
     def emit(t: pa.Table):
-        return keys_of(parsed(t))
+        keys, _, least, most, count = keys_of(parsed(t))
+        return keys, least != most, count >= dense
 
     def chosen(batches: list[tuple], answers: pa.Table) -> list[tuple]:
-        keys, _ = keys_of(batches)
-        told, crowded = X.read_flags(answers, keys, buckets)
-        return [singled(data, first, last, own, doc, keys[told], keys[crowded], length) for _, data, _, first, last, own, doc in batches]
+        keys, *_ = keys_of(batches)
+        told, many = X.read_flags(answers, keys, buckets)
+        return [singled(data, first, last, own, doc, keys[told], keys[many], length) for _, data, _, first, last, own, doc in batches]
 
     def offer(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -292,14 +294,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
         found, texts = [], []
         base = 0
         for (_, data, *_), (first, last, own, name, doc) in zip(batches, chosen(batches, answers), strict=True):
-            names, at, least, _ = least_by(name, doc)
+            names, at, least, *_ = least_by(name, doc)
             size = last[at] - first[at] + length
             found.append((names, own[at], least, size, base + np.cumsum(size) - size))
             texts.append(data[gather(first[at], size)])
             base += int(size.sum())
         name, own, doc, size, begin = (np.concatenate(x) for x in zip(*found, strict=True))
         text = np.concatenate(texts)
-        name, at, doc, _ = least_by(name, doc)
+        name, at, doc, *_ = least_by(name, doc)
         own, size, begin = own[at], size[at], begin[at]
         order, cuts = X.by_bucket(own, shards)
         rows = []
@@ -322,7 +324,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
             counts.append(n)
         name, doc, size, part, text = (np.concatenate(x) for x in (name, doc, size, part, text))
         begin = np.cumsum(size) - size
-        distinct, at, doc, _ = least_by(name, doc)
+        distinct, at, doc, *_ = least_by(name, doc)
         begin, span, part = begin[at], size[at], part[at]
         wins = span - length + 1
         opens = np.cumsum(wins) - wins
@@ -409,7 +411,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_c
                 out["kept"] += kept
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=False)})
 
-    answers = X.repeated(dealt, emit, buckets, crowded_from)
+    answers = X.repeated(dealt, emit, buckets, dense_chunks)
     offers = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(offer, X.SENT)
     verdicts = offers.groupBy("bucket").applyInArrow(judge, X.SENT)
     both = answers.withColumn("stage", F.lit(0)).unionByName(verdicts.withColumn("stage", F.lit(1)))
