@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidewright.llm import decontaminate, fingerprint, jaccard_join, line_dedup, packing, pii, quality, registry, substring_dedup, suffix_dedup, warc
+from tidewright.llm import common, decontaminate, fingerprint, jaccard_join, line_dedup, packing, pii, quality, registry, substring_dedup, suffix_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # columns whose names the operators use inside
@@ -88,19 +88,19 @@ def test_equal_hashes_mean_equal_contents(spark, n):
     texts = [f"{left} {one} {right}", f"{left} {two} {right}", one, two, *(" ".join(x) for x in thue_morse(n, "ab", "ba"))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs = list(enumerate(texts))
-    for crowded in (None, 0):
-        got = substring_dedup.deduplicate(df, 35, chunks=2, crowded_from=crowded).collect()
+    for crowded in (None, (1, 0)):
+        got = substring_dedup.deduplicate(df, 35, chunks=2, crowded=crowded).collect()
         same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], _cut_windows(docs, 35))
-        got = suffix_dedup.deduplicate(df, chunks=2, crowded_from=crowded).collect()
+        got = suffix_dedup.deduplicate(df, chunks=2, crowded=crowded).collect()
         same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], _cut_bytes(docs, 50))
     got = jaccard_join.join(df, chunks=2).collect()
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], _components(docs))
 
 
-@pytest.mark.parametrize(("source", "chunks", "window", "crowded"), [("edge", None, 35, None), ("edge", 4, 5, 1), ("table", 3, 35, None), ("table", 3, 35, 1)])
+@pytest.mark.parametrize(("source", "chunks", "window", "crowded"), [("edge", None, 35, None), ("edge", 4, 5, (2, 0)), ("table", 3, 35, None), ("table", 3, 35, (2, 1))])
 def test_substrings(request, source, chunks, window, crowded):
     df = request.getfixturevalue(source)
-    got = substring_dedup.deduplicate(df, window, chunks=chunks, crowded_from=crowded).collect()
+    got = substring_dedup.deduplicate(df, window, chunks=chunks, crowded=crowded).collect()
     same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], _cut_windows(pairs_of(df), window))
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
@@ -143,10 +143,10 @@ def _cut_bytes(docs, k):
         yield i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize(("source", "chunks", "crowded", "shard"), [("edge", None, None, 2 << 20), ("edge", 4, 1, 2_000), ("table", 3, None, 50_000), ("table", 3, 1, 3_000)])
+@pytest.mark.parametrize(("source", "chunks", "crowded", "shard"), [("edge", None, None, 2 << 20), ("edge", 4, (2, 0), 2_000), ("table", 3, None, 50_000), ("table", 3, (2, 1), 3_000)])
 def test_suffixes(request, source, chunks, crowded, shard):
     df = request.getfixturevalue(source)
-    got = suffix_dedup.deduplicate(df, chunks=chunks, crowded_from=crowded, sorted_bytes=shard).collect()
+    got = suffix_dedup.deduplicate(df, chunks=chunks, crowded=crowded, sorted_bytes=shard).collect()
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], _cut_bytes(pairs_of(df), 50))
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
@@ -450,23 +450,40 @@ def test_benchmark(spark, small, edge, table):
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{small}/benchmark.parquet'")
     want = con.execute(decontaminate.ORACLE["op9_decontaminate"]).fetchall()
     same([tuple(r) for r in decontaminate.contained(table, bench).collect()], want)
-    items = spark.createDataFrame([(1, " ".join(BASE.split()[20:60])), (2, None), (3, "one two three"), (4, prose(5, 50)), (5, " ".join([*BASE.split()[20:50], *"nothing of that".split()]))], "item_id long, text string")
-    got = decontaminate.contained(edge, items).collect()
+    items = spark.createDataFrame([(1, " ".join(BASE.split()[20:60])), (2, None), (3, "one two three"), (4, prose(5, 50)), (5, " ".join([*BASE.split()[20:50], *"nothing of that".split()])), (None, "one two three"), (None, " ".join(BASE.split()[:40])), (3, "one two three")], "item_id long, text string")
     sets = lambda t: {tuple(w[i : i + 5]) for w in [words((t or "").lower())] for i in range(max(1, len(w) - 4)) if w}
-    want = set()
-    held = defaultdict(set)
-    for i, t in pairs_of(edge):
-        held[i] |= sets(t)
-    for item, t in [(r.item_id, r.text) for r in items.collect()]:
-        for i, s in held.items():
-            if sets(t) and 100 * len(s & sets(t)) >= 80 * len(sets(t)):
-                want.add((i, item))
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    reached = lambda t, u: bool(sets(u)) and 100 * len(sets(t) & sets(u)) >= 80 * len(sets(u))
+    asked = set(pairs_of(items.withColumnRenamed("item_id", "doc_id")))
+    want = [(i, j, len(sets(t) & sets(u)), len(sets(u))) for i, t in set(pairs_of(edge)) for j, u in asked if reached(t, u)]
+    same([(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contained(edge, items).collect()], want)
     left = decontaminate.clean(edge, items)
-    assert left.columns == edge.columns and {r.doc_id for r in left.collect()} == {i for i, _ in pairs_of(edge)} - {i for i, _ in want}
+    assert left.columns == edge.columns
+    same(pairs_of(left), [(i, t) for i, t in pairs_of(edge) if not any(reached(t, u) for _, u in asked)])
+    # of the rows without an id, the one without text stays
+    assert [r.text for r in left.where("doc_id IS NULL").collect()] == [None]
     assert decontaminate.clean(edge, items.where("false")).count() == edge.count()
 
 
+def test_the_sketch_decides_what_is_verified(spark):
+    """Candidates are found by the sketch alone, and a sieve loses no row and stays small."""
+    item = prose(71, 60, 10_000)
+    docs = spark.createDataFrame([(1, prose(72, 300) + " " + item + " " + prose(73, 300)), (2, " ".join(item.split()[:30]) + " " + prose(74, 90)), (3, prose(75, 400))], "doc_id long, text string")
+    sought = decontaminate.sketches(decontaminate.keyed(spark.createDataFrame([(7, item)], "item_id long, text string"), "item_id", "text", "item_id", "item"), 80)
+    sketch = {r.hash for r in sought.where("in_sketch").collect()}
+    assert len(sketch) == 64 - 52 + 1 and sought.count() == 56
+    rows = decontaminate.keyed(docs, "doc_id", "text", "doc_id", "doc")
+    held = {r.doc: r.doc_id for r in rows.collect()}
+    found = {held[r.doc] for r in decontaminate.candidates(rows, sought).collect()}
+    have = {r.doc_id for r in rows.select("doc_id", decontaminate.F.explode(decontaminate._set()).alias("h")).collect() if r.h in sketch}
+    assert found == have and 1 in found and 3 not in found
+    many = spark.range(300_000).selectExpr("xxhash64(id) AS h")
+    assert common.sifted(many, "h", many.limit(1000), "h").count() >= 1000
+    picked = many.where("h % 7 = 0")
+    passed = common.sifted(many, "h", picked, "h")
+    assert passed.join(picked, "h").count() == picked.count() and passed.count() < 1.2 * picked.count()
+    assert passed.count() + common.sifted(many, "h", picked, "h", among=False).count() == many.count()
+
+
 # --- 10
 
 
@@ -513,13 +530,37 @@ def family(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("source", "size"), [("edge", 20_000), ("table", 20_000), ("family", 20_000), ("family", 9), ("edge", 1)])
-def test_jaccard(request, source, size):
+@pytest.mark.parametrize(("source", "rows", "block", "levels"), [("edge", 256, 128, 6), ("table", 256, 128, 6), ("family", 256, 128, 6), ("family", 9, 5, 1), ("family", 4, 7, 0), ("edge", 1, 2, 1), ("mixed", 8, 6, 2)])
+def test_jaccard(request, monkeypatch, source, rows, block, levels):
+    monkeypatch.setattr(jaccard_join, "BLOCK", (block, 20_000))
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     df = request.getfixturevalue(source)
-    got = jaccard_join.join(df, chunks=3, family_size=size).collect()
+    got = jaccard_join.join(df, chunks=3, region_rows=rows).collect()
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], _components(pairs_of(df)))
 
 
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """One region of mostly outsiders: all share rare passages, few are linked, some form clusters of their own."""
+    rng, rows = random.Random(16), []
+    passages = [prose(300 + i, 40, 5_000) for i in range(3)]
+    for g in range(40):
+        body = prose(400 + g, rng.choice([12, 90]), 9_000).split()
+        for k in range(rng.choice([1, 1, 1, 4])):
+            t = list(body)
+            if k:
+                t[rng.randrange(len(t))] = f"edit{k}"
+            rows.append((len(rows), " ".join([passages[g % 3], *t, passages[(g + 1) % 3]])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_copies_of_an_id_are_told_apart_by_their_texts(spark):
+    a, b = prose(31, 80), prose(32, 80)
+    rows = [(1, a), (1, b), (1, a), (2, a + " end"), (None, b + " end"), (None, prose(33, 60)), (None, prose(34, 60)), (None, prose(34, 60)), (3, "  "), (3, ""), (3, "")]
+    got = jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(pairs_of(got), [(1, a), (1, b), (None, prose(33, 60)), (None, prose(34, 60)), (3, "  "), (3, "")])
+
+
 def test_one_of_each_component_stays(edge):
     got = jaccard_join.representatives(edge)
     assert got.columns == edge.columns

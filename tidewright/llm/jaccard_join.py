@@ -3,24 +3,26 @@
 Two documents link when ``100 * |A and B| >= percent * |A or B|`` for their sets of five-word shingles (A-Z
 lower-cased).  1 - J is a metric; links are distances of at most e = 1 - percent/100.
 
-1. Copies of a text become one class.  A class that makes up over a thousandth of all
-   rows is reduced before any text is dealt out (there are fewer than a thousand of these).
+1. Copies of a text become one class.  A class that makes up over a hundred-thousandth of all
+   rows is reduced before any text is dealt out (there are fewer than 100,000 of these).
 2. A packed exchange tells how many classes hold each shingle.  A set of which more than a share e occurs nowhere else
    can't have a partner; most of the corpus leaves here.
-3. The rarest ``n - ceil(n * percent / 100) + 1`` shingles of a set are the pivots it lies nearest to: linked sets share at
-   least one of them.  Sets that share such a pivot make up a region (a connected family, found with star edges to the
-   region's smallest member, never with all pairs).
-4. A region is joined around pivot documents.  Whatever lies within e of a pivot links to it and needs no
-   comparison among itself.  The others are dealt into Voronoi cells of further pivots; a document is
-   replicated to each cell whose pivot is at most 2e farther than the nearest (triangle inequality), and the cells are joined
-   recursively.  Where cells don't get smaller, each outsider becomes a pivot, against the
-   documents in its distance window only.  A family of over ``FAMILY`` sets is first
-   compared with its pivot in many tasks; then blocks of what links to it meet the outsiders.
-5. Connected components of the links.
+3. Pivots.  Linked sets share at least one of their rarest ``n - ceil(n * percent / 100) + 1`` shingles.  For each such shingle
+   the first document that has it is a pivot, and the documents that have it are in its region: linked sets meet in a region.
+4. Each document first goes to the region of the pivot it shares most of them with (its Voronoi cell), and the regions are joined.
+   Then it is replicated to the others of its regions, but only to those whose members are not all
+   connected yet, and these are joined as well.
+5. A region of up to ``ROWS`` sets is joined in one task, recursively around pivot documents.  Larger regions are
+   joined by many tasks: some central members become pivots, distances to them are measured, and whatever lies
+   within e of its nearest pivot links to it and needs no comparison among itself.  Triangle inequality: only what lies within
+   2e of a pivot can link to such a document, so only that is replicated to it (the window), in blocks.  What lies outside
+   of all pivots is the next, smaller region, joined in the same way.  What is left after ``LEVELS`` rounds is
+   compared block by block.  No task ever holds more than two blocks.
+6. Connected components of the links.
 
 Results: null, empty and blank texts have an empty set and link with nothing (``component_id`` is their own id); 1 to 4
 words are one shingle; a component's id is its smallest id, null ids aside (null if there is no other); repeated rows are
-copies; other columns are ignored.  Shingles are compared by 64-bit hashes.
+copies; other columns are ignored.  Shingles are compared by 64-bit hashes (``hashing``).
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
-from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii
+from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii, sifted
 from tidewright.llm.graph import components
 from tidewright.llm.hashing import Spans, U, mix
 from tidewright.llm.substring_dedup import member, words_of
 
-FAMILY = 20_000
+ROWS = 256  # sets that one task joins as a region
+BLOCK = (128, 20_000)  # sets of a block: a 32nd of its region, within these bounds
+LEVELS = 6
+SAMPLE, PIVOTS = 64, 6
 LEAF = 24
 CELLS = 12
 BATCH = 1 << 20
@@ -100,6 +105,10 @@ class Join:
             self.union(pivot, j)
         return 1 - both / whole
 
+    def links(self, i: int, j: int) -> bool:
+        both = int(self.common(i, np.array([j]))[0])
+        return 100 * both >= self.percent * int(self.size[i] + self.size[j] - both)
+
     def fits(self, pivot: int, some: np.ndarray) -> np.ndarray:
         """Which sets have a size that a link with the pivot allows."""
         n = self.size[pivot]
@@ -182,8 +191,8 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
     digests = docs.select(_digest(F.col("text")).alias("digest"), "doc_id")
     counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one"))
     total = digests.count()
-    hot = counts.where(F.col("n") > max(1000, total // 1000)).select(F.col("digest").alias("hot_digest"), "one")
-    chunks, buckets, _ = (chunks, chunks, chunks) if chunks else chunks_for(docs)
+    hot = counts.where(F.col("n") > max(1000, total // 100_000)).select(F.col("digest").alias("hot_digest"), "one")
+    chunks, buckets = (chunks, chunks) if chunks else chunks_for(docs)[:2]
     rows = docs.withColumn("digest", _digest(F.col("text"))).join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
     rows = rows.where(F.col("hot_digest").isNull() | F.col("one").isNull() | F.col("one").eqNullSafe(F.col("doc_id")))
     dealt = rows.select("digest", F.concat(lower_ascii(F.col("text")), F.lit(" ")).alias("text"), F.pmod(F.xxhash64("digest"), F.lit(chunks)).cast("int").alias("chunk"))
@@ -231,134 +240,237 @@ def _edge_table(a: list[int], b: list[int]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def links(sets: DataFrame, percent: int, family_size: int = FAMILY) -> DataFrame:
+def memberships(sets: DataFrame) -> DataFrame:
+    """``vertex, region, shared``: the regions of each set, by their pivots, and how many rare shingles put it there."""
+    rare = sets.select("vertex", F.explode("prefix").alias("shingle"))
+    first = rare.groupBy("shingle").agg(F.min("vertex").alias("region"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", "region")
+    return rare.join(first, "shingle").groupBy("vertex", "region").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def links(sets: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
     """``EDGES`` between classes that are linked: enough of them to connect every component."""
-    region = sets.select("vertex", F.explode("prefix").alias("pivot"))
-    hub = region.groupBy("pivot").agg(F.min("vertex").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("pivot", "hub")
-    families = components(region.join(hub, "pivot").where("vertex <> hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct())
-    held = sets.select("vertex", "n", "tokens").join(families, sets["vertex"] == families["v"]).select("vertex", "n", "tokens", F.col("c").alias("family"))
-    large = families.groupBy("c").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > family_size)
-    big = cut(large)
-    edges = _joined(held.join(big, held["family"] == big["c"], "left_anti").withColumn("block", F.lit(0)).withColumn("outside", F.lit(True)), percent)
-    if big.limit(1).count():
-        edges = edges.unionByName(_large(held, big, percent, family_size))
-    return edges
+    held = cut(memberships(sets), free=True)
+    nearest = held.groupBy("vertex").agg(F.max_by("region", F.struct("shared", -F.col("region"))).alias("region"))
+    inside = region_edges(sets, nearest.withColumn("label", F.col("vertex")), percent, rows)
+    labels = components(inside).withColumnsRenamed({"v": "__v", "c": "__c"})
+    named = cut(held.select("vertex", "region").join(labels, F.col("vertex") == F.col("__v"), "left").select("vertex", "region", F.coalesce("__c", "vertex").alias("label")))
+    open_regions = named.groupBy(F.col("region").alias("__open")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("__open")
+    across = region_edges(sets, named.join(open_regions, F.col("region") == F.col("__open"), "left_semi"), percent, rows)
+    # what the cells have connected, one edge for each document
+    return labels.select(F.col("__v").alias("a"), F.col("__c").alias("b")).where("a <> b").unionByName(across)
+
+
+def region_edges(sets: DataFrame, members: DataFrame, percent: int, rows: int) -> DataFrame:
+    """``EDGES`` that connect what is linked within each region; ``members``: vertex, region, label.
+
+    Members with one label are known to be connected and need no edge.
+    """
+    found = []
+    bodies = sets.select(F.col("vertex").alias("__s"), "tokens")
+    for level in range(LEVELS + 1):
+        members = cut(members)
+        sizes = cut(members.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        sized = members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size")
+        with_body = sized.join(bodies, F.col("vertex") == F.col("__s")).select("vertex", "region", "label", "size", "tokens")
+        # edges are few; plans stay small if each round is settled by itself
+        found.append(cut(_within(with_body.where(F.col("size") <= rows), percent)))
+        if not sizes.where(F.col("size") > rows).limit(1).count():
+            break
+        large = with_body.where(F.col("size") > rows)
+        if level == LEVELS:
+            found.append(cut(_blockwise(large, percent)))
+            break
+        measured = cut(_measured(large, percent))
+        found.append(measured.where("nearest IS NOT NULL AND vertex <> nearest").select(F.col("vertex").alias("a"), F.col("nearest").alias("b")))
+        found.append(cut(_across(measured, percent)))
+        members = measured.where("nearest IS NULL").select("vertex", "region", "label")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _task_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by vertex, vertices and labels."""
+    vertex = t["vertex"].to_numpy()
+    order = np.argsort(vertex, kind="stable")
+    return order, vertex[order], t["label"].to_numpy()[order]
+
+
+def _join_of(t: pa.Table, order: np.ndarray, label: np.ndarray, percent: int) -> Join:
+    """A join of the rows of a table in which equal labels are connected."""
+    bodies = t["tokens"]
+    join = Join([np.frombuffer(bodies[int(i)].as_py(), U) for i in order], percent)
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    for i, j in enumerate(first[of].tolist()):
+        if i != j:
+            join.union(j, i)
+    return join
+
+
+def _new_links(join: Join, vertex: np.ndarray, label: np.ndarray) -> pa.Table:
+    """An edge from each label to the smallest vertex it is connected to, where that isn't of the label itself."""
+    root = join.roots(np.arange(len(vertex)))
+    _, first = np.unique(label, return_index=True)
+    far = first[label[root[first]] != label[first]]
+    return _edge_table(vertex[far].tolist(), vertex[root[far]].tolist())
 
 
-def _joined(held: DataFrame, percent: int) -> DataFrame:
-    """Joins each block of a family; rows that are not ``outside`` are linked among themselves already."""
+def _within(rows: DataFrame, percent: int) -> DataFrame:
+    """Joins each region in a task of its own."""
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["vertex"].to_numpy(), kind="stable")
-        vertex = t["vertex"].to_numpy()[order]
-        bodies = t["tokens"]
-        join = Join([np.frombuffer(bodies[int(i)].as_py(), U) for i in order], percent)
-        settled = np.flatnonzero(~np.asarray(t["outside"])[order])
+        order, vertex, label = _task_rows(t)
+        join = _join_of(t, order, label, percent)
+        join.run(np.arange(len(vertex)))
+        return _new_links(join, vertex, label)
+
+    return rows.groupBy("region").applyInArrow(run, EDGES)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Adds ``blocks``, the number of blocks of a row's region."""
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("size") / 32)))
+    return rows.withColumn("blocks", F.ceil(F.col("size") / size).cast("int"))
+
+
+def _block_of(vertex: str = "vertex", blocks: str = "blocks") -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), vertex), F.col(blocks)).cast("int")
+
+
+def _blockwise(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of blocks of each region."""
+    own = _blocks(rows).withColumn("own", _block_of())
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))
+    dealt = own.select("vertex", "region", "label", "tokens", F.explode(cells).alias("cell")).select("vertex", "region", "label", "tokens", "cell.i", "cell.j")
+
+    def run(t: pa.Table) -> pa.Table:
+        order, vertex, label = _task_rows(t)
+        join = _join_of(t, order, label, percent)
+        join.run(np.arange(len(vertex)))
+        return _new_links(join, vertex, label)
+
+    return dealt.groupBy("region", "i", "j").applyInArrow(run, EDGES)
+
+
+def _measured(rows: DataFrame, percent: int) -> DataFrame:
+    """``vertex, region, label, size, tokens, nearest, near``: the pivot within e, and all pivots within 2e with their distances."""
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "vertex"), F.greatest(F.lit(1), F.floor(F.col("size") / SAMPLE))) == 0)
+    least = rows.groupBy("region").agg(F.min("vertex").alias("vertex")).withColumnsRenamed({"region": "__r", "vertex": "__v"})
+    some = sample.select("region", "vertex", "tokens").unionByName(rows.join(least, (F.col("region") == F.col("__r")) & (F.col("vertex") == F.col("__v")), "left_semi").select("region", "vertex", "tokens"))
+    e = 1 - percent / 100
+
+    def choose(t: pa.Table) -> pa.Table:
+        """The most central of a few members, then what is farthest from the pivots, until all lie within e of one."""
+        vertex, at = np.unique(t["vertex"].to_numpy(), return_index=True)
+        bodies = [t["tokens"][int(i)].as_py() for i in at]
+        join, some = Join([np.frombuffer(x, U) for x in bodies], percent), np.arange(len(vertex))
+        chosen = [join.central(some)]
+        low = join.against(chosen[0], some)
+        while len(chosen) < PIVOTS and low.max() > e:
+            rest = some[low > e]
+            chosen.append(join.central(rest))
+            low = np.minimum(low, join.against(chosen[-1], some))
+        return pa.table({"of": pa.array([t["region"][0].as_py()], pa.int64()), "pivots": pa.array([vertex[chosen].tolist()], pa.list_(pa.int64())), "bodies": pa.array([[bodies[i] for i in chosen]], pa.list_(pa.binary()))})
+
+    # a sample holds about SAMPLE members, whatever the size of the region
+    pivots = some.groupBy("region").applyInArrow(choose, "of long, pivots array<long>, bodies array<binary>")
+    blocks = _blocks(rows.select("region", "size").distinct()).select(F.col("region").alias("__r"), "blocks")
+    copies = pivots.join(blocks, F.col("of") == F.col("__r")).select("of", "pivots", "bodies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    dealt = _blocks(rows).withColumn("own", _block_of()).select("vertex", "region", "label", "size", "tokens", "own")
+
+    def measure(t: pa.Table, told: pa.Table) -> pa.Table:
+        names, bodies = told["pivots"][0].as_py(), [np.frombuffer(x, U) for x in told["bodies"][0].as_py()]
+        join = Join([*bodies, *(np.frombuffer(x.as_py(), U) for x in t["tokens"])] if t.num_rows else bodies, percent)
+        rest = np.arange(len(names), len(join.sets))
+        d = np.array([join.against(i, rest) for i in range(len(names))]).reshape(len(names), -1)
+        best = np.argmin(d, axis=0)
+        # whether it links is decided in whole numbers
+        linked = [join.links(int(i), int(j)) for i, j in zip(best, rest, strict=True)]
+        near = [[{"p": names[i], "d": float(d[i, k])} for i in np.flatnonzero(d[:, k] <= 2 * e + 1e-9).tolist()] for k in range(len(rest))]
+        kind = pa.list_(pa.struct([("p", pa.int64()), ("d", pa.float64())]))
+        columns = [*(t[c] for c in ("vertex", "region", "label", "size", "tokens")), pa.array([names[i] if k else None for i, k in zip(best.tolist(), linked, strict=True)], pa.int64()), pa.array(near, kind)]
+        return pa.table(columns, names=["vertex", "region", "label", "size", "tokens", "nearest", "near"])
+
+    schema = "vertex long, region long, label long, size long, tokens binary, nearest long, near array<struct<p:long,d:double>>"
+    return dealt.groupBy("region", "own").cogroup(copies.groupBy("of", "own")).applyInArrow(measure, schema)
+
+
+def _across(measured: DataFrame, percent: int) -> DataFrame:
+    """Joins what links to a pivot with what else lies within 2e of it, block by block."""
+    own = _blocks(measured).withColumn("own", _block_of())
+    each = own.select("vertex", "region", "label", "blocks", "tokens", "nearest", "own", F.explode("near").alias("x")).select("vertex", "region", "label", "blocks", "tokens", "own", F.col("x.p").alias("p"), F.col("x.d").alias("d"), F.coalesce(F.col("nearest") == F.col("x.p"), F.lit(False)).alias("inner"))
+    # blocks of the others: as many as they need, none without them
+    others = cut(each.where("NOT inner").groupBy(F.col("region").alias("__r"), F.col("p").alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("all")))
+    blocks = others.select("__r", "__p", F.least(F.col("all"), F.ceil(F.col("n") / BLOCK[0])).cast("int").alias("outer_blocks"))
+    met = each.join(blocks, (F.col("region") == F.col("__r")) & (F.col("p") == F.col("__p")))
+    cells = F.when(F.col("inner"), F.transform(F.sequence(F.lit(0), F.col("outer_blocks") - 1), lambda o: F.struct(F.col("own").alias("i"), o.alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), _block_of("vertex", "outer_blocks").alias("j")))
+    )
+    dealt = met.select("vertex", "region", "label", "tokens", "p", "d", "inner", F.explode(cells).alias("cell")).select("vertex", "region", "label", "tokens", "p", "d", "inner", "cell.i", "cell.j")
+    e = 1 - percent / 100
+
+    def run(t: pa.Table) -> pa.Table:
+        order, vertex, label = _task_rows(t)
+        inner, d = np.asarray(t["inner"])[order], np.asarray(t["d"])[order]
+        join = _join_of(t, order, label, percent)
+        settled = np.flatnonzero(inner)
         for i in settled[1:].tolist():
             join.union(int(settled[0]), i)
-        some = np.arange(len(vertex))
-        if len(settled) > 1:
-            near = join.against(int(settled[0]), some)
-            for i in np.flatnonzero(np.asarray(t["outside"])[order]).tolist():
-                rest = some[np.abs(near - near[i]) <= join.e + 1e-9]
-                rest = rest[(join.roots(rest) != join.find(i)) & join.fits(i, rest)]
-                if len(rest):
-                    join.against(i, rest)
-        else:
-            join.run(some)
-        root = join.roots(some)
-        linked = np.flatnonzero(root != some)
-        return _edge_table(vertex[linked].tolist(), vertex[root[linked]].tolist())
-
-    return held.groupBy("family", "block").applyInArrow(run, EDGES)
-
-
-def _central(rows: DataFrame) -> DataFrame:
-    """``of, p``: in each family, the set with the largest share of shingles that half of the family has."""
-
-    def spread(parts):
-        for part in parts:
-            for v, n, family, tokens in zip(part["vertex"].to_pylist(), part["n"].to_pylist(), part["family"].to_pylist(), part["tokens"], strict=True):
-                x = np.frombuffer(tokens.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), a), pa.int64()) for a in (v, n, family)] + [pa.array(x)], names=["vertex", "n", "family", "token"])
-
-    each = rows.select("vertex", "n", "family", "tokens").mapInArrow(spread, "vertex long, n long, family long, token long")
-    members = rows.groupBy(F.col("family").alias("m_family")).agg(F.count(F.lit(1)).alias("m"))
-    common = each.groupBy(F.col("family").alias("c_family"), F.col("token").alias("c_token")).agg(F.count(F.lit(1)).alias("c")).join(members, F.col("c_family") == F.col("m_family")).where("2 * c >= m").select("c_family", "c_token")
-    score = each.join(common, (F.col("family") == F.col("c_family")) & (F.col("token") == F.col("c_token"))).groupBy("family", "vertex", "n").agg(F.count(F.lit(1)).alias("k"))
-    best = F.max_by("vertex", F.struct(F.col("k") / F.col("n"), F.col("k"), -F.col("vertex")))
-    found = score.groupBy(F.col("family").alias("s_family")).agg(best.alias("best"))
-    # a family without such shingles takes its smallest set
-    least = rows.groupBy(F.col("family").alias("of")).agg(F.min_by("vertex", F.struct("n", "vertex")).alias("small"))
-    return least.join(found, F.col("of") == F.col("s_family"), "left").select("of", F.coalesce("best", "small").alias("p"))
-
-
-def _large(held: DataFrame, big: DataFrame, percent: int, family_size: int) -> DataFrame:
-    """Families that don't fit one task: distances to one pivot first, then blocks of what links to it."""
-    rows = held.join(big, held["family"] == big["c"], "left_semi")
-    pivot = _central(rows)
-    pivots = rows.join(pivot, (F.col("family") == F.col("of")) & (F.col("vertex") == F.col("p"))).select(F.col("of"), "p", F.col("tokens").alias("p_tokens"))
-
-    def measure(parts):
-        for part in parts:
-            both = []
-            for a, b in zip(part["tokens"], part["p_tokens"], strict=True):
-                x, y = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
-                both.append(int(member(x, y).sum()))
-                both[-1] = 100 * both[-1] < percent * (len(x) + len(y) - both[-1])
-            yield pa.RecordBatch.from_arrays([part["vertex"], part["n"], part["tokens"], part["family"], part["p"], pa.array(both, pa.bool_())], names=["vertex", "n", "tokens", "family", "p", "outside"])
-
-    told = cut(rows.join(pivots, F.col("family") == F.col("of")).select("vertex", "n", "tokens", "family", "p", "p_tokens").mapInArrow(measure, "vertex long, n long, tokens binary, family long, p long, outside boolean"))
-    near = told.where("NOT outside AND vertex <> p").select(F.col("vertex").alias("a"), F.col("p").alias("b"))
-    # a block has at least as many rows that link to the pivot as there are outsiders: what is replicated is no more than the family
-    inner, outer = F.count_if(~F.col("outside")), F.count_if(F.col("outside"))
-    blocks = told.groupBy(F.col("family").alias("of")).agg(F.greatest(F.lit(1), F.ceil(inner / F.greatest(F.lit(family_size), outer))).cast("int").alias("blocks"))
-    spread = told.join(blocks, F.col("family") == F.col("of"))
-    place = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")))
-    dealt = spread.select("vertex", "n", "tokens", "family", "outside", F.explode(place).alias("block"))
-    return near.unionByName(_joined(dealt, percent))
-
-
-def _components(rows: DataFrame, percent: int, chunks: int | None, family_size: int) -> DataFrame:
-    """``doc_id, digest, n, component_id`` for each of ``rows (doc_id, text)``."""
-    made = cut(classes(rows, percent, chunks))
-    found = components(links(made.where("prefix IS NOT NULL"), percent, family_size))
+        for i in np.flatnonzero(~inner).tolist() if len(settled) else []:
+            rest = settled[np.abs(d[settled] - d[i]) <= e + 1e-9]
+            rest = rest[(join.roots(rest) != join.find(i)) & join.fits(i, rest)]
+            if len(rest):
+                join.against(i, rest)
+        return _new_links(join, vertex, label)
+
+    return dealt.groupBy("region", "p", "i", "j").applyInArrow(run, EDGES)
+
+
+def _components(rows: DataFrame, percent: int, chunks: int | None, region_rows: int) -> DataFrame:
+    """``doc_id, digest, n, c, component_id`` (c: the component itself) for each of ``rows (doc_id, text)``."""
+    made = cut(classes(rows, percent, chunks), free=True)
+    found = components(links(made.where("prefix IS NOT NULL"), percent, region_rows))
     digests = rows.select("doc_id", _digest(F.col("text")).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumnRenamed("digest", "l_digest")
     known = made.select("digest", "vertex", "n").join(found, F.col("vertex") == F.col("v"), "left").join(least, F.col("digest") == F.col("l_digest"))
     known = cut(known.select("digest", "n", F.coalesce("c", "vertex").alias("c"), "least"))
     smallest = known.groupBy("c").agg(F.min("least").alias("component_id")).withColumnRenamed("c", "of")
-    told = known.join(smallest, F.col("c") == F.col("of")).select(F.col("digest").alias("k_digest"), "n", "component_id")
+    told = known.join(smallest, F.col("c") == F.col("of")).select(F.col("digest").alias("k_digest"), "n", "c", "component_id")
     out = digests.join(told, F.col("digest") == F.col("k_digest"))
-    return out.select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "digest", "n", "c", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
 
-def join(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, family_size: int = FAMILY) -> DataFrame:
+def join(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None, region_rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id``."""
-    found = _components(_plain(docs, id_col, text_col), percent, chunks, family_size)
+    found = _components(_plain(docs, id_col, text_col), percent, chunks, region_rows)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def representatives(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest id (of rows with this id, one), with all columns.
+    """One row of each component, that with the smallest id and of its texts the one with the smallest digest, with all columns.
 
-    Texts without words stay, repeated rows once; rows without an id stay if no row of their component has one.
+    Rows are told apart by id and text: rows with one id (or none) and different texts that don't link are in components of
+    their own.  Texts without words stay, repeated rows once; rows without an id stay if no row of their component has one.
     """
-    found = cut(_components(_plain(docs, id_col, text_col), percent, None, FAMILY))
-    lead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = lead.where("doc_id IS NOT NULL").groupBy("doc_id", F.col("n") == 0).agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows")).select("doc_id", "digest", "rows")
-    nameless = lead.where("doc_id IS NULL").select("doc_id", "digest").distinct().withColumn("rows", F.lit(1).cast("long"))
-    chosen = cut(named.union(nameless)).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__lead"), "rows")
-    rows = docs.withColumn("__digest", _digest(F.coalesce(text_col, F.lit(""))))
-    kept = rows.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__lead")), "left_semi")
-    if chosen.where("rows > 1").limit(1).count():
-        one = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__digest"])
-        kept = one.unionByName(kept.where(F.col(id_col).isNull()))
-    return kept.drop("__digest")
+    found = cut(_components(_plain(docs, id_col, text_col), percent, None, ROWS).groupBy("doc_id", "digest", "n", "c").agg(F.count(F.lit(1)).alias("rows")))
+    lead = found.where("n > 0").groupBy(F.col("c").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("lead"))
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))
+    judged = found.join(lead, (F.col("c") == F.col("of")) & (F.col("n") > 0), "left").select("doc_id", "digest", "rows", ((F.col("n") == 0) | leads).alias("stays"))
+    # rows that go, or are there several times; all others are cleared by a sieve and aren't shuffled
+    doubt = cut(judged.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone"), "stays", _row_key("doc_id", "digest").alias("__key")))
+    rows = docs.withColumn("__digest", _digest(F.coalesce(text_col, F.lit("")))).withColumn("__row", _row_key(id_col, "__digest"))
+    gone = doubt.where("NOT stays").select("__id", "__gone")
+    few = sifted(rows, "__row", doubt, "__key").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    return sifted(rows, "__row", doubt, "__key", among=False).unionByName(few.dropDuplicates([id_col, "__digest"])).drop("__digest", "__row")
+
+
+def _row_key(id_col: str, digest: str) -> Column:
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(digest))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
