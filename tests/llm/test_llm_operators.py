@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, on the driver's smallest tables and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 from tidewright.llm import common, decontaminate, fingerprint, jaccard_join, line_dedup, packing, pii, quality, registry, substring_dedup, suffix_dedup, warc
 
@@ -418,9 +420,56 @@ def test_base_spans(spark, edge, table):
     assert pii.analyse(edge).count() == edge.count() and pii.sanitise(edge).count() == edge.count()
 
 
-def test_terms_that_disclose(spark):
+def _with_terms(texts, threshold):
+    """The spans of each text by the same definitions, in plain Python."""
+    letters = regex.compile(r"\p{L}{3,}")
+
+    def entities(line):
+        return {(x.split(":")[0], line[int(x.split(":")[1]) : int(x.split(":")[2])].lower()) for kind in _spans(line) for x in kind}
+
+    blank = lambda line: MAIL.sub(lambda m: "\x01" * len(m[0]), line)
+    said = lambda line: set(letters.findall(blank(line).lower()))
+    found = defaultdict(set)
+    whole = Counter(texts)
+    lines = Counter(x for t in texts for x in t.split("\n"))
+    grains = [([(x, n, entities(x), said(x)) for x, n in lines.items()], sum(lines.values()), lambda x: set(letters.findall(x.lower())))]
+    grains.append(([(t, n, set().union(*map(entities, t.split("\n"))), set().union(*map(said, t.split("\n")))) for t, n in whole.items()], len(texts), lambda x: set(letters.findall(x.lower()))))
+    for contexts, total, plain in grains:
+        c_t, c_e, both, different, stood = Counter(), Counter(), Counter(), Counter(), Counter()
+        for x, n, es, ws in contexts:
+            c_t.update({w: n for w in plain(x)})
+            for e in es:
+                c_e[e] += n
+                stood[e] += 1
+                both.update({(e, w): n for w in ws})
+                different.update((e, w) for w in ws)
+        for (e, w), n in both.items():
+            k = different[e, w]
+            if k > 1 and stood[e] > 1 and c_e[e] < total and c_t[w] <= c_e[e] * (total / c_e[e]) ** (1 - threshold):
+                p = min(1.0, n / c_t[w])
+                size, z = k / p, pii.Z
+                low = (p + z * z / (2 * size) - z * math.sqrt(max(0.0, p * (1 - p)) / size + z * z / (4 * size * size))) / (1 + z * z / size)
+                if 1 + math.log(low) / math.log(total / c_e[e]) >= threshold:
+                    found[e].add(w)
+    out = []
+    for t in texts:
+        bad = set().union(*(found[e] for x in t.split("\n") for e in entities(x)))
+        spans, at = [x for kind in _spans(t) for x in kind], 0
+        for line in t.split("\n"):
+            spans += [f"term:{at + m.start()}:{at + m.end()}" for m in letters.finditer(blank(line)) if m[0].lower() in bad]
+            at += len(line) + 1
+        out.append(",".join(spans))
+    return out
+
+
+def _disclosing():
     near = [f"Write to Zanzibar Quux at zq@example.org about case {i} of the report" for i in range(6)]
-    rows = near + [f"the report of case {i} at hand about things to write" for i in range(200)]
+    return near, [f"the report of case {i} at hand about things to write" for i in range(400)]
+
+
+def test_terms_that_disclose(spark):
+    near, rest = _disclosing()
+    rows = near + rest
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: (r.text, r.spans) for r in pii.sanitise(df).collect()}
     assert got[0][0].split() == "Write to at [email] about case 0 of the report".split()
@@ -431,13 +480,44 @@ def test_terms_that_disclose(spark):
 
 
 def test_terms_are_marked_on_every_line_of_the_document(spark):
-    near = [f"Write to Zanzibar Quux at zq@example.org about case {i} of the report" for i in range(6)]
-    rest = [f"the report of case {i} at hand about things to write" for i in range(200)]
+    near, rest = _disclosing()
     rows = [f"{near[0]}\nthe report\n😀 Quux is at hand", *near[1:], *rest, "Quux without the address"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.text.split("\n") for r in pii.sanitise(df, threshold=0.8).collect()}
     assert [x.split() for x in got[0]] == ["Write to at [email] about case 0 of the report".split(), ["the", "report"], ["😀", "is", "at", "hand"]]
-    assert got[206] == ["Quux without the address"]
+    assert got[406] == ["Quux without the address"]
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.6])
+def test_terms_by_hand(spark, edge, table, threshold):
+    near, rest = _disclosing()
+    rng = random.Random(12)
+    texts = [t or "" for _, t in pairs_of(edge) + pairs_of(table)] + near + rest[:100]
+    people = [(f"p{i}@mail.example", f"+1 202 555 01{i:02}", prose(500 + i, 6, 10**6)) for i in range(8)]
+    for k in range(60):
+        mail, phone, hints = rng.choice(people)
+        some = [mail, phone, *hints.replace("w", "hint").split(), "é😀", "Ünï", *prose(600 + k, 5).split()]
+        rng.shuffle(some)
+        texts.append("\n".join(" ".join(some[i : i + 5]) for i in range(0, len(some), 5)))
+    texts += texts[-9:]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in pii.analyse(spark.createDataFrame(rows, "doc_id long, text string"), threshold).select("doc_id", pii.joined_spans(pii.F.concat("base", "terms")).alias("spans")).collect()}
+    want = _with_terms(texts, threshold)
+    assert got == dict(enumerate(want)) and any("term" in x for x in want)
+
+
+def test_very_long_lines(spark):
+    """5 MB on one line with 100,000 addresses, twice with a different end."""
+    import time
+
+    text = " ".join(f"word{i} person{i % 90_000}@mail{i}.example and more" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r.doc_id: (r.b, r.spans) for r in pii.analyse(df).selectExpr("doc_id", "size(base) AS b", "substring(cast(get(base, 99999) AS string), 1, 200) AS spans").collect()}
+    assert got[1][0] == got[2][0] == 100_000 and "person9999@mail99999.example" in got[1][1] and got[3][0] == 0
+    assert time.time() - began < 60
+    [r] = pii.sanitise(df.where("doc_id = 1")).collect()
+    assert r.text.count("[email]") == 100_000 and "@" not in r.text and r.text.startswith("word0 [email] and more word1")
 
 
 # --- 9
