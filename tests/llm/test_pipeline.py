@@ -3,19 +3,20 @@
 import random
 
 import corpus_pipeline as C
-from tests.llm.test_llm_operators import _components, _lines, words
+from tests.llm.test_llm_operators import _components, check_lines, words
 from tidewright.llm import packing, quality
 
 
-def by_hand(spark, sf_dir):
-    """Documents after each filtering stage; the classifier's own verdicts are taken as they are."""
+def by_hand(spark, sf_dir, made):
+    """Documents after each filtering stage; the classifier's verdicts are taken as they are, and the second stage's texts once they are found right."""
     docs = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in C.table(spark, sf_dir, "documents").collect()]
     table = C.table(spark, sf_dir, "documents")
     bad = {r.doc_id for r in quality.classify(table, quality.fit(table, C.table(spark, sf_dir, "labels"))).where("rejected").collect()}
     docs = [d for d in docs if d[0] not in bad]
     yield docs
-    cut = [(d, t) for d, (_, t) in zip(docs, _lines([(d[0], d[1]) for d in docs]), strict=True)]
-    docs = [(d[0], t, d[2], d[3], d[4] if t == d[1] else len(t)) for d, t in cut if t == d[1] or words(t)]
+    kept = {r.doc_id: r.text for r in made["lines"].collect()}
+    check_lines([(d[0], d[1]) for d in docs], {(d[0], d[1] or ""): kept.get(d[0], "") or "" for d in docs}, 1)
+    docs = [(d[0], kept[d[0]], d[2], d[3], d[4] if kept[d[0]] == d[1] else len(kept[d[0]])) for d in docs if d[0] in kept]
     yield docs
     lead = {(i, c) for i, _, c in _components([(d[0], d[1]) for d in docs])}
     docs = [d for d in docs if (d[0], d[0]) in lead]
@@ -28,12 +29,14 @@ def by_hand(spark, sf_dir):
 
 def test_stages(spark, small, tmp_path):
     docs = C.table(spark, small, "documents")
-    for (name, stage), want in zip(C.STAGES, by_hand(spark, small), strict=False):
-        made = stage(spark, docs, small)
-        assert made.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        made.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        assert sorted(map(tuple, docs.collect())) == sorted(want), name
+    made = {}
+    for name, stage in C.STAGES[:-1]:
+        left = stage(spark, docs, small)
+        assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        left.write.parquet(str(tmp_path / name))
+        docs = made[name] = spark.read.parquet(str(tmp_path / name))
+    for name, want in zip(made, by_hand(spark, small, made), strict=True):
+        assert sorted(map(repr, map(tuple, made[name].collect()))) == sorted(map(repr, want)), name
     pieces = C.run(spark, small).collect()
     enc = packing.encoder(*_public())
     assert {(r.doc_id, r.doc_tokens) for r in pieces} == {(d[0], len(enc.ids(d[1] or "")) + 1) for d in want}

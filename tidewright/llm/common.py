@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,23 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where none is configured."""
+    """The folder every executor sees; where none is configured, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(made)
+    store.deleteOnExit(made)
+    return path
+
+
 def _context_dir(spark: SparkSession) -> str | None:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get() if held.isDefined() else None
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder; ``free`` lets go of shuffles that nothing needs any more.
+def cut(df: DataFrame, free: bool = True) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder, and lets go of shuffles, plans and code that nothing needs any more.
 
-    Freeing costs a full collection of garbage, so it is asked for after large exchanges only.
+    Freeing costs a full collection of garbage; loops of small steps go without (``free=False``).
     """
     where = shared_dir(df.sparkSession)
     if not _context_dir(df.sparkSession):
@@ -93,7 +106,7 @@ def chunks_for(docs: DataFrame, text_col: str = "text") -> tuple[int, int, int,
 
 
 #: Words of 64 bits in a sieve; it is what a broadcast of one holds at most.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 
 
 def _slot(value: Column) -> Column:

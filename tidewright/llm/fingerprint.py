@@ -118,7 +118,7 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     made = pair.select("doc_id", "n_chars", "rank", "next_rank", "text", edited.alias("edited")).select(
         "doc_id", "n_chars", "rank", "next_rank", F.sha2("edited", 256).alias("edited_sha256"), codes(shingle_hashes(split_words(F.col("text")))).alias("codes"), codes(shingle_hashes(split_words(F.col("edited")))).alias("edited_codes")
     )
-    made = cut(made, free=True)
+    made = cut(made)
     following = made.select(F.col("rank").alias("n_rank"), F.col("codes").alias("next_codes"))
     if most > 1:
         following = following.dropDuplicates(["n_rank"])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import exchange as X
 from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii, sifted
 from tidewright.llm.graph import components
-from tidewright.llm.hashing import Spans, U, mix
+from tidewright.llm.hashing import Spans, U, distinct, mix
 from tidewright.llm.substring_dedup import member, words_of
 
 ROWS = 256  # sets that one task joins as a region
@@ -59,7 +59,7 @@ def shingle_sets(t: pa.Table, k: int) -> list[np.ndarray]:
         every = spans.every(k)
         for first, n in zip(w.first.tolist(), w.count.tolist(), strict=True):
             if n >= k:
-                out.append(np.unique(every[first : first + n - k + 1]))
+                out.append(distinct(every[first : first + n - k + 1]))
             else:
                 out.append(spans.of(np.array([first]), np.array([first + n])) if n else np.zeros(0, U))
     return out
@@ -197,21 +197,21 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
     rows = rows.where(F.col("hot_digest").isNull() | F.col("one").isNull() | F.col("one").eqNullSafe(F.col("doc_id")))
     dealt = rows.select("digest", F.concat(lower_ascii(F.col("text")), F.lit(" ")).alias("text"), F.pmod(F.xxhash64("digest"), F.lit(chunks)).cast("int").alias("chunk"))
 
-    def distinct(t: pa.Table) -> pa.Table:
+    def once(t: pa.Table) -> pa.Table:
         """One row of each text; the order is that of the digests, whatever order the rows came in."""
         _, at = np.unique(np.asarray(t["digest"].to_pylist()), return_index=True)
         return t.take(pa.array(at))
 
     def emit(t: pa.Table):
-        keys, n = np.unique(np.concatenate([np.zeros(0, U), *shingle_sets(distinct(t), SHINGLE_WORDS)]), return_counts=True)
+        keys, n = np.unique(np.concatenate([np.zeros(0, U), *shingle_sets(once(t), SHINGLE_WORDS)]), return_counts=True)
         return keys, n > 1
 
     def keep(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _class_table([])
-        t = distinct(t)
+        t = once(t)
         sets = shingle_sets(t, SHINGLE_WORDS)
-        keys = np.unique(np.concatenate([np.zeros(0, U), *sets]))
+        keys = distinct(np.concatenate([np.zeros(0, U), *sets]))
         weight = X.read_weights(answers, keys, buckets)
         base, out = key[0].as_py() << 32, []
         for i, (digest, s) in enumerate(zip(t["digest"].to_pylist(), sets, strict=True)):
@@ -249,7 +249,7 @@ def memberships(sets: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
     """``EDGES`` between classes that are linked: enough of them to connect every component."""
-    held = cut(memberships(sets), free=True)
+    held = cut(memberships(sets))
     nearest = held.groupBy("vertex").agg(F.max_by("region", F.struct("shared", -F.col("region"))).alias("region"))
     inside = region_edges(sets, nearest.withColumn("label", F.col("vertex")), percent, rows)
     labels = components(inside).withColumnsRenamed({"v": "__v", "c": "__c"})
@@ -268,15 +268,14 @@ def region_edges(sets: DataFrame, members: DataFrame, percent: int, rows: int) -
     found = []
     bodies = sets.select(F.col("vertex").alias("__s"), "tokens")
     for level in range(LEVELS + 1):
-        members = cut(members)
-        sizes = cut(members.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        sized = members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size")
+        sizes = members.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = cut(members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size"), free=False)
         with_body = sized.join(bodies, F.col("vertex") == F.col("__s")).select("vertex", "region", "label", "size", "tokens")
         # edges are few; plans stay small if each round is settled by itself
-        found.append(cut(_within(with_body.where(F.col("size") <= rows), percent)))
-        if not sizes.where(F.col("size") > rows).limit(1).count():
+        found.append(cut(_within(with_body.where(F.col("size") <= rows), percent), free=False))
+        if not sized.where(F.col("size") > rows).limit(1).count():
             break
-        large = with_body.where(F.col("size") > rows)
+        large = cut(with_body.where(F.col("size") > rows))
         if level == LEVELS:
             found.append(cut(_blockwise(large, percent)))
             break
@@ -355,9 +354,7 @@ def _blockwise(rows: DataFrame, percent: int) -> DataFrame:
 
 def _measured(rows: DataFrame, percent: int) -> DataFrame:
     """``vertex, region, label, size, tokens, nearest, near``: the pivot within e, and all pivots within 2e with their distances."""
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "vertex"), F.greatest(F.lit(1), F.floor(F.col("size") / SAMPLE))) == 0)
-    least = rows.groupBy("region").agg(F.min("vertex").alias("vertex")).withColumnsRenamed({"region": "__r", "vertex": "__v"})
-    some = sample.select("region", "vertex", "tokens").unionByName(rows.join(least, (F.col("region") == F.col("__r")) & (F.col("vertex") == F.col("__v")), "left_semi").select("region", "vertex", "tokens"))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(11), "vertex"), F.greatest(F.lit(1), F.floor(F.col("size") / SAMPLE))) == 0).select("region", "vertex", "size", "tokens")
     e = 1 - percent / 100
 
     def choose(t: pa.Table) -> pa.Table:
@@ -371,22 +368,21 @@ def _measured(rows: DataFrame, percent: int) -> DataFrame:
             rest = some[low > e]
             chosen.append(join.central(rest))
             low = np.minimum(low, join.against(chosen[-1], some))
-        return pa.table({"of": pa.array([t["region"][0].as_py()], pa.int64()), "pivots": pa.array([vertex[chosen].tolist()], pa.list_(pa.int64())), "bodies": pa.array([[bodies[i] for i in chosen]], pa.list_(pa.binary()))})
+        return pa.table({"of": pa.array([t["region"][0].as_py()], pa.int64()), "size": pa.array([t["size"][0].as_py()], pa.int64()), "pivots": pa.array([vertex[chosen].tolist()], pa.list_(pa.int64())), "bodies": pa.array([[bodies[i] for i in chosen]], pa.list_(pa.binary()))})
 
-    # a sample holds about SAMPLE members, whatever the size of the region
-    pivots = some.groupBy("region").applyInArrow(choose, "of long, pivots array<long>, bodies array<binary>")
-    blocks = _blocks(rows.select("region", "size").distinct()).select(F.col("region").alias("__r"), "blocks")
-    copies = pivots.join(blocks, F.col("of") == F.col("__r")).select("of", "pivots", "bodies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    # a sample holds about SAMPLE members, whatever the size of the region; should it hold none, all members go on to the next round
+    pivots = _blocks(some.groupBy("region").applyInArrow(choose, "of long, size long, pivots array<long>, bodies array<binary>"))
+    copies = pivots.select("of", "pivots", "bodies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
     dealt = _blocks(rows).withColumn("own", _block_of()).select("vertex", "region", "label", "size", "tokens", "own")
 
     def measure(t: pa.Table, told: pa.Table) -> pa.Table:
-        names, bodies = told["pivots"][0].as_py(), [np.frombuffer(x, U) for x in told["bodies"][0].as_py()]
+        names, bodies = (told["pivots"][0].as_py(), [np.frombuffer(x, U) for x in told["bodies"][0].as_py()]) if told.num_rows else ([], [])
         join = Join([*bodies, *(np.frombuffer(x.as_py(), U) for x in t["tokens"])] if t.num_rows else bodies, percent)
         rest = np.arange(len(names), len(join.sets))
         d = np.array([join.against(i, rest) for i in range(len(names))]).reshape(len(names), -1)
-        best = np.argmin(d, axis=0)
+        best = np.argmin(d, axis=0) if names else np.zeros(len(rest), np.int64)
         # whether it links is decided in whole numbers
-        linked = [join.links(int(i), int(j)) for i, j in zip(best, rest, strict=True)]
+        linked = [bool(names) and join.links(int(i), int(j)) for i, j in zip(best, rest, strict=True)]
         near = [[{"p": names[i], "d": float(d[i, k])} for i in np.flatnonzero(d[:, k] <= 2 * e + 1e-9).tolist()] for k in range(len(rest))]
         kind = pa.list_(pa.struct([("p", pa.int64()), ("d", pa.float64())]))
         columns = [*(t[c] for c in ("vertex", "region", "label", "size", "tokens")), pa.array([names[i] if k else None for i, k in zip(best.tolist(), linked, strict=True)], pa.int64()), pa.array(near, kind)]
@@ -401,7 +397,7 @@ def _across(measured: DataFrame, percent: int) -> DataFrame:
     own = _blocks(measured).withColumn("own", _block_of())
     each = own.select("vertex", "region", "label", "blocks", "tokens", "nearest", "own", F.explode("near").alias("x")).select("vertex", "region", "label", "blocks", "tokens", "own", F.col("x.p").alias("p"), F.col("x.d").alias("d"), F.coalesce(F.col("nearest") == F.col("x.p"), F.lit(False)).alias("inner"))
     # blocks of the others: as many as they need, none without them
-    others = cut(each.where("NOT inner").groupBy(F.col("region").alias("__r"), F.col("p").alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("all")))
+    others = each.where("NOT inner").groupBy(F.col("region").alias("__r"), F.col("p").alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("all"))
     blocks = others.select("__r", "__p", F.least(F.col("all"), F.ceil(F.col("n") / BLOCK[0])).cast("int").alias("outer_blocks"))
     met = each.join(blocks, (F.col("region") == F.col("__r")) & (F.col("p") == F.col("__p")))
     cells = F.when(F.col("inner"), F.transform(F.sequence(F.lit(0), F.col("outer_blocks") - 1), lambda o: F.struct(F.col("own").alias("i"), o.alias("j")))).otherwise(
@@ -429,7 +425,7 @@ def _across(measured: DataFrame, percent: int) -> DataFrame:
 
 def _components(rows: DataFrame, percent: int, chunks: int | None, region_rows: int) -> DataFrame:
     """``doc_id, digest, n, c, component_id`` (c: the component itself) for each of ``rows (doc_id, text)``."""
-    made = cut(classes(rows, percent, chunks), free=True)
+    made = cut(classes(rows, percent, chunks))
     found = components(links(made.where("prefix IS NOT NULL"), percent, region_rows))
     digests = rows.select("doc_id", _digest(F.col("text")).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumnRenamed("digest", "l_digest")

@@ -1,10 +1,12 @@
 """Quality classification by hierarchical empirical Bayes (operator 5).
 
-1. A document classifier is fitted on at most ``max_labelled`` labelled rows (chosen by hash of the id): a
+1. A document classifier is fitted on at most ``max_labelled`` labelled rows (those with the smallest hashes of the id, so that
+   every run takes the same): a
    logistic model of the text's shape for junk, and one of a learned lexicon for toxic
    texts.  The lexicon holds words and word beginnings that toxic texts have and few others do, found by a grouped count: the
-   likelihood ratio must outweigh the number of terms that are tried (copies and most near copies of a text count once: of texts with the same
-   smallest shingle hash only one is counted).  The classifier gives each document a log-odds of being bad.
+   likelihood ratio must outweigh the number of terms that are tried (copies and most near copies of a text count once: of texts with one label
+   and the same ``FOLD`` smallest shingle hashes only one is counted).  All terms that pass are used; there are no
+   more than the labelled texts have.  The classifier gives each document a log-odds of being bad.
 2. Sites: over all documents, grouped sums give each host's and each path's mean badness.  Between-site
    variances (method of moments) give the strength of the priors: hosts are shrunk to the global mean and
    paths to their host, sparse ones most.
@@ -19,6 +21,7 @@ are scored each; without labels of both kinds the evidence is 0; other columns a
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, split_words
+from tidewright.llm.common import cut, sifted, split_words
 from tidewright.llm.fingerprint import shingle_hashes
 
 MAX_LABELLED = 20_000
-LEXICON = 5_000
+FOLD = 3
 MARGIN = 4.6  # in log-odds: a hundredth of a chance find in the whole lexicon
 PRECISION = 0.5
 BEGINNINGS = (4, 5, 6, 7)
 _WORD = re.compile(r"\w+")
-_KINDS = 0x250
-_CLASS = np.array([1 if chr(c).isupper() else 2 if chr(c).isdigit() else 0 if chr(c).isalpha() else 4 if chr(c).isspace() else 3 for c in range(_KINDS)] + [0], np.uint8)
+_KINDS = 0x10000  # characters beyond count as letters
+_CLASS = np.array([1 if x.isupper() else 2 if x.isdigit() else 0 if x.isalpha() or unicodedata.category(x)[0] == "M" else 4 if x.isspace() else 3 for x in map(chr, range(_KINDS))] + [0], np.uint8)
 SHAPES = 8
 
 
@@ -109,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "quality", "toxic")
     n = known.count()
     share = min(1.0, max_labelled / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(max_labelled)
+    place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
+    # a little more than needed passes the filter; the order settles the rest
+    picked = known.withColumn("place", place).where(F.col("place") < int(min(1.0, 1.2 * share) * (1 << 40))).orderBy("place", "doc_id", "quality", "toxic").limit(max_labelled).drop("place")
     rows = docs.select(F.col("doc_id").alias("d_id"), "text").where("text IS NOT NULL").join(picked, F.col("d_id") == F.col("doc_id")).select("doc_id", "text", "quality", "toxic")
     rows = cut(rows)  # at most max_labelled texts, read three times
 
@@ -133,12 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     if not 0 < toxic.sum() < len(toxic):
         return Model(junk, middle, scale, {}, None)
     base = float(toxic.mean())
-    sketch = F.array_min(shingle_hashes(split_words(F.col("text"))))
-    stats = cut(rows.select("text", "toxic", sketch.alias("sketch")).dropDuplicates(["sketch"]).select("text", "toxic").mapInArrow(counted, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")))
+    sketch = F.slice(F.array_sort(F.array_distinct(shingle_hashes(split_words(F.col("text"))))), 1, FOLD)
+    first = F.min("text").alias("text")
+    stats = cut(rows.select("text", "toxic", sketch.alias("sketch")).groupBy("sketch", "toxic").agg(first).select("text", "toxic").mapInArrow(counted, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")))
     n0 = F.col("n") - F.col("n1")
     ratio = F.col("n1") * F.log(F.col("n1") / F.col("n") / base) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - base))).otherwise(0.0)
     enough = float(np.log(max(1, stats.count()))) + margin
-    sure = stats.where((F.col("n1") > 0) & (F.col("n1") >= PRECISION * F.col("n"))).where(ratio >= enough).orderBy(F.desc("n1"), "n", "term").limit(LEXICON).collect()
+    sure = stats.where((F.col("n1") > 0) & (F.col("n1") >= PRECISION * F.col("n"))).where(ratio >= enough).orderBy(F.desc("n1"), "n", "term").collect()
     total, ones = len(toxic), toxic.sum()
     lexicon = {r.term: float(np.log((r.n1 + 0.5) / (ones + 1)) - np.log((r.n - r.n1 + 0.5) / (total - ones + 1))) for r in sure}
     model = Model(junk, middle, scale, lexicon, None)
@@ -213,9 +219,20 @@ def classify(docs: DataFrame, model: Model, *, host_col: str = "source", path_co
     return out.select(*names, F.col("__evidence").alias("evidence"), "host_posterior", F.col("__path_posterior").alias("path_posterior"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= 0.5).alias("rejected"))
 
 
-def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """For a pipeline: the documents that are not rejected, with their columns."""
-    return classify(docs, fit(docs, labels)).where("NOT rejected").select(*docs.columns)
+def stage(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """For a pipeline: the documents that are not rejected, with their columns.
+
+    Texts are scored once.  Equal rows have equal scores, so the rejected ones are told by a hash of id, text and site; rows
+    that a sieve clears aren't shuffled.
+    """
+    row = F.xxhash64(*(x for c in (id_col, text_col, host_col, path_col) for x in (F.col(c).isNull(), F.col(c).cast("string"))))
+    key, text = F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text")
+    site = docs.select(key, text, F.col(host_col).alias("__source"), F.col(path_col).alias("__lang"), row.alias("__row"))
+    scored = classify(site, fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels), host_col="__source", path_col="__lang", text_col="__text", keep_text=False)
+    bad = cut(scored.where("rejected").select(F.col("__row").alias("__bad"), F.col("__id").alias("__bad_id")).distinct())
+    rows = docs.withColumn("__row", row)
+    doubtful = sifted(rows, "__row", bad, "__bad").join(bad, (F.col("__row") == F.col("__bad")) & F.col(id_col).eqNullSafe(F.col("__bad_id")), "left_anti")
+    return sifted(rows, "__row", bad, "__bad", among=False).unionByName(doubtful).select(*docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

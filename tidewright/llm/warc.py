@@ -9,10 +9,21 @@ separator.  Longer records get an empty member after them, which ends in 0 as we
 The reader plans byte ranges.  A task looks for gzip magic in its range, validates a candidate by
 decoding its header as WARC and the member as a whole, and owns the records that start inside the
 range; from a valid member on it goes from member to member, past the end of the range for the last one.
+What looks like a member may lie within the payload of another.  So a first pass notes, for each range, the first
+member found and where the chain of members leaves the range; then, file by file, the chain is followed from the
+beginning of the file: the members of a range start where the chain of the range before has led.  A range that had found
+another start (a member in a payload) is walked again from there.  Records come out as if each file were read
+from its beginning, whatever the size of the ranges.
 
 Payloads: of records with equal payloads of at least ``dedup_bytes`` bytes the one with the smallest
 id is a response, others revisit it (no payload stored).  Equal means: equal SHA-1 and length.
 
+Archives of others: a digest that is missing or of another algorithm than SHA-1 isn't checked (``digest_ok`` null; false
+if it differs), the digest of a stored payload is always the SHA-1 of what was read; a bad ``Content-Length`` means all of the
+member; the payload is what follows the HTTP header of a response, and the block of other records except revisits;
+the length of a revisited payload is null unless an extension field has it; bytes between members are skipped.  Archives
+that aren't compressed by member aren't split into records: only gzip members that begin with a WARC header count.
+
 Results: a null payload is empty; null urls are stored as empty; repeated rows with the smallest id
 are all responses; rows with a null id never become the response of others and keep a null id; other columns are ignored.
 """
@@ -22,7 +33,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import shared_dir
+from tidewright.llm.common import cut, work_folder
 
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing.
@@ -38,7 +48,7 @@ EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 RANGE = 32 << 20
 STEP = 1 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-RECORDS = "file string, offset long, record_type string, record_id string, target_uri string, payload_digest string, refers_to_id string, payload_bytes long, payload binary"
+RECORDS = "file string, offset long, record_type string, record_id string, target_uri string, payload_digest string, refers_to_id string, payload_bytes long, payload binary, digest_ok boolean"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -69,26 +79,25 @@ def record(kind: str, record_id: str, uri: str, digest: str, size: int, refers:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def roles(pages: DataFrame, dedup_bytes: int = 0, *, id_col: str = "page_id", payload_col: str = "html", salts: int = 16) -> DataFrame:
+def roles(pages: DataFrame, dedup_bytes: int = 0, *, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """Adds ``digest`` (hex), ``size`` and ``first_id``: the response that a row revisits, else null.
 
-    Only payloads that occur twice or more are joined back, and those rows are salted:
-    one payload may make up a third of all rows.
+    Only payloads that occur twice or more are joined back.  One payload may make up a third of all rows: those with over a
+    thousandth of the repeated rows (fewer than a thousand payloads) are broadcast, and their rows are
+    spread by id.
     """
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), *( [F.col("url")] if "url" in pages.columns else [F.lit("").alias("url")]), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1("body")).withColumn("size", F.octet_length("body").cast("long"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    shared = (
-        rows.where(F.col("size") >= dedup_bytes)
-        .groupBy("digest", "size")
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 AND first_id IS NOT NULL")
-        .select(F.col("digest").alias("shared_digest"), F.col("size").alias("shared_size"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("shared_salt"))
-    )
-    same = (F.col("digest") == F.col("shared_digest")) & (F.col("size") == F.col("shared_size")) & (F.col("salt") == F.col("shared_salt"))
-    joined = rows.join(shared, same, "left").select("page_id", "url", "body", "digest", "size", "first_id")
-    return joined.withColumn("first_id", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")))
+    shared = cut(rows.where(F.col("size") >= dedup_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL"))
+    often = (shared.agg(F.sum("n")).first()[0] or 0) // 1000
+    named = lambda df, p: df.select(F.concat("digest", F.lit("/"), F.col("size").cast("string")).alias(f"{p}_key"), F.col("first_id").alias(f"{p}_first"))
+    hot, cold = named(shared.where(F.col("n") > max(1000, often)), "hot"), named(shared.where(F.col("n") <= max(1000, often)), "cold")
+    key = F.concat("digest", F.lit("/"), F.col("size").cast("string"))
+    told = rows.withColumn("key", key).join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
+    spread = F.when(F.col("hot_key").isNull(), F.col("key")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    joined = told.withColumn("key", spread).join(cold, F.col("key") == F.col("cold_key"), "left").withColumn("first_id", F.coalesce("hot_first", "cold_first"))
+    return joined.select("page_id", "url", "body", "digest", "size", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("first_id"))
 
 
 def write(pages: DataFrame, path: str, dedup_bytes: int = 0, **names) -> None:
@@ -152,13 +161,16 @@ def _fields(data: bytes) -> tuple[dict[str, str], bytes] | None:
     if not found:
         return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    size = int(fields.get("content-length", "0"))
-    return fields, block[:size]
+    size = fields.get("content-length", "")
+    return fields, block[: int(size)] if re.fullmatch("[0-9]+", size) else block.removesuffix(b"\r\n\r\n")
 
 
-def read_range(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Records that start in [start, end) of an open file: offset, fields, block."""
-    s, chained = _Stream(f, start), False
+def walk(f, start: int, end: int, chained: bool = False) -> Iterator[tuple[int, int, tuple[dict[str, str], bytes] | None]]:
+    """Members that start in [start, end) of an open file: offset, end, fields and block (None: a member that isn't a record).
+
+    ``chained``: a member is known to end at ``start``.
+    """
+    s = _Stream(f, start)
     while s.at < end:
         if len(s.buffer) < 3:
             s.more()
@@ -182,12 +194,43 @@ def read_range(f, start: int, end: int) -> Iterator[tuple[int, dict[str, str], b
             chained = False
             s.drop(1)
             continue
-        if parsed is not None:
-            yield s.at, *parsed
+        yield s.at, s.at + whole[1], parsed
         s.drop(whole[1])
         chained = True
 
 
+def read_range(f, start: int, end: int, chained: bool = False) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Records that start in [start, end) of an open file: offset, fields, block."""
+    for at, _, parsed in walk(f, start, end, chained):
+        if parsed is not None:
+            yield at, *parsed
+
+
+def survey(f, start: int, end: int, chained: bool = False) -> tuple[int | None, int | None]:
+    """Where the first member in the range begins, and where the last one ends."""
+    first = last = None
+    for at, stop, _ in walk(f, start, end, chained):
+        first, last = at if first is None else first, stop
+    return first, last
+
+
+def settle(found: list[tuple[int, int, int | None, int | None]], again) -> list[tuple[int, int, int, bool]]:
+    """Of a file's ranges (start, end, first, last) in order: where reading begins, where it ends, and whether a member ends there.
+
+    ``again(start, end)`` surveys a range from a known end of a member.
+    """
+    out, reach = [], 0
+    for start, end, first, last in found:
+        begin, chained = max(start, reach), reach > start or reach == start > 0
+        if begin < end and chained and first != begin:
+            first, last = again(begin, end)
+        if begin < end:
+            out.append((start, end, begin, chained))
+            if first is not None:
+                reach = last
+    return out
+
+
 def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """``file, start, end`` of all byte ranges of the archives in a folder; names and lengths only are read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
@@ -196,25 +239,49 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     )
 
 
+def opened(uri: str):
+    """An open file; a context manager."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    return store.open_input_file(name)
+
+
 def read(spark: SparkSession, path: str, size: int = RANGE, payload: bool = True) -> DataFrame:
-    """All records (``RECORDS``) of the archives in a folder; payload and digest of responses are checked against each other."""
+    """All records (``RECORDS``) of the archives in a folder.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    Tasks open archives with Arrow's file systems (local, HDFS, S3, GCS).
+    """
+    # one small row per range: dealt out evenly, because the listing is a single partition
+    tasks = max(1, spark.sparkContext.defaultParallelism * 4)
 
+    def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            seen = []
             for file, start, end in zip(part["file"].to_pylist(), part["start"].to_pylist(), part["end"].to_pylist(), strict=True):
-                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                with opened(file) as f:
+                    seen.append(survey(f, start, end))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1] for x in seen], pa.int64())], names=["file", "start", "end", "first", "last"])
+
+    def follow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("start")
+        file = t["file"][0].as_py()
+
+        def again(start: int, end: int) -> tuple[int | None, int | None]:
+            with opened(file) as f:
+                return survey(f, start, end, chained=True)
+
+        told = settle(list(zip(*(t[c].to_pylist() for c in ("start", "end", "first", "last")), strict=True)), again)
+        columns = [pa.array([file] * len(told), pa.string()), pa.array([x[2] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[3] for x in told], pa.bool_())]
+        return pa.table(columns, names=["file", "start", "end", "chained"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for file, start, end, chained in zip(*(part[c].to_pylist() for c in ("file", "start", "end", "chained")), strict=True):
                 out, held = [], 0
-                with store.open_input_file(name) as f:
-                    for at, fields, block in read_range(f, start, end):
-                        kind, digest = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").partition(":")[2]
-                        body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                        if body is not None and base32_sha1(body) != digest:
-                            raise ValueError(f"{file} at {at}: the payload has another digest than its record says")
-                        length = len(body) if body is not None else int(fields.get("warc-payload-length", "-1"))
-                        refers = fields.get("warc-refers-to", "").strip("<>") or None
-                        out.append((file, at, kind, fields.get("warc-record-id", "").strip("<>"), fields.get("warc-target-uri", ""), digest, refers, length, body if payload else None))
+                with opened(file) as f:
+                    for at, fields, block in read_range(f, start, end, chained):
+                        out.append((file, at, *described(fields, block, payload)))
                         held += len(block)
                         if held > 16 << 20:
                             yield _records(out)
@@ -222,14 +289,29 @@ def read(spark: SparkSession, path: str, size: int = RANGE, payload: bool = True
                 if out:
                     yield _records(out)
 
-    found = ranges(spark, path, size)
-    # one small row per range: dealt out evenly, because the listing is a single partition
-    found = found.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "file", "start")
-    return found.mapInArrow(run, RECORDS)
+    looked = ranges(spark, path, size).repartition(tasks, "file", "start").mapInArrow(look, "file string, start long, end long, first long, last long")
+    # a row per range: a file's ranges are few
+    settled = looked.groupBy("file").applyInArrow(follow, "file string, start long, end long, chained boolean")
+    return settled.repartition(tasks, "file", "start").mapInArrow(run, RECORDS)
+
+
+def described(fields: dict[str, str], block: bytes, payload: bool) -> tuple:
+    """The columns of a record from ``record_type`` on."""
+    kind = fields.get("warc-type", "")
+    algorithm, _, told = fields.get("warc-payload-digest", "").partition(":")
+    body = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2] if kind == "response" else block
+    digest, ok, length = told, None, fields.get("warc-payload-length", "")
+    if body is not None:
+        digest = base32_sha1(body)
+        if algorithm.lower() == "sha1" and told:
+            ok = told.upper() == digest or told.lower() == hashlib.sha1(body).hexdigest()
+    size = len(body) if body is not None else int(length) if re.fullmatch("[0-9]+", length) else None
+    refers = fields.get("warc-refers-to", "").strip("<>") or None
+    return kind, fields.get("warc-record-id", "").strip("<>"), fields.get("warc-target-uri", ""), digest, refers, size, body if payload else None, ok
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -237,7 +319,7 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 def round_trip(pages: DataFrame, dedup_bytes: int = 0, size: int = RANGE, folder: str | None = None, **names) -> DataFrame:
     """Writes archives to the shared folder and reads them back: one row per record."""
     spark = pages.sparkSession
-    path = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = folder or f"{work_folder(spark, 'warc')}/archives"
     write(pages, path, dedup_bytes, **names)
     page = lambda c: F.expr(f"CAST(nullif(substring({c}, 10), '') AS BIGINT)")  # noqa: E731  after urn:page:
     return read(spark, path, size, payload=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_id").alias("refers_to"))
