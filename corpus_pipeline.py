@@ -12,12 +12,10 @@ are handled as the operators' docstrings say.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from tidewright.llm.common import shared_dir, table
+from tidewright.llm.common import table, work_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +50,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages in turn, each written to the shared folder and read again.
+
+    With a folder of one's own, a run that was broken off goes on after the last stage that is complete there; without
+    one, each stage's rows go when the next stage is written, and the last ones when the driver ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, held = folder or work_folder(spark, "pipeline"), []
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(path.suffix("/_SUCCESS")):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+        for old in held if folder is None else []:
+            store.delete(old, True)
+        held = [path]
     return docs

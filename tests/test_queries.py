@@ -31,7 +31,7 @@ def test_query(spark, db, small, name):
     _same(spark, db, small, name)
 
 
-LARGE = ["summary_stats", "value_at", "distribution_percentiles", "rate_of_change_ties", "data_quality_flatlines", "data_quality_gaps_top", "find_events_outside", "compare_to_baseline_episodes", "sparkline", "outlier_bounds"]
+LARGE = ["summary_stats", "value_at", "distribution_percentiles", "rate_of_change_ties", "data_quality_flatlines", "data_quality_gaps_top", "find_events_outside", "compare_to_baseline_episodes", "sparkline", "outlier_bounds", "resample_median", "correlate", "correlate_bucket"]
 
 
 @pytest.mark.parametrize("name", LARGE)

@@ -72,6 +72,43 @@ def test_failed_commit_leaves_nothing(spark, tmp_path, monkeypatch):
         store.ingest_csv(write(tmp_path / "s.csv", "ts,a b,a_b", [f"{clock(0, 60)},1,2"]))
 
 
+def test_writers_take_turns(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    with store.files.lock("catalog.json.lock"), pytest.raises(TimeoutError), store.files.lock("catalog.json.lock", wait_s=0.2):
+        pass
+    with store.files.lock("catalog.json.lock"), store.files.lock("catalog.json.lock", stale_s=-1):
+        pass
+    path = write(tmp_path / "r.csv", "ts,v", [f"{clock(0, 60)},1"])
+    store.ingest_csv(path)
+    entry = store.entry("r/v")
+    with pytest.raises(ValueError, match="taken"):
+        store._commit([entry], [])
+    assert store.files.listing() and not store.files.exists("catalog.json.lock")
+
+
+def test_the_row_of_a_bad_cell_in_a_split_file(spark, tmp_path):
+    lines = [f"{clock(i, 1)},{i}" for i in range(4000)]
+    lines[3210] = f"{clock(3210, 1)},oops"
+    path = write(tmp_path / "big.csv", "ts,v", lines)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        with pytest.raises(ValueError, match=r"'oops' .*\(row 3212\)"):
+            csv.read(spark, path, multi_line=False)
+        with pytest.raises(ValueError, match=r"row 3212"):
+            Store(spark, str(tmp_path / "store")).ingest_csv(path, multi_line=False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_default_place_of_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("TIDEWRIGHT_STORE", str(tmp_path / "from-env"))
+    assert Engine(spark).server_info()["store_dir"] == str(tmp_path / "from-env")
+    monkeypatch.delenv("TIDEWRIGHT_STORE")
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    assert Engine(spark).server_info()["store_dir"] == str(tmp_path / "home" / ".tidewright" / "store")
+
+
 def test_outlier_story(engine, tmp_path):
     path = write(tmp_path / "readings.csv", "ts,temp", [f"{clock(i, 60)},{v}" for i, v in enumerate([20, 21, 20.5, 90, 21.5])])
     made = engine.ingest_csv(path, units={"temp": "C"})

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.scalar import seconds
-from tidewright.plans.frames import ID, quantiles
+from tidewright.plans.frames import ID, average_ranks, quantiles
 
 # The widths that an automatic grid chooses from, in milliseconds.
 WIDTHS_MS = (1_000, 5_000, 15_000, 30_000, 60_000, 300_000, 900_000, 1_800_000, 3_600_000, 10_800_000, 21_600_000, 43_200_000, 86_400_000, 604_800_000)
 PROFILE_BUCKETS, CORRELATE_BUCKETS, LAG_BUCKETS, LAG_SHIFTS = 48, 100, 200, 500
-AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}
+AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "median": None}
 HOUR, DAY = 3_600_000, 86_400_000
+# Names of the positions in a week.
 DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
@@ -59,7 +60,13 @@ def resample(series: DataFrame, width_ms: int, how: str = "mean") -> DataFrame:
     if how not in AGGREGATES:
         raise ValueError(f"unknown aggregate {how!r}: one of {', '.join(AGGREGATES)}")
     rows, _ = _placed(series, width_ms, PROFILE_BUCKETS)
-    made = rows.groupBy(ID, "bucket", (F.col("start_ms") + F.col("bucket") * F.col("width_ms")).alias("at_ms")).agg(AGGREGATES[how]("value").alias("value"))
+    at = (F.col("start_ms") + F.col("bucket") * F.col("width_ms")).alias("at_ms")
+    if how == "median":
+        # a bucket may hold more values than a task: exact quantiles of any size, a bucket in the place of a series
+        named = rows.select(F.struct(F.col(ID).alias("id"), "bucket", at).alias(ID), "value")
+        made = quantiles(named, "value", [0.5]).select(F.col(f"{ID}.id").alias(ID), f"{ID}.bucket", f"{ID}.at_ms", F.col("q")[0].alias("value"))
+    else:
+        made = rows.groupBy(ID, "bucket", at).agg(AGGREGATES[how]("value").alias("value"))
     return made.select(ID, F.col("at_ms").alias("ts_ms"), "value", F.col("bucket").alias("seq"))
 
 
@@ -136,21 +143,22 @@ def aligned(a: DataFrame, b: DataFrame, lo: int, hi: int, width_ms: int) -> Data
 def correlate(a: DataFrame, b: DataFrame, width_ms: int | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Pearson and Spearman of the bucket means of two series; at least two shared buckets."""
     pairs = aligned(a, b, *overlap(a, b, CORRELATE_BUCKETS, width_ms, start_ms, end_ms))
-    # the grid has few buckets, whatever the input: ranks need one small task
-    ranked = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    ranks = pairs.withColumns({"rx": ranked("x"), "ry": ranked("y")})
+    ranks = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
     return ranks.agg(F.count(F.lit(1)).alias("aligned"), safe_corr("x", "y").alias("pearson"), safe_corr("rx", "ry").alias("spearman"))
 
 
 def lag_scan(a: DataFrame, b: DataFrame, shifts: int | None = None, width_ms: int | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Pearson of a against b shifted by every whole number of buckets up to ``shifts`` each way; null below three pairs.
 
-    Default: a quarter of the window's buckets.  An equi-join on the shifted bucket.
+    Default: a quarter of the window's buckets.  The grid is cut into stretches of the largest shift: a bucket meets those of its own
+    stretch and the two beside it, so that three copies of a row are shuffled and not one for each shift.
     """
     lo, hi, width = overlap(a, b, LAG_BUCKETS, width_ms, start_ms, end_ms)
     most = min(LAG_SHIFTS, max(1, shifts if shifts is not None else ((hi - lo) // width + 1) // 4))
-    left = bucket_means(a, lo, hi, width).select("bucket", F.col("mean").alias("x"), F.explode(F.sequence(F.lit(-most).cast("long"), F.lit(most).cast("long"))).alias("shift")).withColumn("bucket", F.col("bucket") + F.col("shift"))
-    met = left.join(bucket_means(b, lo, hi, width).withColumnRenamed("mean", "y"), "bucket")
+    stretch = F.floor(F.col("bucket") / most)
+    left = bucket_means(a, lo, hi, width).select("bucket", F.col("mean").alias("x"), stretch.alias("stretch"))
+    right = bucket_means(b, lo, hi, width).select(F.col("bucket").alias("b_bucket"), F.col("mean").alias("y"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    met = left.join(right, "stretch").withColumn("shift", F.col("b_bucket") - F.col("bucket")).where(F.col("shift").between(-most, most))
     found = met.groupBy("shift").agg(F.count(F.lit(1)).alias("aligned"), safe_corr("x", "y").alias("r"))
     return found.select("shift", seconds(F.col("shift") * width).alias("lag_s"), "aligned", F.when(F.col("aligned") >= 3, F.col("r")).alias("pearson"))
 
@@ -163,9 +171,3 @@ def best_lag(scan: DataFrame) -> DataFrame:
     found = scan.agg(best.alias("b"), zero("pearson").alias("pearson_at_zero"), zero("aligned").alias("aligned_at_zero"))
     return found.select(F.col("b.shift").alias("best_shift"), F.col("b.lag_s").alias("best_lag_s"), F.col("b.pearson").alias("pearson_at_best"), F.col("b.aligned").alias("aligned_at_best"), "pearson_at_zero", F.coalesce("aligned_at_zero", F.lit(0)).alias("aligned_at_zero"))
 
-
-def bucket_medians(series: DataFrame, width_ms: int) -> DataFrame:
-    """Exact medians per bucket for buckets that are too large for one task's table of values."""
-    rows, _ = _placed(series, width_ms, PROFILE_BUCKETS)
-    named = rows.withColumn(ID, F.concat_ws("@", ID, F.col("bucket").cast("string")))
-    return quantiles(named, "value", [0.5])

@@ -34,16 +34,16 @@ def _width_text(ms: int) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str | None = None):
         self.store = Store(spark, root)
 
     # --- helpers
 
     def _rows(self, dataset_id: str, start: str = "", end: str = "") -> tuple[DataFrame, dict, dict]:
-        """The window's rows, the catalog entry, and the window's summary."""
+        """The window's rows, the catalog entry, and the window's count and range."""
         series = self.store.read(dataset_id, *window_ms(start, end))
-        found = scalar.summary_stats(series).first()
-        if found is None:
+        found = series.agg(F.count(F.lit(1)).alias("row_count"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms")).first()
+        if not found.row_count:
             raise ValueError(f"no rows of {dataset_id} between {start or 'its start'} and {end or 'its end'}")
         return series, self.store.entry(dataset_id), found.asDict()
 
@@ -133,13 +133,14 @@ class Engine:
             raise ValueError("iqr_multiplier must not be negative")
         return k or rows.IQR_MULTIPLIER
 
-    def _side(self, entry: dict, s: dict) -> dict:
+    def _side(self, entry: dict, series: DataFrame) -> dict:
+        s = scalar.summary_stats(series).first().asDict()
         ends = {m: {"value": s[f"{m}_value"], "timestamp": stamp_text(s[f"{m}_ts_ms"])} for m in ("min", "max")}
         return {**self._head(entry, s), **ends, "mean": s["mean"], "median": s["median"], "stddev": s["stddev"], **_present(unit=entry.get("unit"))}
 
     def summary_stats(self, id: str, start: str = "", end: str = "") -> dict:  # noqa: A002
-        _, entry, s = self._rows(id, start, end)
-        return self._side(entry, s)
+        series, entry, _ = self._rows(id, start, end)
+        return self._side(entry, series)
 
     def rate_of_change(self, id: str, start: str = "", end: str = "") -> dict:  # noqa: A002
         series, entry, s = self._rows(id, start, end)
@@ -345,7 +346,7 @@ class Engine:
         return {"dataset_count": len(out), "channels": out}
 
     def compare_datasets(self, id_a: str, id_b: str, start_a: str = "", end_a: str = "", start_b: str = "", end_b: str = "") -> dict:
-        (a, ea, sa), (b, eb, sb) = self._rows(id_a, start_a, end_a), self._rows(id_b, start_b, end_b)
+        (a, ea, _), (b, eb, _) = self._rows(id_a, start_a, end_a), self._rows(id_b, start_b, end_b)
         r = scalar.compare(a, b).first()
         caveats = []
         if ea.get("unit") != eb.get("unit"):
@@ -354,7 +355,7 @@ class Engine:
             caveats.append("the mean of side A is 0: no mean_pct_change")
         if r.stddev_ratio is None:
             caveats.append("the stddev of side A is 0: no stddev_ratio")
-        return {"a": self._side(ea, sa), "b": self._side(eb, sb), "mean_difference": r.mean_difference, **_present(mean_pct_change=r.mean_pct_change, stddev_ratio=r.stddev_ratio), "caveats": caveats}
+        return {"a": self._side(ea, a), "b": self._side(eb, b), "mean_difference": r.mean_difference, **_present(mean_pct_change=r.mean_pct_change, stddev_ratio=r.stddev_ratio), "caveats": caveats}
 
     def _two(self, id_a: str, id_b: str, start: str, end: str, bucket: str, most: int) -> tuple[DataFrame, DataFrame, dict, dict, tuple[int, int, int]]:
         a, b = self.store.read(id_a), self.store.read(id_b)

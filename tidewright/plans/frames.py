@@ -89,3 +89,25 @@ def quantiles(df: DataFrame, column: str, at: Sequence[float], aggregates: Seque
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - low)
     arrays = found.groupBy(ID).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias(name))
     return sides.drop("__sides", "__n", "__lo", "__hi").join(arrays, ID, "left")
+
+
+RANK_PARTS = 200
+
+
+def average_ranks(df: DataFrame, column: str, name: str, whole: bool | None = None) -> DataFrame:
+    """Adds the rank of a row's value from 1, ties sharing their average rank.  No task sorts all values of a large input."""
+    values = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    if small(df) if whole is None else whole:
+        through = values.withColumn("__through", F.sum("__c").over(Window.orderBy("__value").rowsBetween(*frame)))
+    else:
+        at = F.array(*[F.lit(i / RANK_PARTS) for i in range(1, RANK_PARTS)])
+        found = df.agg(F.percentile_approx(column, at, ACCURACY)).first()[0] or []
+        cuts = F.array(*[F.lit(float(x)) for x in sorted(set(found))]) if found else F.array().cast("array<double>")
+        parted = values.withColumn("__part", F.size(F.filter(cuts, lambda x: x <= F.col("__value"))))
+        sums = parted.groupBy(F.col("__part").alias("__of")).agg(F.sum("__c").alias("__sum"))
+        ahead = sums.withColumn("__ahead", F.sum("__sum").over(Window.orderBy("__of").rowsBetween(*frame)) - F.col("__sum")).drop("__sum")
+        own = F.sum("__c").over(Window.partitionBy("__part").orderBy("__value").rowsBetween(*frame))
+        through = parted.join(ahead, F.col("__part") == F.col("__of")).withColumn("__through", F.col("__ahead") + own).drop("__part", "__of", "__ahead")
+    ranked = through.select("__value", (F.col("__through") - (F.col("__c") - 1) / 2).alias(name))
+    return df.join(ranked, F.col(column) == F.col("__value")).drop("__value")

@@ -187,6 +187,8 @@ _PROFILE = f"""A AS (SELECT dataset_id, (ts_ms - t0) // w AS bucket, count(*) AS
 D AS (SELECT *, unnest(range(0, (t1 - t0) // w + 1)) AS bucket FROM G)
 SELECT D.dataset_id, D.bucket, t0 + D.bucket * w AS start_ms, coalesce(c, 0) AS count, {r("m")} AS mean, {r("lo")} AS min_value, {r("hi")} AS max_value FROM D LEFT JOIN A ON D.dataset_id = A.dataset_id AND D.bucket = A.bucket"""
 query("profile", lambda s, d: grids.profile(S.events(s, d)), f"WITH {EVENTS}, {_GRID}, {_PROFILE}")
+_DAYS = 3 * 24 * HOUR_MS
+query("profile_bucket", lambda s, d: grids.profile(S.events(s, d), _DAYS), f"WITH {EVENTS}, G AS (SELECT dataset_id, min(ts_ms) AS t0, max(ts_ms) AS t1, {_DAYS}::BIGINT AS w FROM S GROUP BY dataset_id), {_PROFILE}")
 for _how, _sql in {"mean": "avg(value)", "min": "min(value)", "max": "max(value)", "median": "quantile_cont(value, 0.5)"}.items():
     query(f"resample_{_how}", lambda s, d, how=_how: grids.resample(S.events(s, d), 6 * HOUR_MS, how), f"WITH {EVENTS}, {_GRID} SELECT dataset_id, t0 + ((ts_ms - t0) // {6 * HOUR_MS}) * {6 * HOUR_MS} AS ts_ms, {r(_sql)} AS value, (ts_ms - t0) // {6 * HOUR_MS} AS seq FROM S JOIN G USING (dataset_id) GROUP BY dataset_id, t0, (ts_ms - t0) // {6 * HOUR_MS}")
 _PLACES = {"hour_of_day": ("(ts_ms // 3600000) % 24", 24, "lpad(p::VARCHAR, 2, '0') || ':00'", 86_400_000), "day_of_week": ("(ts_ms // 86400000 + 4) % 7", 7, "['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday'][p + 1]", 604_800_000)}
@@ -216,6 +218,20 @@ query(
 K AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM J)
 SELECT count(*) AS aligned, {r(_R)} AS pearson, {r(_R.replace("x", "rx").replace("varrx", "var").replace("y", "ry"))} AS spearman FROM K""",
 )
+query(
+    "correlate_bucket",
+    lambda s, d: grids.correlate(*pair(s, d), width_ms=8 * HOUR_MS),
+    f"""WITH {_TWO}, W AS (SELECT {8 * HOUR_MS}::BIGINT AS w), {_BOTH}, J AS (SELECT x, y FROM A JOIN B USING (k)),
+K AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM J)
+SELECT count(*) AS aligned, {r(_R)} AS pearson, {r(_R.replace("x", "rx").replace("varrx", "var").replace("y", "ry"))} AS spearman FROM K""",
+)
+query(
+    "find_lag_bucket",
+    lambda s, d: grids.lag_scan(*pair(s, d), 7, 2 * HOUR_MS),
+    f"""WITH {_TWO}, W AS (SELECT {2 * HOUR_MS}::BIGINT AS w), {_BOTH}, H AS (SELECT unnest(range(-7, 8)) AS shift, w FROM W),
+C AS (SELECT shift, any_value(w) AS w, count(*) AS n, {_R} AS p FROM H, A JOIN B ON B.k = A.k + H.shift GROUP BY shift)
+SELECT shift, {r("shift * w / 1000.0::DOUBLE")} AS lag_s, n AS aligned, {r("CASE WHEN n >= 3 THEN p END")} AS pearson FROM C""",
+)
 _SCAN = f"""WITH {_TWO}, W AS (SELECT ({_ladder("b - a", 200)})::BIGINT AS w FROM U), {_BOTH}, T AS (SELECT least(500, greatest(1, ((hi - lo) // w + 1) // 4)) AS most, w FROM O, W), H AS (SELECT unnest(range(-most, most + 1)) AS shift, w FROM T),
 C AS (SELECT shift, any_value(w) AS w, count(*) AS n, {_R} AS p FROM H, A JOIN B ON B.k = A.k + H.shift GROUP BY shift), V AS (SELECT shift, shift * w / 1000.0::DOUBLE AS lag_s, n, CASE WHEN n >= 3 THEN p END AS p FROM C)"""
 query("find_lag_scan", lambda s, d: grids.lag_scan(*pair(s, d)), f"{_SCAN} SELECT shift, {r('lag_s')} AS lag_s, n AS aligned, {r('p')} AS pearson FROM V")
@@ -327,7 +343,7 @@ query("graph_edges", lambda s, d: _lineage(s, d).edges(), "SELECT * FROM (VALUES
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _lineage(spark, sf_dir).entries()
     children = e.where("parent_id <> ''").groupBy(F.col("parent_id").alias("p")).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("children"))
-    return e.join(children, F.col("id") == F.col("p"), "left").select("id", "parent_id", F.coalesce("children", F.lit("")).alias("children"))
+    return e.join(children, F.col("id") == F.col("p"), "left").select("id", "parent_id", F.coalesce("origin", F.lit("")).alias("origin"), F.coalesce("children", F.lit("")).alias("children"))
 
 
 def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,6 +352,23 @@ def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalar.summary_stats(store.read(made["id"]))
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _lineage(spark, sf_dir).graph()
+    nodes = [(k, n["parent_id"], n.get("origin", ""), ",".join(n["children"]), k in graph["roots"]) for k, n in graph["nodes"].items()]
+    return spark.createDataFrame(nodes, "id string, parent_id string, origin string, children string, is_root boolean")
+
+
+def _variant(spark: SparkSession, sf_dir: str, columns: dict, **options) -> DataFrame:
+    """The events in another form of CSV, ingested, summarised by channel."""
+    folder = work_dir(spark, "ingest")
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    table.select(*[c.alias(n) for n, c in columns.items()]).write.csv(f"{folder}/events.csv", header=True)
+    store = Store(spark, f"{folder}/store")
+    store.ingest_csv(f"{folder}/events.csv", multi_line=False, **options)
+    stored = store.read_many(sorted(store.catalog()))
+    return stored.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("row_count"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.avg("value").alias("mean"))
+
+
 def _mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in _lineage(spark, sf_dir).mermaid().splitlines()], "line string")
 
@@ -348,8 +381,8 @@ def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
 query(
     "describe_dataset",
     _described,
-    """SELECT * FROM (VALUES ('events/user_id', '', ''), ('events/value', '', 'events/value-2,events/value-3'), ('events/value-2', 'events/value', ''), ('events/value-3', 'events/value', 'events/value-3-2'),
-('events/value-3-2', 'events/value-3', '')) t(id, parent_id, children)""",
+    """SELECT * FROM (VALUES ('events/user_id', '', '', ''), ('events/value', '', '', 'events/value-2,events/value-3'), ('events/value-2', 'events/value', 'copy', ''),
+('events/value-3', 'events/value', 'remove_outliers', 'events/value-3-2'), ('events/value-3-2', 'events/value-3', 'resample', '')) t(id, parent_id, origin, children)""",
 )
 query("copy_dataset", _copied, f"WITH S AS (SELECT 'copy_of_it' AS dataset_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events) {_SUMMARY} GROUP BY dataset_id")
 query(
@@ -360,3 +393,27 @@ query(
 )
 query("server_info", _info, "SELECT 'parquet' AS storage_format, 'csv' AS supported_ingest_formats, true AS has_catalog")
 query("greet", lambda s, d: s.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("Hi "), "r_name").alias("greeting")), "SELECT 'Hi ' || r_name AS greeting FROM region")
+query(
+    "dataset_graph_json",
+    _graph,
+    """SELECT * FROM (VALUES ('events/user_id', '', '', '', true), ('events/value', '', '', 'events/value-2,events/value-3', true), ('events/value-2', 'events/value', 'copy', '', false),
+('events/value-3', 'events/value', 'remove_outliers', 'events/value-3-2', false), ('events/value-3-2', 'events/value-3', 'resample', '', false)) t(id, parent_id, origin, children, is_root)""",
+)
+
+# Forms of ingest: epochs, explicit columns and names, blank cells, and other layouts of time.
+_FORM = "SELECT '{id}' AS dataset_id, count(*) AS row_count, min({t}) AS start_ms, max({t}) AS end_ms, round(avg(value), 6) + 0.0 AS mean FROM events"
+_SECONDS = "epoch_us(ts) // 1000000 * 1000"
+query("ingest_epoch_ms", lambda s, d: _variant(s, d, {"reading": F.col("value"), "epoch": F.unix_millis("ts")}), _FORM.format(id="events/reading", t="epoch_us(ts) // 1000"))
+query("ingest_epoch_seconds", lambda s, d: _variant(s, d, {"event_ts": F.unix_seconds("ts"), "value": F.col("value")}), _FORM.format(id="events/value", t=_SECONDS))
+query(
+    "ingest_overrides",
+    lambda s, d: _variant(s, d, {"time": F.lit("2020-01-01"), "seen": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "other": F.col("user_id"), "value": F.col("value")}, name="Named Set", timestamp_col="seen", value_cols=["value"], units={"value": "V"}),
+    _FORM.format(id="named_set/value", t=_SECONDS),
+)
+query(
+    "ingest_blanks",
+    lambda s, d: _variant(s, d, {"ts": F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), "value": F.when(F.col("event_id") % 3 != 0, F.col("value"))}, timestamp_col="ts", value_cols=["value"]),
+    _FORM.format(id="events/value", t=_SECONDS) + " WHERE event_id % 5 <> 0 AND event_id % 3 <> 0",
+)
+for _name, _layout, _t in (("us", "MM/dd/yyyy HH:mm:ss", _SECONDS), ("us_short", "M/d/yyyy HH:mm:ss", _SECONDS), ("us_date", "M/d/yyyy", "epoch_us(date_trunc('day', ts)) // 1000"), ("date", "yyyy-MM-dd", "epoch_us(date_trunc('day', ts)) // 1000"), ("offset", "yyyy-MM-dd'T'HH:mm:ssXXX", _SECONDS)):
+    query(f"ingest_layout_{_name}", lambda s, d, layout=_layout: _variant(s, d, {"day": F.date_format("ts", layout), "value": F.col("value")}, timestamp_col="day"), _FORM.format(id="events/value", t=_t))

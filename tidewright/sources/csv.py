@@ -10,6 +10,7 @@ aggregates have no meaning for them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +35,18 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _FRACTION = re.compile("ss")
 
 
+#: What a failed job says of a cell; ``Parsed.check`` finds the row.
+UNREADABLE = "unreadable cell"
+
+
 @dataclass
 class Parsed:
+    """``rows`` (column, ts_ms, value, seq) fail on a cell that can't be read; ``check`` says which one it is."""
+
     timestamp_column: str
     value_columns: list[str]
-    rows: DataFrame  # column, ts_ms, value, seq
+    rows: DataFrame
+    check: Callable[[], None]
 
 
 def time_like(name: str) -> bool:
@@ -66,8 +74,11 @@ def stamp_ms(cell: Column) -> Column:
     return F.coalesce(*tried, epoch_ms(number(cell)))
 
 
-def read(spark: SparkSession, path: str, timestamp_col: str | None = None, value_cols: list[str] | None = None, multi_line: bool = True) -> Parsed:
-    """``multi_line`` allows line breaks in quotes, at the price that a file is one task; without it large files are split."""
+def read(spark: SparkSession, path: str, timestamp_col: str | None = None, value_cols: list[str] | None = None, multi_line: bool = True, validate: bool = True) -> Parsed:
+    """``multi_line`` allows line breaks in quotes, at the price that a file is one task; without it large files are split.
+
+    ``validate`` looks at all cells now; without it the job that reads the rows does.
+    """
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', mode="PERMISSIVE")
     header = raw.columns
     first = raw.first()
@@ -92,14 +103,27 @@ def read(spark: SparkSession, path: str, timestamp_col: str | None = None, value
     if not values:
         raise ValueError(f"no numeric column among {header}")
     # the scan keeps the order of the file, so the row number is the stored order
-    cells = raw.toDF(*[f"c{i}" for i in range(len(header))]).withColumn("seq", F.monotonically_increasing_id())
-    cells = cells.where(F.coalesce(F.col(f"c{at}"), F.lit("")) != "").withColumn("ts_ms", stamp_ms(F.col(f"c{at}")))
+    cells_before = raw.toDF(*[f"c{i}" for i in range(len(header))]).withColumn("seq", F.monotonically_increasing_id())
+    cells = cells_before.where(F.coalesce(F.col(f"c{at}"), F.lit("")) != "").withColumn("ts_ms", stamp_ms(F.col(f"c{at}")))
     pairs = F.explode(F.array(*[F.struct(F.lit(header[i]).alias("column"), F.col(f"c{i}").alias("cell")) for i in values]))
     long = cells.select("seq", F.col(f"c{at}").alias("stamp"), "ts_ms", pairs.alias("x")).select("seq", "stamp", "ts_ms", "x.column", "x.cell").where("cell IS NOT NULL AND cell <> ''").withColumn("value", number(F.col("cell")))
-    bad = cells.where("ts_ms IS NULL").select((F.col("seq") + 2).alias("row"), F.col(f"c{at}").alias("cell")).first()
-    if bad:
-        raise ValueError(f"can't read the time {bad.cell!r} in column {header[at]!r} (row {bad.row})")
-    bad = long.where("value IS NULL").select((F.col("seq") + 2).alias("row"), "column", "cell").first()
-    if bad:
-        raise ValueError(f"can't read the number {bad.cell!r} in column {bad['column']!r} (row {bad.row})")
-    return Parsed(header[at], [header[i] for i in values], long.select("column", "ts_ms", "value", "seq"))
+
+    def row_of(seq: int) -> int:
+        """The number of a row, with the header as the first; only asked for when something is wrong."""
+        part = seq >> 33
+        ahead = cells_before.where(F.shiftright("seq", 33) < part).count() if part else 0
+        return ahead + (seq & ((1 << 33) - 1)) + 2
+
+    def check() -> None:
+        bad = cells.where("ts_ms IS NULL").select("seq", F.col(f"c{at}").alias("cell")).first()
+        if bad:
+            raise ValueError(f"can't read the time {bad.cell!r} in column {header[at]!r} (row {row_of(bad.seq)})")
+        bad = long.where("value IS NULL").select("seq", "column", "cell").first()
+        if bad:
+            raise ValueError(f"can't read the number {bad.cell!r} in column {bad['column']!r} (row {row_of(bad.seq)})")
+
+    if validate:
+        check()
+    wrong = F.raise_error(F.lit(UNREADABLE))
+    rows = long.select("column", F.coalesce("ts_ms", wrong.cast("long")).alias("ts_ms"), F.coalesce("value", wrong.cast("double")).alias("value"), "seq")
+    return Parsed(header[at], [header[i] for i in values], rows, check)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -45,6 +49,34 @@ class Files:
         how[0] = rename.OVERWRITE
         context.rename(self._path(draft), self._path(name), how)
 
+    @contextmanager
+    def lock(self, name: str, wait_s: float = 60, stale_s: float = 600) -> Iterator[None]:
+        """Holds a file that only one writer can create; one that was left behind for ``stale_s`` is taken over."""
+        path, until = self._path(name), time.monotonic() + wait_s
+        while not self._created(path):
+            age = time.time() - self.fs.getFileStatus(path).getModificationTime() / 1000 if self.fs.exists(path) else 0
+            if age > stale_s:
+                self.fs.delete(path, False)
+            elif time.monotonic() > until:
+                raise TimeoutError(f"{self.uri(name)} is held by another writer")
+            else:
+                time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self.fs.delete(path, False)
+
+    def _created(self, path) -> bool:
+        if self.fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            return self.jvm.java.io.File(path.toUri().getPath()).createNewFile()
+        try:
+            self.fs.create(path, False).close()
+        except Py4JJavaError:
+            if self.fs.exists(path):
+                return False
+            raise
+        return True
+
     def move(self, name: str, to: str) -> None:
         self.fs.mkdirs(self._path(to).getParent())
         if not self.fs.rename(self._path(name), self._path(to)):
@@ -67,12 +99,23 @@ class Files:
         base = self.fs.makeQualified(self._path("")).toString().rstrip("/") + "/"
         while found.hasNext():
             name = found.next().getPath().toString().removeprefix(base)
-            if ".tmp-" not in name and not any(p.startswith((".", "_")) for p in name.split("/")):
+            if ".tmp-" not in name and not name.endswith(".lock") and not any(p.startswith((".", "_")) for p in name.split("/")):
                 out.append(name)
         return sorted(out)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor sees; a local temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that every executor sees, which goes when the driver ends.
+
+    A local temporary one only in local mode with none configured; an error on a cluster.
+    """
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidewright-")
+    files = Files(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    files.make()
+    files.fs.deleteOnExit(files._path(""))
+    return files.root

@@ -1,6 +1,6 @@
 """The store: immutable series as Parquet, a JSON catalog, and the lineage between them.
 
-A series is a folder ``<id>.parquet`` with ``timestamp`` (milliseconds, UTC), ``value`` and ``seq``.  The catalog's
+Writers take turns at the catalog by a lock file.  A series is a folder ``<id>.parquet`` with ``timestamp`` (milliseconds, UTC), ``value`` and ``seq``.  The catalog's
 rename is the commit: what was written before a failure is removed again.  The catalog is small (a record per
 series) and is read on every call, like any catalog.
 """
@@ -8,6 +8,7 @@ series) and is read on every call, like any catalog.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from datetime import datetime, timezone
@@ -37,9 +38,14 @@ def _numbered(base: str, taken) -> str:
     return name
 
 
+def default_root() -> str:
+    """Where the store lies if nothing else is said."""
+    return os.environ.get("TIDEWRIGHT_STORE") or os.path.join(os.path.expanduser("~"), ".tidewright", "store")
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.files = spark, Files(spark, root or default_root())
         self.files.make()
 
     # --- catalog
@@ -89,17 +95,21 @@ class Store:
 
     def _commit(self, made: list[dict], moved: list[tuple[str, str]]) -> None:
         done = []
-        try:
-            for draft, name in moved:
-                self.files.move(draft, name)
-                done.append(name)
+        with self.files.lock(f"{CATALOG}.lock"):
             held = self.catalog()
-            held.update({e["id"]: e for e in made})
-            self.files.replace(CATALOG, json.dumps(held, indent=2, sort_keys=True))
-        except Exception:
-            for name in done:
-                self.files.delete(name)
-            raise
+            taken = [e["id"] for e in made if e["id"] in held]
+            if taken:
+                raise ValueError(f"another writer has taken {', '.join(taken)} meanwhile")
+            try:
+                for draft, name in moved:
+                    self.files.move(draft, name)
+                    done.append(name)
+                held.update({e["id"]: e for e in made})
+                self.files.replace(CATALOG, json.dumps(held, indent=2, sort_keys=True))
+            except Exception:
+                for name in done:
+                    self.files.delete(name)
+                raise
 
     def _entry(self, dataset_id: str, path: str, column: str, stamp: str, unit: str | None, count: int, lo: int, hi: int, parent: str = "", origin: str | None = None, fraction: bool = True) -> dict:
         made = {"id": dataset_id, "kind": "measurement", "source_path": path, "source_column": column, "created_at": stamp_text(int(datetime.now(timezone.utc).timestamp() * 1000), False), "timestamp_column": stamp, "row_count": count, "time_range": {"start": stamp_text(lo, fraction), "end": stamp_text(hi, fraction)}, "parent_id": parent}
@@ -107,7 +117,7 @@ class Store:
 
     def ingest_csv(self, path: str, name: str | None = None, timestamp_col: str | None = None, value_cols: list[str] | None = None, units: dict[str, str] | None = None, multi_line: bool = True) -> list[dict]:
         """One dataset per channel, all written in one job, committed together; returns the entries in order of the columns."""
-        parsed = csv.read(self.spark, path, timestamp_col, value_cols, multi_line)
+        parsed = csv.read(self.spark, path, timestamp_col, value_cols, multi_line, validate=False)
         base = slug(name or re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1]))
         held = self.catalog()
         group = _numbered(base, lambda g: any(i.startswith(f"{g}/") for i in held))
@@ -119,7 +129,12 @@ class Store:
         channel = F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("column"))
         stored = parsed.rows.select(channel.alias("channel"), F.timestamp_millis("ts_ms").alias("timestamp"), "value", "seq")
         try:
-            stored.write.partitionBy("channel").parquet(self.files.uri(draft))
+            try:
+                stored.write.partitionBy("channel").parquet(self.files.uri(draft))
+            except Exception as e:
+                if csv.UNREADABLE in str(e):
+                    parsed.check()  # names the row
+                raise
             told = {r.channel: r for r in self.spark.read.parquet(self.files.uri(draft)).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_millis("timestamp")).alias("lo"), F.max(F.unix_millis("timestamp")).alias("hi")).collect()}
             made, moved = [], []
             for c, i in numbers.items():
