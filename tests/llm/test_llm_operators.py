@@ -736,9 +736,10 @@ def family(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("source", "rows", "block", "levels"), [("edge", 256, 128, 6), ("table", 256, 128, 6), ("family", 256, 128, 6), ("family", 9, 5, 1), ("family", 4, 7, 0), ("edge", 1, 2, 1), ("mixed", 8, 6, 2)])
-def test_jaccard(request, monkeypatch, source, rows, block, levels):
+@pytest.mark.parametrize(("source", "rows", "block", "paired", "levels"), [("edge", 256, 128, 2048, 6), ("table", 256, 128, 2048, 6), ("family", 256, 128, 2048, 6), ("family", 4, 7, 2048, 6), ("family", 9, 5, 9, 1), ("edge", 1, 2, 1, 1), ("mixed", 8, 6, 8, 2)])
+def test_jaccard(request, monkeypatch, source, rows, block, paired, levels):
     monkeypatch.setattr(jaccard_join, "BLOCK", (block, 20_000))
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
     monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     df = request.getfixturevalue(source)
     got = jaccard_join.join(df, chunks=3, region_rows=rows).collect()

@@ -12,8 +12,8 @@ lower-cased).  1 - J is a metric; links are distances of at most e = 1 - percent
 4. Each document first goes to the region of the pivot it shares most of them with (its Voronoi cell), and the regions are joined.
    Then it is replicated to the others of its regions, but only to those whose members are not all
    connected yet, and these are joined as well.
-5. A region of up to ``ROWS`` sets is joined in one task, recursively around pivot documents.  Larger regions are
-   joined by many tasks: some central members become pivots, distances to them are measured, and whatever lies
+5. A region of up to ``ROWS`` sets is joined in one task, recursively around pivot documents; one of up to ``PAIRED`` sets
+   in the same way, but for every pair of its blocks.  Larger regions are joined by many tasks: some central members become pivots, distances to them are measured, and whatever lies
    within e of its nearest pivot links to it and needs no comparison among itself.  Triangle inequality: only what lies within
    2e of a pivot can link to such a document, so only that is replicated to it (the window), in blocks.  What lies outside
    of all pivots is the next, smaller region, joined in the same way.  What is left after ``LEVELS`` rounds is
@@ -40,7 +40,9 @@ from tidewright.llm.substring_dedup import member, words_of
 
 ROWS = 256  # sets that one task joins as a region
 BLOCK = (128, 20_000)  # sets of a block: a 32nd of its region, within these bounds
+PAIRED = 2_048  # sets of a region whose blocks are all compared, without pivots
 LEVELS = 6
+LAST = 1 << 62
 SAMPLE, PIVOTS = 64, 6
 LEAF = 24
 CELLS = 12
@@ -272,13 +274,11 @@ def region_edges(sets: DataFrame, members: DataFrame, percent: int, rows: int) -
         sized = cut(members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size"), free=False)
         with_body = sized.join(bodies, F.col("vertex") == F.col("__s")).select("vertex", "region", "label", "size", "tokens")
         # edges are few; plans stay small if each round is settled by itself
-        found.append(cut(_within(with_body.where(F.col("size") <= rows), percent), free=False))
-        if not sized.where(F.col("size") > rows).limit(1).count():
-            break
-        large = cut(with_body.where(F.col("size") > rows))
-        if level == LEVELS:
-            found.append(cut(_blockwise(large, percent)))
+        most = PAIRED if level < LEVELS else LAST
+        found.append(cut(_blockwise(with_body.where(F.col("size") <= most), percent, rows)))
+        if not sized.where(F.col("size") > most).limit(1).count():
             break
+        large = cut(with_body.where(F.col("size") > most))
         measured = cut(_measured(large, percent))
         found.append(measured.where("nearest IS NOT NULL AND vertex <> nearest").select(F.col("vertex").alias("a"), F.col("nearest").alias("b")))
         found.append(cut(_across(measured, percent)))
@@ -315,18 +315,6 @@ def _new_links(join: Join, vertex: np.ndarray, label: np.ndarray) -> pa.Table:
     return _edge_table(vertex[far].tolist(), vertex[root[far]].tolist())
 
 
-def _within(rows: DataFrame, percent: int) -> DataFrame:
-    """Joins each region in a task of its own."""
-
-    def run(t: pa.Table) -> pa.Table:
-        order, vertex, label = _task_rows(t)
-        join = _join_of(t, order, label, percent)
-        join.run(np.arange(len(vertex)))
-        return _new_links(join, vertex, label)
-
-    return rows.groupBy("region").applyInArrow(run, EDGES)
-
-
 def _blocks(rows: DataFrame) -> DataFrame:
     """Adds ``blocks``, the number of blocks of a row's region."""
     size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("size") / 32)))
@@ -337,9 +325,9 @@ def _block_of(vertex: str = "vertex", blocks: str = "blocks") -> Column:
     return F.pmod(F.xxhash64(F.lit(3), vertex), F.col(blocks)).cast("int")
 
 
-def _blockwise(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of blocks of each region."""
-    own = _blocks(rows).withColumn("own", _block_of())
+def _blockwise(rows: DataFrame, percent: int, whole: int) -> DataFrame:
+    """Joins all pairs of blocks of each region, each pair in a task of its own; a region of up to ``whole`` sets is one block."""
+    own = _blocks(rows).withColumn("blocks", F.when(F.col("size") <= whole, 1).otherwise(F.col("blocks"))).withColumn("own", _block_of())
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))
     dealt = own.select("vertex", "region", "label", "tokens", F.explode(cells).alias("cell")).select("vertex", "region", "label", "tokens", "cell.i", "cell.j")
 
