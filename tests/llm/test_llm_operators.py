@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import regex
 
-from tidewright.llm import common, decontaminate, fingerprint, jaccard_join, line_dedup, packing, pii, quality, registry, substring_dedup, suffix_dedup, warc
+from tidewright.llm import common, decontaminate, fingerprint, graph, jaccard_join, line_dedup, packing, pii, quality, registry, substring_dedup, suffix_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # columns whose names the operators use inside
@@ -777,6 +777,20 @@ def test_one_of_each_component_stays(edge):
     assert [r.text for r in got.collect() if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_components(spark, few):
+    rng = random.Random(21)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    label = {v: v for e in edges if e[0] != e[1] for v in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), few)
+    assert {r.v: r.c for r in got.collect()} == label and got.count() == len(label)
+    assert graph.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
 def test_join_in_memory_is_exact():
     rng = random.Random(7)
     for percent in (50, 80):

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import cut
 
+FEW = 10_000  # edges that one task joins
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """``v, c`` for every vertex of ``edges (a, b)``: c is the smallest vertex that v reaches.
 
-    Each round takes the smallest label among the neighbours and then the label's own
-    label, so that paths halve; rounds go on until nothing changes.  Only the number of
-    changes comes to the driver.  No edges give no rows.
+    Up to ``few`` edges are joined in one task.  Beyond, each round takes the smallest label among the neighbours and then the
+    label's own label, so that paths halve; rounds go on until nothing changes.  Only numbers of edges and changes
+    come to the driver.  No edges give no rows.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    once = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    if once.limit(few + 1).count() <= few:
+        return once.coalesce(1).mapInArrow(_joined, "v long, c long")
+    both = once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("c")))
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
@@ -26,3 +35,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = fresh.select("v", "c")
         if not changed:
             return labels
+
+
+def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [(np.asarray(p["a"]), np.asarray(p["b"])) for p in parts if p.num_rows]
+    if not found:
+        return
+    a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+    vertex, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(vertex)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True):
+        i, j = root(i), root(j)
+        parent[max(i, j)] = min(i, j)
+    least = vertex[[root(i) for i in range(len(vertex))]]
+    yield pa.RecordBatch.from_arrays([pa.array(vertex, pa.int64()), pa.array(least, pa.int64())], names=["v", "c"])

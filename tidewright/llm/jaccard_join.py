@@ -256,7 +256,7 @@ def links(sets: DataFrame, percent: int, rows: int = ROWS) -> DataFrame:
     inside = region_edges(sets, nearest.withColumn("label", F.col("vertex")), percent, rows)
     labels = components(inside).withColumnsRenamed({"v": "__v", "c": "__c"})
     named = cut(held.select("vertex", "region").join(labels, F.col("vertex") == F.col("__v"), "left").select("vertex", "region", F.coalesce("__c", "vertex").alias("label")))
-    open_regions = named.groupBy(F.col("region").alias("__open")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("__open")
+    open_regions = cut(named.groupBy(F.col("region").alias("__open")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("__open"), free=False)
     across = region_edges(sets, named.join(open_regions, F.col("region") == F.col("__open"), "left_semi"), percent, rows)
     # what the cells have connected, one edge for each document
     return labels.select(F.col("__v").alias("a"), F.col("__c").alias("b")).where("a <> b").unionByName(across)
@@ -270,7 +270,8 @@ def region_edges(sets: DataFrame, members: DataFrame, percent: int, rows: int) -
     found = []
     bodies = sets.select(F.col("vertex").alias("__s"), "tokens")
     for level in range(LEVELS + 1):
-        sizes = members.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # Spark splits the rows of a large region if what they are joined with is no aggregate in the same stage
+        sizes = cut(members.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), free=False)
         sized = cut(members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size"), free=False)
         with_body = sized.join(bodies, F.col("vertex") == F.col("__s")).select("vertex", "region", "label", "size", "tokens")
         # edges are few; plans stay small if each round is settled by itself
