@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.times import duration_ms, stamp_text
 from tidewright.operators import grids, islands, rows, scalar
 from tidewright.plans.api import Engine
 from tidewright.sources import series as S
@@ -417,3 +418,109 @@ query(
 )
 for _name, _layout, _t in (("us", "MM/dd/yyyy HH:mm:ss", _SECONDS), ("us_short", "M/d/yyyy HH:mm:ss", _SECONDS), ("us_date", "M/d/yyyy", "epoch_us(date_trunc('day', ts)) // 1000"), ("date", "yyyy-MM-dd", "epoch_us(date_trunc('day', ts)) // 1000"), ("offset", "yyyy-MM-dd'T'HH:mm:ssXXX", _SECONDS)):
     query(f"ingest_layout_{_name}", lambda s, d, layout=_layout: _variant(s, d, {"day": F.date_format("ts", layout), "value": F.col("value")}, timestamp_col="day"), _FORM.format(id="events/value", t=_t))
+
+# --- the eager interface: caveats, errors, rounding, rendering ------------------------------------------------------
+
+_EAGER = "E AS (SELECT epoch_us(ts) // 1000 AS t, value AS v FROM events), N AS (SELECT count(*) AS n, min(t) AS lo, max(t) AS hi, max(t) - min(t) AS span FROM E)"
+
+
+def _eager(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(spark, _ingested(spark, sf_dir).files.root)
+
+
+def _caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = _eager(spark, sf_dir), "events/value"
+    told = {
+        "fit_trend": e.fit_trend(i), "data_quality": e.data_quality(i), "distribution": e.distribution(i), "hour_of_day": e.seasonal_profile(i, "hour_of_day"), "day_of_week": e.seasonal_profile(i, "day_of_week"),
+        "value_at": e.value_at(i, "1970-01-01T00:00:00Z"), "compare_datasets": e.compare_datasets(i, "events/user_id"), "compare_to_baseline": e.compare_to_baseline(i, start=stamp_text(SPLIT_MS)),
+        "correlate": e.correlate(i, i), "one_row": e.fit_trend(i, end=stamp_text(SPLIT_MS)), "profile": e.profile(i),
+    }
+    return spark.createDataFrame([(k, c) for k, x in told.items() for c in x["caveats"]], "operation string, caveat string")
+
+
+def _trend_caveats(name: str, where: str) -> str:
+    source = f"(SELECT count(*) AS n, (max(t) - min(t)) / 1000.0 AS s, regr_r2(v, t) AS r2 FROM E {where})"
+    return f"""SELECT '{name}' AS operation, printf('only %d points: fewer than 10 rarely make a trend', n) AS caveat FROM {source} WHERE n < 10
+UNION ALL SELECT '{name}', 'the window is shorter than 48 hours: a daily cycle can look like a trend' FROM {source} WHERE s < 48 * 3600 UNION ALL SELECT '{name}', 'r_squared is below 0.3: a line fits poorly' FROM {source} WHERE r2 < 0.3"""
+
+
+def _season_caveats(name: str) -> str:
+    place, n, _, ms = _PLACES[name]
+    return f"""SELECT '{name}', 'positions are in UTC' UNION ALL SELECT '{name}', printf('the window holds %.1f periods: it takes two to show a repetition', span / {ms}.0) FROM N WHERE span / {ms}.0 < 2
+UNION ALL SELECT '{name}', printf('%d positions are empty', k) FROM (SELECT {n} - count(DISTINCT {place.replace("ts_ms", "t")}) AS k FROM E) WHERE k > 0"""
+
+
+query(
+    "caveats",
+    _caveats,
+    f"""WITH {_EAGER}, D AS (SELECT floor(quantile_cont((t - p)::DOUBLE, 0.5)) AS m FROM (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM E) WHERE p IS NOT NULL)
+{_trend_caveats("fit_trend", "")} UNION ALL {_trend_caveats("one_row", f"WHERE t <= {SPLIT_MS}")} UNION ALL {_season_caveats("hour_of_day")} UNION ALL {_season_caveats("day_of_week")}
+UNION ALL SELECT 'data_quality', 'fewer than 3 points: intervals say little' FROM N WHERE n < 3 UNION ALL SELECT 'distribution', 'every value is the same: the histogram has one bin' FROM E HAVING min(v) = max(v)
+UNION ALL SELECT 'value_at', 'the instant is outside the series: nothing is interpolated' UNION ALL SELECT 'value_at', printf('the nearest reading is %.0f s away; the median interval is %.0f s', lo / 1000.0, m / 1000.0) FROM N, D WHERE m > 0 AND lo > m
+UNION ALL SELECT 'compare_to_baseline', printf('the baseline has %d rows only: what is typical is uncertain', n) FROM (SELECT count(*) AS n FROM E WHERE t < {SPLIT_MS}) WHERE n < 30
+UNION ALL SELECT 'compare_to_baseline', printf('the subject has %d rows only', n) FROM (SELECT count(*) AS n FROM E WHERE t >= {SPLIT_MS}) WHERE n < 4""",
+)
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each bad call raises."""
+    e, i = _eager(spark, sf_dir), "events/value"
+    calls = {
+        "unknown dataset": lambda: e.summary_stats("nothing"), "no rows": lambda: e.summary_stats(i, start="2090-01-01T00:00:00Z"), "window turned round": lambda: e.summary_stats(i, "2024-02-01T00:00:00Z", "2024-01-01T00:00:00Z"), "bad stamp": lambda: e.summary_stats(i, "yesterday"),
+        "negative limit": lambda: e.detect_outliers(i, limit=-1), "negative multiplier": lambda: e.detect_outliers(i, iqr_multiplier=-1), "many bins": lambda: e.distribution(i, bins=41), "unknown condition": lambda: e.find_events(i, "near", threshold=1), "no threshold": lambda: e.find_events(i, "above"),
+        "bounds turned round": lambda: e.find_events(i, "between", lower=3, upper=1), "unknown period": lambda: e.seasonal_profile(i, "month"), "bad duration": lambda: e.profile(i, bucket="soon"), "narrow bucket": lambda: e.profile(i, bucket="1s"), "short bucket": lambda: e.resample(i, "1ms"),
+        "unknown aggregate": lambda: e.resample(i, "24h", "mode"), "no instant": lambda: e.value_at(i, ""), "far instant": lambda: e.value_at(i, "1970-01-01T00:00:00Z", "1h"), "unknown format": lambda: e.dataset_graph("dot"), "a good call": lambda: e.greet("Ada"),
+    }
+    told = []
+    for name, call in calls.items():
+        try:
+            call()
+            told.append((name, "none"))
+        except (KeyError, ValueError) as x:
+            told.append((name, type(x).__name__))
+    return spark.createDataFrame(told, "call string, raised string")
+
+
+_BAD = ("no rows", "window turned round", "bad stamp", "negative limit", "negative multiplier", "many bins", "unknown condition", "no threshold", "bounds turned round", "unknown period", "bad duration", "narrow bucket", "short bucket", "unknown aggregate", "no instant", "far instant", "unknown format")
+query("errors", _errors, "SELECT * FROM (VALUES ('unknown dataset', 'KeyError'), ('a good call', 'none'), " + ", ".join(f"('{x}', 'ValueError')" for x in _BAD) + ") t(call, raised)")
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and extremes as the eager interface prints them, and its rounded shares."""
+    e, i = _eager(spark, sf_dir), "events/value"
+    s, o, f = e.summary_stats(i), e.detect_outliers(i, iqr_multiplier=0.5), e.find_events(i, "above", threshold=80)
+    return spark.createDataFrame([(s["analyzed_range"]["start"], s["analyzed_range"]["end"], o["total_outliers"], o["percent"], len(o["outliers"]), f["points_matching"], f["pct_points"])], "first string, last string, outliers long, percent double, listed long, points long, pct_points double")
+
+
+_STAMP = "rtrim(rtrim(strftime(make_timestamp({x} * 1000), '%Y-%m-%dT%H:%M:%S.%g'), '0'), '.') || 'Z'"
+query(
+    "rendering",
+    _rendered,
+    f"""WITH {_EAGER}, Q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM E), O AS (SELECT count(*) AS k FROM E, Q WHERE v < a - 0.5 * (b - a) OR v > b + 0.5 * (b - a)), P AS (SELECT count(*) AS k FROM E WHERE v > 80)
+SELECT {_STAMP.format(x="lo")} AS first, {_STAMP.format(x="hi")} AS last, O.k AS outliers, round(100.0::DOUBLE * O.k / n, 2) AS percent, least(O.k, 20) AS listed, P.k AS points, round(100.0::DOUBLE * P.k / n, 2) AS pct_points FROM N, O, P""",
+)
+
+
+def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parsed(text: str) -> int | None:
+        try:
+            return duration_ms(text)
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(x, parsed(x)) for x in ("1h", "15m", "30s", "1h30m", "1.5s", "250ms", "0s", "-5m", "500us", "5", "")], "text string, ms long")
+
+
+query("durations", _durations, "SELECT text, ms::BIGINT AS ms FROM (VALUES ('1h', 3600000), ('15m', 900000), ('30s', 30000), ('1h30m', 5400000), ('1.5s', 1500), ('250ms', 250), ('0s', NULL), ('-5m', NULL), ('500us', NULL), ('5', NULL), ('', NULL)) t(text, ms)")
+query(
+    "data_quality_flatlines_top",
+    lambda s, d: rows.flatlines(_coarse(s, d), 2, 10),
+    f"""WITH {ORDERS.replace("o_totalprice AS value", "floor(o_totalprice / 250000) AS value")}, {LAGGED}, C AS (SELECT *, sum(CASE WHEN pv IS NULL OR pv <> value THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS run FROM L),
+X AS (SELECT dataset_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, {r("min(value)")} AS value, count(*) AS count FROM C GROUP BY dataset_id, run HAVING count(*) >= 2)
+SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY count DESC, start_ms)::INT AS place FROM X QUALIFY place <= 10""",
+)
+query(
+    "compare_to_baseline_episodes_top",
+    lambda s, d: islands.episodes(*_subject(s, d), 0.2, 10),
+    "WITH Y AS (" + SQL["compare_to_baseline_episodes"].replace("q1 - 0.5 * (q3 - q1)", "q1 - 0.2 * (q3 - q1)").replace("q3 + 0.5 * (q3 - q1)", "q3 + 0.2 * (q3 - q1)") + ") SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY peak_deviation DESC, start_ms)::INT AS place FROM Y QUALIFY place <= 10",
+)
