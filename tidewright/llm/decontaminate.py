@@ -76,7 +76,8 @@ def _found(docs: DataFrame, items: DataFrame, percent: int, id_col: str, text_co
     return verified(rows, sought, cut(candidates(rows, sought)), percent)
 
 
-def contained(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` of all pairs that reach ``percent``."""
     found = _found(docs, items, percent, id_col, text_col, item_col, item_text_col)
     return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

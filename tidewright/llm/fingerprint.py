@@ -116,7 +116,8 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pair = left.join(right, same("doc_id", "to_id") & same("hash", "to_hash"))
     edited = F.concat(F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 2) AS INT))"), "filler")
     made = pair.select("doc_id", "n_chars", "rank", "next_rank", "text", edited.alias("edited")).select(
-        "doc_id", "n_chars", "rank", "next_rank", F.sha2("edited", 256).alias("edited_sha256"), codes(shingle_hashes(split_words(F.col("text")))).alias("codes"), codes(shingle_hashes(split_words(F.col("edited")))).alias("edited_codes")
+        "doc_id", "n_chars", "rank", "next_rank", F.sha2("edited", 256).alias("edited_sha256"),
+            codes(shingle_hashes(split_words(F.col("text")))).alias("codes"), codes(shingle_hashes(split_words(F.col("edited")))).alias("edited_codes")
     )
     made = cut(made)
     following = made.select(F.col("rank").alias("n_rank"), F.col("codes").alias("next_codes"))

@@ -30,7 +30,7 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
         met = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "n").alias("m"))
         jump = labels.select(F.col("v").alias("m"), F.col("c").alias("j"))
-        fresh = cut(met.join(jump, "m").select("v", "was", F.least("m", "j").alias("c")))
+        fresh = cut(met.join(jump, "m").select("v", "was", F.least("m", "j").alias("c")), free=False)
         changed = fresh.where("c <> was").limit(1).count()
         labels = fresh.select("v", "c")
         if not changed:

@@ -245,7 +245,7 @@ def _edge_table(a: list[int], b: list[int]) -> pa.Table:
 def memberships(sets: DataFrame) -> DataFrame:
     """``vertex, region, shared``: the regions of each set, by their pivots, and how many rare shingles put it there."""
     rare = sets.select("vertex", F.explode("prefix").alias("shingle"))
-    first = rare.groupBy("shingle").agg(F.min("vertex").alias("region"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", "region")
+    first = cut(rare.groupBy("shingle").agg(F.min("vertex").alias("region"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", "region"), free=False)
     return rare.join(first, "shingle").groupBy("vertex", "region").agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -357,7 +357,8 @@ def _measured(rows: DataFrame, percent: int) -> DataFrame:
             rest = some[low > e]
             chosen.append(join.central(rest))
             low = np.minimum(low, join.against(chosen[-1], some))
-        return pa.table({"of": pa.array([t["region"][0].as_py()], pa.int64()), "size": pa.array([t["size"][0].as_py()], pa.int64()), "pivots": pa.array([vertex[chosen].tolist()], pa.list_(pa.int64())), "bodies": pa.array([[bodies[i] for i in chosen]], pa.list_(pa.binary()))})
+        return pa.table({"of": pa.array([t["region"][0].as_py()], pa.int64()), "size": pa.array([t["size"][0].as_py()], pa.int64()),
+            "pivots": pa.array([vertex[chosen].tolist()], pa.list_(pa.int64())), "bodies": pa.array([[bodies[i] for i in chosen]], pa.list_(pa.binary()))})
 
     # a sample holds about SAMPLE members, whatever the size of the region; should it hold none, all members go on to the next round
     pivots = _blocks(some.groupBy("region").applyInArrow(choose, "of long, size long, pivots array<long>, bodies array<binary>"))
@@ -374,7 +375,8 @@ def _measured(rows: DataFrame, percent: int) -> DataFrame:
         linked = [bool(names) and join.links(int(i), int(j)) for i, j in zip(best, rest, strict=True)]
         near = [[{"p": names[i], "d": float(d[i, k])} for i in np.flatnonzero(d[:, k] <= 2 * e + 1e-9).tolist()] for k in range(len(rest))]
         kind = pa.list_(pa.struct([("p", pa.int64()), ("d", pa.float64())]))
-        columns = [*(t[c] for c in ("vertex", "region", "label", "size", "tokens")), pa.array([names[i] if k else None for i, k in zip(best.tolist(), linked, strict=True)], pa.int64()), pa.array(near, kind)]
+        columns = [*(t[c] for c in ("vertex", "region", "label", "size", "tokens")),
+            pa.array([names[i] if k else None for i, k in zip(best.tolist(), linked, strict=True)], pa.int64()), pa.array(near, kind)]
         return pa.table(columns, names=["vertex", "region", "label", "size", "tokens", "nearest", "near"])
 
     schema = "vertex long, region long, label long, size long, tokens binary, nearest long, near array<struct<p:long,d:double>>"
@@ -384,7 +386,8 @@ def _measured(rows: DataFrame, percent: int) -> DataFrame:
 def _across(measured: DataFrame, percent: int) -> DataFrame:
     """Joins what links to a pivot with what else lies within 2e of it, block by block."""
     own = _blocks(measured).withColumn("own", _block_of())
-    each = own.select("vertex", "region", "label", "blocks", "tokens", "nearest", "own", F.explode("near").alias("x")).select("vertex", "region", "label", "blocks", "tokens", "own", F.col("x.p").alias("p"), F.col("x.d").alias("d"), F.coalesce(F.col("nearest") == F.col("x.p"), F.lit(False)).alias("inner"))
+    each = own.select("vertex", "region", "label", "blocks", "tokens", "nearest", "own", F.explode("near").alias("x")).select("vertex", "region", "label",
+        "blocks", "tokens", "own", F.col("x.p").alias("p"), F.col("x.d").alias("d"), F.coalesce(F.col("nearest") == F.col("x.p"), F.lit(False)).alias("inner"))
     # blocks of the others: as many as they need, none without them
     others = each.where("NOT inner").groupBy(F.col("region").alias("__r"), F.col("p").alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("all"))
     blocks = others.select("__r", "__p", F.least(F.col("all"), F.ceil(F.col("n") / BLOCK[0])).cast("int").alias("outer_blocks"))

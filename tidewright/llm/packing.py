@@ -157,7 +157,8 @@ class Packer:
             self._emit(taken)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, end: int = END, id_col: str = "doc_id",
+    text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece (``PIECES``), with its ``ids`` if asked for."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

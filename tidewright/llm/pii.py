@@ -149,7 +149,8 @@ def disclosures(lines: DataFrame, texts: DataFrame, n_lines: int, n_docs: int, t
     stands = cut(beside.unionByName(within))
     entities = stands.groupBy("g", "entity").agg(F.sum("m").alias("c_e"), F.count(F.lit(1)).alias("different"), F.bit_xor(F.xxhash64("context")).alias("sign")).where("different > 1")
     n = F.when(F.col("g") == 0, F.lit(float(n_lines))).otherwise(F.lit(float(n_docs)))
-    entities = entities.select("g", "entity", "c_e", F.xxhash64("g", "c_e", "different", "sign").alias("class"), (F.col("c_e") * F.pow(n / F.col("c_e"), 1 - threshold)).alias("most")).where(F.col("c_e") < n)
+    entities = entities.select("g", "entity", "c_e", F.xxhash64("g", "c_e", "different", "sign").alias("class"),
+        (F.col("c_e") * F.pow(n / F.col("c_e"), 1 - threshold)).alias("most")).where(F.col("c_e") < n)
     kept = entities.withColumnsRenamed({"g": "e_g", "entity": "e_entity"})
     classes = cut(stands.join(kept, (F.col("g") == F.col("e_g")) & (F.col("entity") == F.col("e_entity"))).select("g", "context", "m", "class", "c_e", "most").distinct())
     # the words of these contexts that are rare enough
@@ -159,8 +160,10 @@ def disclosures(lines: DataFrame, texts: DataFrame, n_lines: int, n_docs: int, t
     terms = cut(spoken.select("g", "context", "most", F.explode(words(masked(F.col("line")))).alias("term")).distinct())
     counts = cut(frequencies(texts, terms.select("term").distinct()))
     c_t = F.when(F.col("g") == 0, F.col("in_lines")).otherwise(F.col("in_docs"))
-    rare = terms.join(counts, F.col("term") == F.col("w")).withColumn("c_t", c_t).where(F.col("c_t") <= F.col("most")).select(F.col("g").alias("t_g"), F.col("context").alias("t_context"), "term", "c_t")
-    both = classes.join(rare, (F.col("g") == F.col("t_g")) & (F.col("context") == F.col("t_context"))).groupBy("g", "class", "c_e", "term", "c_t").agg(F.sum("m").alias("c_et"), F.count(F.lit(1)).alias("different")).where("different > 1")
+    rare = terms.join(counts, F.col("term") == F.col("w")).withColumn("c_t", c_t).where(F.col("c_t") <= F.col("most")).select(F.col("g").alias("t_g"),
+        F.col("context").alias("t_context"), "term", "c_t")
+    both = classes.join(rare, (F.col("g") == F.col("t_g")) & (F.col("context") == F.col("t_context"))).groupBy("g", "class", "c_e", "term",
+        "c_t").agg(F.sum("m").alias("c_et"), F.count(F.lit(1)).alias("different")).where("different > 1")
     p = F.least(F.lit(1.0), F.col("c_et") / F.col("c_t"))
     size = F.col("different") / p
     low = (p + Z**2 / (2 * size) - Z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p)) / size + Z**2 / (4 * size**2))) / (1 + Z**2 / size)
@@ -179,13 +182,15 @@ def analyse(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc
     found = cut(base.select("doc_id", "base", kept.alias("text"), F.size(F.split("text", "\n")).alias("n_lines"), F.xxhash64("text").alias("key")))
     n_lines, n_docs = found.agg(F.coalesce(F.sum("n_lines"), F.lit(0)), F.count(F.lit(1))).first()
     named = found.where(F.size("base") > 0)
-    each = named.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).select("key", "copies", F.explode(lines_of(F.col("text"))).alias("x")).select("key", "copies", F.col("x.start").alias("at"), F.col("x.value").alias("line"))
+    each = named.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).select("key", "copies",
+        F.explode(lines_of(F.col("text"))).alias("x")).select("key", "copies", F.col("x.start").alias("at"), F.col("x.value").alias("line"))
     entities = F.array_distinct(F.transform(base_spans(F.col("line")), lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))
     lines = cut(each.withColumn("entities", entities))
     reveal = cut(disclosures(lines, texts, n_lines, n_docs, threshold))
     told = reveal.select(F.col("key").alias("r_key"), F.col("term").alias("r_term"))
     hits = lines.join(told.select("r_key").distinct(), F.col("key") == F.col("r_key"), "left_semi").select("key", "at", F.explode(located(masked(F.col("line")), WORD, 4)).alias("s"))
-    hits = hits.join(told, (F.col("key") == F.col("r_key")) & (F.lower("s.value") == F.col("r_term"))).select("key", F.struct("s.kind", (F.col("s.start") + F.col("at")).alias("start"), (F.col("s.end") + F.col("at")).alias("end"), "s.value").alias("s"))
+    hits = hits.join(told, (F.col("key") == F.col("r_key")) & (F.lower("s.value") == F.col("r_term"))).select("key",
+        F.struct("s.kind", (F.col("s.start") + F.col("at")).alias("start"), (F.col("s.end") + F.col("at")).alias("end"), "s.value").alias("s"))
     terms = hits.groupBy(F.col("key").alias("k_key")).agg(F.array_sort(F.collect_list("s")).alias("terms"))
     none = F.array().cast(f"array<{SPAN}>")
     columns = ["doc_id", "base", "terms", *(["text"] if keep_text else [])]

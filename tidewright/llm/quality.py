@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
     def shapes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part["quality"].cast(pa.int32()), part["toxic"].cast(pa.int32()), pa.array([shape(t) for t in part["text"].to_pylist()], pa.list_(pa.float64()))], names=["quality", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([part["quality"].cast(pa.int32()), part["toxic"].cast(pa.int32()),
+                pa.array([shape(t) for t in part["text"].to_pylist()], pa.list_(pa.float64()))], names=["quality", "toxic", "x"])
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -140,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     base = float(toxic.mean())
     sketch = F.slice(F.array_sort(F.array_distinct(shingle_hashes(split_words(F.col("text"))))), 1, FOLD)
     first = F.min("text").alias("text")
-    stats = cut(rows.select("text", "toxic", sketch.alias("sketch")).groupBy("sketch", "toxic").agg(first).select("text", "toxic").mapInArrow(counted, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")))
+    stats = cut(rows.select("text", "toxic", sketch.alias("sketch")).groupBy("sketch", "toxic").agg(first).select("text", "toxic").mapInArrow(counted,
+        "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")))
     n0 = F.col("n") - F.col("n1")
     ratio = F.col("n1") * F.log(F.col("n1") / F.col("n") / base) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - base))).otherwise(0.0)
     enough = float(np.log(max(1, stats.count()))) + margin
@@ -216,7 +218,8 @@ def classify(docs: DataFrame, model: Model, *, host_col: str = "source", path_co
     path = bound((F.col("__s") - F.col("__p") + j * F.col("host_posterior")) / (F.col("__n") - 1 + j))
     posterior = 1 / (1 + F.exp(-(F.col("__evidence") + logit(path) - logit(F.lit(mean)))))
     out = joined.withColumns({"__path_posterior": path, "__posterior": posterior})
-    return out.select(*names, F.col("__evidence").alias("evidence"), "host_posterior", F.col("__path_posterior").alias("path_posterior"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= 0.5).alias("rejected"))
+    return out.select(*names, F.col("__evidence").alias("evidence"), "host_posterior", F.col("__path_posterior").alias("path_posterior"),
+        F.col("__posterior").alias("posterior"), (F.col("__posterior") >= 0.5).alias("rejected"))
 
 
 def stage(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:

@@ -194,7 +194,8 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_counts=True)
 
 
-def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None, crowded: tuple[int, int] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, chunks: int | None = None,
+    crowded: tuple[int, int] | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, and ``kept`` (the words left, joined by one space) if asked for."""
     chunks, buckets, shards, total = (chunks, chunks, chunks, 0) if chunks else chunks_for(docs, text_col)
     dense, dense_chunks = crowded or X.crowd(chunks, shards, total, SEGMENT_BYTES)

@@ -251,7 +251,8 @@ def least_by(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[head], order[head], np.minimum.reduceat(d, head), np.maximum.reduceat(d, head), np.diff(np.concatenate([head, [len(k)]]))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, chunks: int | None = None, crowded: tuple[int, int] | None = None, sorted_bytes: int = SORTED) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, *, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True,
+    chunks: int | None = None, crowded: tuple[int, int] | None = None, sorted_bytes: int = SORTED) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``kept`` (binary) if asked for."""
     if length < gram or length < 8:
         raise ValueError("length must be at least gram and 8")

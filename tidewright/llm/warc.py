@@ -234,7 +234,8 @@ def settle(found: list[tuple[int, int, int | None, int | None]], again) -> list[
 def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """``file, start, end`` of all byte ranges of the archives in a folder; names and lengths only are read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    return files.select(F.col("path").alias("file"), F.col("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long"))).alias("start")).select(
+    return files.select(F.col("path").alias("file"), F.col("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)),
+        F.lit(size).cast("long"))).alias("start")).select(
         "file", "start", F.least(F.col("start") + size, F.col("length")).alias("end")
     )
 
@@ -336,7 +337,8 @@ ORACLE = {
 WITH p AS (SELECT row_number() OVER () AS k, page_id, coalesce(html, '') AS b, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
 v AS (SELECT k, i, ('0x' || substr(sha1(b), i * 5 + 1, 5))::INT AS v FROM p, (SELECT unnest(range(0, 8)) AS i)),
 g AS (SELECT k, string_agg({_FOUR}, '' ORDER BY i) AS digest FROM v GROUP BY k)
-SELECT page_id, octet_length(encode(b)) AS payload_bytes, digest AS payload_digest, CASE WHEN f IS NULL OR page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> coalesce(page_id, -1) THEN f END AS refers_to
+SELECT page_id, octet_length(encode(b)) AS payload_bytes, digest AS payload_digest,
+CASE WHEN f IS NULL OR page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> coalesce(page_id, -1) THEN f END AS refers_to
 FROM p JOIN g USING (k)
 """
 }
