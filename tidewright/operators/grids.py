@@ -48,11 +48,13 @@ def profile(series: DataFrame, width_ms: int | None = None) -> DataFrame:
     rows, grid = _placed(series, width_ms, PROFILE_BUCKETS)
     if width_ms is not None and grid.where(F.floor((F.col("end_ms") - F.col("start_ms")) / F.col("width_ms")) + 1 > PROFILE_BUCKETS).limit(1).count():
         raise ValueError(f"more than {PROFILE_BUCKETS} buckets; take a wider one")
-    made = rows.groupBy(F.col(ID).alias("r_id"), F.col("bucket").alias("r_bucket")).agg(F.count(F.lit(1)).alias("c"), F.avg("value").alias("mean"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    made = rows.groupBy(F.col(ID).alias("r_id"), F.col("bucket").alias("r_bucket")).agg(F.count(F.lit(1)).alias("c"), F.avg("value").alias("mean"),
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"))
     last = F.floor((F.col("end_ms") - F.col("start_ms")) / F.col("width_ms"))
     dense = grid.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     joined = dense.join(made, (F.col("g_id") == F.col("r_id")) & (F.col("bucket") == F.col("r_bucket")), "left")
-    return joined.select(F.col("g_id").alias(ID), "bucket", (F.col("start_ms") + F.col("bucket") * F.col("width_ms")).alias("start_ms"), F.coalesce("c", F.lit(0).cast("long")).alias("count"), "mean", "min_value", "max_value")
+    return joined.select(F.col("g_id").alias(ID), "bucket", (F.col("start_ms") + F.col("bucket") * F.col("width_ms")).alias("start_ms"),
+        F.coalesce("c", F.lit(0).cast("long")).alias("count"), "mean", "min_value", "max_value")
 
 
 def resample(series: DataFrame, width_ms: int, how: str = "mean") -> DataFrame:
@@ -88,7 +90,8 @@ def label(period: str, at: Column) -> Column:
 def seasonal(series: DataFrame, period: str) -> DataFrame:
     """Mean, extremes and count of each position, empty ones too."""
     at, places, _ = position(period)
-    made = series.groupBy(F.col(ID).alias("r_id"), at.alias("r_at")).agg(F.count(F.lit(1)).alias("c"), F.avg("value").alias("mean"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    made = series.groupBy(F.col(ID).alias("r_id"), at.alias("r_at")).agg(F.count(F.lit(1)).alias("c"), F.avg("value").alias("mean"),
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"))
     dense = series.select(ID).distinct().withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
     joined = dense.join(made, (F.col(ID) == F.col("r_id")) & (F.col("position") == F.col("r_at")), "left")
     return joined.select(ID, "position", label(period, F.col("position")).alias("label"), F.coalesce("c", F.lit(0).cast("long")).alias("count"), "mean", "min_value", "max_value")
@@ -98,7 +101,8 @@ def cycle_strength(series: DataFrame, period: str) -> DataFrame:
     """The share of the variance that lies between positions (null for a constant series), and the periods spanned."""
     at, _, length = position(period)
     by_place = series.groupBy(ID, at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
-    total = by_place.groupBy(ID).agg(F.sum("n").alias("row_count"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("v")).alias("inside"), ((F.max("hi") - F.min("lo")) / length).alias("span_periods")).withColumnRenamed(ID, "t_id")
+    total = by_place.groupBy(ID).agg(F.sum("n").alias("row_count"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
+        F.sum(F.col("n") * F.col("v")).alias("inside"), ((F.max("hi") - F.min("lo")) / length).alias("span_periods")).withColumnRenamed(ID, "t_id")
     between = by_place.join(total, F.col(ID) == F.col("t_id")).groupBy(ID, "row_count", "inside", "span_periods").agg(F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("between"))
     whole = F.col("inside") + F.col("between")
     return between.select(ID, "row_count", (F.col("between") / F.nullif(whole, F.lit(0.0))).alias("cycle_strength"), "span_periods")
@@ -169,5 +173,6 @@ def best_lag(scan: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("shift", "lag_s", "pearson", "aligned"), F.when(F.col("pearson").isNotNull(), F.struct(strength, -F.col("shift"))))
     zero = lambda c: F.max(F.when(F.col("shift") == 0, F.col(c)))
     found = scan.agg(best.alias("b"), zero("pearson").alias("pearson_at_zero"), zero("aligned").alias("aligned_at_zero"))
-    return found.select(F.col("b.shift").alias("best_shift"), F.col("b.lag_s").alias("best_lag_s"), F.col("b.pearson").alias("pearson_at_best"), F.col("b.aligned").alias("aligned_at_best"), "pearson_at_zero", F.coalesce("aligned_at_zero", F.lit(0)).alias("aligned_at_zero"))
+    return found.select(F.col("b.shift").alias("best_shift"), F.col("b.lag_s").alias("best_lag_s"), F.col("b.pearson").alias("pearson_at_best"),
+        F.col("b.aligned").alias("aligned_at_best"), "pearson_at_zero", F.coalesce("aligned_at_zero", F.lit(0)).alias("aligned_at_zero"))
 

@@ -38,7 +38,8 @@ def _islands(rows: DataFrame, starts: Column) -> DataFrame:
     marked = running(rows.withColumn("starts", starts).drop("prev"), F.col("starts"), "island").where("direction IS NOT NULL")
     best = F.max(F.struct(F.col("rank"), (-F.col("ts_ms")).alias("t"), (-F.col("seq")).alias("s"), F.col("value"), F.col("deviation")))
     made = marked.groupBy(ID, "island", "direction").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count(F.lit(1)).alias("points"), best.alias("p"))
-    return made.select(ID, "direction", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "points", F.col("p.value").alias("peak_value"), (-F.col("p.t")).alias("peak_ts_ms"), F.col("p.deviation").alias("peak_deviation"))
+    return made.select(ID, "direction", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "points",
+        F.col("p.value").alias("peak_value"), (-F.col("p.t")).alias("peak_ts_ms"), F.col("p.deviation").alias("peak_deviation"))
 
 
 def _breaks(tolerance: Column) -> Column:
@@ -66,7 +67,8 @@ def event_totals(series: DataFrame, kind: str, **bound: float) -> DataFrame:
     joined = whole.join(found, F.col(ID) == F.col("e_id"), "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     share = F.coalesce(n("ms") * 100 / F.nullif("span_ms", F.lit(0)), F.lit(0.0))
-    return joined.select(ID, n("events").alias("total_events"), n("points").alias("points_matching"), (n("points") * 100 / F.col("row_count")).alias("points_percent"), n("ms").alias("time_in_events_ms"), share.alias("time_percent"))
+    return joined.select(ID, n("events").alias("total_events"), n("points").alias("points_matching"),
+        (n("points") * 100 / F.col("row_count")).alias("points_percent"), n("ms").alias("time_in_events_ms"), share.alias("time_percent"))
 
 
 def before(series: DataFrame, subject: DataFrame) -> DataFrame:
@@ -96,6 +98,7 @@ def compare_to_baseline(subject: DataFrame, baseline: DataFrame, multiplier: flo
     """The baseline's distribution and fence, the subject's summary, and how much of it lies outside."""
     base = baseline_dist(baseline).select(F.col(ID).alias("d_id"), *[F.col(c).alias(f"baseline_{c}") for c in ("row_count", "median", "q1", "q3", "p05", "p95", "mean", "stddev")])
     fence = bounds(baseline, multiplier).select(F.col(ID).alias("f_id"), "lower", "upper")
-    own = quantiles(_against(subject, baseline, multiplier), "value", [0.5], [F.count(F.lit(1)).alias("row_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean"), F.count("direction").alias("points_outside")])
+    own = quantiles(_against(subject, baseline, multiplier), "value", [0.5], [F.count(F.lit(1)).alias("row_count"), F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"), F.avg("value").alias("mean"), F.count("direction").alias("points_outside")])
     own = own.withColumn("median", F.col("q")[0]).drop("q").withColumn("percent_outside", F.col("points_outside") * 100 / F.col("row_count"))
     return own.join(base, F.col(ID) == F.col("d_id")).join(fence, F.col(ID) == F.col("f_id")).drop("d_id", "f_id")

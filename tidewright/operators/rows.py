@@ -46,18 +46,21 @@ def inliers(series: DataFrame, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
 def intervals(series: DataFrame) -> DataFrame:
     """Median gap (equal time stamps included, whole ms), 95th percentile, extremes (both without), and the number of equal time stamps."""
     gap = previous(series, ["ts_ms"]).select(ID, (F.col("ts_ms") - F.col("prev")["ts_ms"]).alias("gap")).withColumn("real", F.when(F.col("gap") > 0, F.col("gap")))
-    aggregates = [F.count(F.lit(1)).alias("row_count"), F.min("real").alias("min_ms"), F.max("real").alias("max_ms"), F.coalesce(F.sum(F.when(F.col("gap") == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("duplicate_timestamps")]
+    aggregates = [F.count(F.lit(1)).alias("row_count"), F.min("real").alias("min_ms"), F.max("real").alias("max_ms"),
+        F.coalesce(F.sum(F.when(F.col("gap") == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("duplicate_timestamps")]
     middle = quantiles(gap, "gap", [0.5], aggregates)
     high = quantiles(gap, "real", [0.95], name="h").withColumnRenamed(ID, "h_id")
     whole = lambda c: F.floor(c).cast("long")
-    return middle.join(high, F.col(ID) == F.col("h_id")).select(ID, "row_count", F.coalesce(whole(F.col("q")[0]), F.lit(0).cast("long")).alias("median_ms"), whole(F.col("h")[0]).alias("p95_ms"), "min_ms", "max_ms", "duplicate_timestamps")
+    return middle.join(high, F.col(ID) == F.col("h_id")).select(ID, "row_count", F.coalesce(whole(F.col("q")[0]), F.lit(0).cast("long")).alias("median_ms"),
+        whole(F.col("h")[0]).alias("p95_ms"), "min_ms", "max_ms", "duplicate_timestamps")
 
 
 def gaps(series: DataFrame, limit: int | None = None) -> DataFrame:
     """Intervals over five times the median, longest first."""
     middle = median_interval(series).withColumnRenamed(ID, "m_id")
     step = previous(series, ["ts_ms"]).where("prev IS NOT NULL").select(ID, F.col("prev")["ts_ms"].alias("start_ms"), F.col("ts_ms").alias("end_ms"))
-    found = step.join(middle, F.col(ID) == F.col("m_id")).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")).where((F.col("interval_ms") > 0) & (F.col("duration_ms") > GAP_FACTOR * F.col("interval_ms")))
+    found = step.join(middle, F.col(ID) == F.col("m_id")).withColumn("duration_ms",
+        F.col("end_ms") - F.col("start_ms")).where((F.col("interval_ms") > 0) & (F.col("duration_ms") > GAP_FACTOR * F.col("interval_ms")))
     found = found.select(ID, "start_ms", "end_ms", "duration_ms")
     return top(found, limit, F.desc("duration_ms"), F.col("start_ms")) if limit else found
 
@@ -66,7 +69,8 @@ def flatlines(series: DataFrame, least: int = FLAT_LEAST, limit: int | None = No
     """Runs of at least so many equal values, longest first."""
     held = previous(series, ["value"])
     changed = F.col("prev").isNull() | (F.col("prev")["value"] != F.col("value"))
-    runs = running(held.withColumn("changed", changed).drop("prev"), F.col("changed"), "run").groupBy(ID, "run").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.min("value").alias("value"), F.count(F.lit(1)).alias("count"))
+    runs = running(held.withColumn("changed", changed).drop("prev"), F.col("changed"), "run").groupBy(ID, "run").agg(F.min("ts_ms").alias("start_ms"),
+        F.max("ts_ms").alias("end_ms"), F.min("value").alias("value"), F.count(F.lit(1)).alias("count"))
     found = runs.where(F.col("count") >= least).select(ID, "start_ms", "end_ms", "value", "count")
     return top(found, limit, F.desc("count"), F.col("start_ms")) if limit else found
 

@@ -27,7 +27,8 @@ def _extreme(kind: str) -> list[Column]:
 
 
 def summary_stats(series: DataFrame) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("row_count"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), *_extreme("min"), *_extreme("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev")]
+    aggregates = [F.count(F.lit(1)).alias("row_count"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), *_extreme("min"), *_extreme("max"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev")]
     return quantiles(series, "value", [0.5], aggregates).withColumn("median", F.col("q")[0]).drop("q")
 
 
@@ -83,7 +84,8 @@ def median_interval(series: DataFrame) -> DataFrame:
 
 def rate_of_change(series: DataFrame) -> DataFrame:
     """Extreme rates between neighbours (first one on ties); neighbours at one time don't count.  Series without a rate have no row."""
-    step = previous(series).where("prev IS NOT NULL").select(ID, "ts_ms", "seq", (F.col("ts_ms") - F.col("prev")["ts_ms"]).alias("dt"), (F.col("value") - F.col("prev")["value"]).alias("dv")).where("dt > 0")
+    step = previous(series).where("prev IS NOT NULL").select(ID, "ts_ms", "seq", (F.col("ts_ms") - F.col("prev")["ts_ms"]).alias("dt"),
+        (F.col("value") - F.col("prev")["value"]).alias("dv")).where("dt > 0")
     step = step.withColumn("rate", F.col("dv") / seconds(F.col("dt")))
     rise = F.max(F.struct(F.col("rate"), (-F.col("ts_ms")).alias("t"), (-F.col("seq")).alias("s")))
     fall = F.min(F.struct("rate", "ts_ms", "seq"))
@@ -100,7 +102,8 @@ def integrate(series: DataFrame) -> DataFrame:
     middle = quantiles(step, "dt", [0.5]).select(ID, F.floor(F.col("q")[0]).alias("middle"))
     gap = (F.col("middle") > 0) & (F.col("dt") > GAP_FACTOR * F.col("middle"))
     total = step.join(middle, ID).groupBy(ID).agg(
-        F.sum("area").alias("integral"), seconds(F.sum("dt")).alias("duration_s"), F.sum(F.when(gap, 1).otherwise(0)).cast("long").alias("large_gaps"), seconds(F.sum(F.when(gap, F.col("dt")).otherwise(0))).alias("gap_s")
+        F.sum("area").alias("integral"), seconds(F.sum("dt")).alias("duration_s"), F.sum(F.when(gap, 1).otherwise(0)).cast("long").alias("large_gaps"),
+            seconds(F.sum(F.when(gap, F.col("dt")).otherwise(0))).alias("gap_s")
     )
     total = total.where("duration_s > 0")
     return total.select(ID, "integral", (F.col("integral") / 3600).alias("integral_hours"), (F.col("integral") / F.col("duration_s")).alias("time_weighted_mean"), "duration_s", "large_gaps", "gap_s")
@@ -131,7 +134,8 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     right = summary_stats(b).select(F.col(ID).alias("b_id"), *[F.col(n).alias(f"b_{n}") for n in names])
     difference = F.col("b_mean") - F.col("a_mean")
     return left.crossJoin(right).select(
-        "*", difference.alias("mean_difference"), (difference * 100 / F.nullif("a_mean", F.lit(0.0))).alias("mean_pct_change"), (F.col("b_stddev") / F.nullif("a_stddev", F.lit(0.0))).alias("stddev_ratio")
+        "*", difference.alias("mean_difference"), (difference * 100 / F.nullif("a_mean", F.lit(0.0))).alias("mean_pct_change"),
+            (F.col("b_stddev") / F.nullif("a_stddev", F.lit(0.0))).alias("stddev_ratio")
     )
 
 
@@ -160,11 +164,13 @@ def value_at(series: DataFrame, instants: DataFrame) -> DataFrame:
         held = F.when(F.col("probe") == 0, F.struct("ts_ms", "seq"))
         ends = merged.groupBy(ID, STRETCH).agg(F.max_by("r", held).alias("l"), F.min_by("r", held).alias("f"))
         across = Window.partitionBy(ID).orderBy(STRETCH)
-        ends = ends.withColumns({"earlier": F.last("l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)), "later": F.last("f", ignorenulls=True).over(Window.partitionBy(ID).orderBy(F.desc(STRETCH)).rowsBetween(Window.unboundedPreceding, -1))})
+        ends = ends.withColumns({"earlier": F.last("l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
+            "later": F.last("f", ignorenulls=True).over(Window.partitionBy(ID).orderBy(F.desc(STRETCH)).rowsBetween(Window.unboundedPreceding, -1))})
         met = met.join(ends.select(ID, STRETCH, "earlier", "later"), [ID, STRETCH]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     b, a, at = F.col("before"), F.col("after"), F.col("at_ms")
     first = a.isNull() | (b.isNotNull() & ((at - b["ts_ms"]) <= (a["ts_ms"] - at)))
     nearest = F.when(first, b).otherwise(a)
     share = (at - b["ts_ms"]) / F.nullif(a["ts_ms"] - b["ts_ms"], F.lit(0))
     between = F.when(a["ts_ms"] == at, a["value"]).when(b.isNotNull() & a.isNotNull(), b["value"] + (a["value"] - b["value"]) * share)
-    return met.withColumn("n", nearest).where("n IS NOT NULL").select(ID, "at_ms", F.col("n.ts_ms").alias("nearest_ts_ms"), F.col("n.value").alias("nearest_value"), seconds(F.col("n.ts_ms") - at).alias("offset_s"), between.alias("interpolated"))
+    return met.withColumn("n", nearest).where("n IS NOT NULL").select(ID, "at_ms", F.col("n.ts_ms").alias("nearest_ts_ms"),
+        F.col("n.value").alias("nearest_value"), seconds(F.col("n.ts_ms") - at).alias("offset_s"), between.alias("interpolated"))

@@ -191,7 +191,8 @@ class Engine:
             caveats.append("the window is shorter than 48 hours: a daily cycle can look like a trend")
         if t.r2 < 0.3:
             caveats.append("r_squared is below 0.3: a line fits poorly")
-        return {**self._head(entry, s), "direction": t.direction, "slope_per_hour": t.slope_per_hour, "slope_per_day": t.slope_per_day, "r_squared": t.r2, "window_duration_seconds": t.duration_s, **_present(unit=entry.get("unit")), "caveats": caveats}
+        return {**self._head(entry, s), "direction": t.direction, "slope_per_hour": t.slope_per_hour, "slope_per_day": t.slope_per_day, "r_squared": t.r2,
+            "window_duration_seconds": t.duration_s, **_present(unit=entry.get("unit")), "caveats": caveats}
 
     def compare_to_baseline(self, id: str, start: str = "", end: str = "", baseline_id: str = "", baseline_start: str = "", baseline_end: str = "", iqr_multiplier: float = 0) -> dict:  # noqa: A002
         k = self._multiplier(iqr_multiplier)
@@ -224,7 +225,8 @@ class Engine:
             "points_outside": r.points_outside,
             "pct_outside": round(r.percent_outside, 2),
             "total_episodes": total.count(),
-            "episodes": [{"start": stamp_text(x.start_ms), "end": stamp_text(x.end_ms), "direction": x.direction, "point_count": x.points, "peak_value": x.peak_value, "peak_timestamp": stamp_text(x.peak_ts_ms), "peak_deviation": x.peak_deviation} for x in found],
+            "episodes": [{"start": stamp_text(x.start_ms), "end": stamp_text(x.end_ms), "direction": x.direction, "point_count": x.points,
+                "peak_value": x.peak_value, "peak_timestamp": stamp_text(x.peak_ts_ms), "peak_deviation": x.peak_deviation} for x in found],
             **_present(unit=entry.get("unit")),
             "caveats": caveats,
         }
@@ -243,13 +245,15 @@ class Engine:
             "total_gaps": gaps.count(),
             "gaps": [{"start": stamp_text(g.start_ms), "end": stamp_text(g.end_ms), "duration_seconds": g.duration_ms / 1000} for g in rows.gaps(series, TEN).orderBy("place").collect()],
             "total_flatlines": flats.count(),
-            "flatlines": [{"start": stamp_text(g.start_ms), "end": stamp_text(g.end_ms), "value": g.value, "point_count": g["count"]} for g in rows.flatlines(series, limit=TEN).orderBy("place").collect()],
+            "flatlines": [{"start": stamp_text(g.start_ms), "end": stamp_text(g.end_ms), "value": g.value,
+                "point_count": g["count"]} for g in rows.flatlines(series, limit=TEN).orderBy("place").collect()],
             "duplicate_timestamps": q.duplicate_timestamps,
             **_present(unit=entry.get("unit")),
             "caveats": ["fewer than 3 points: intervals say little"] if s["row_count"] < 3 else [],
         }
 
-    def find_events(self, id: str, condition: str, threshold: float | None = None, lower: float | None = None, upper: float | None = None, start: str = "", end: str = "", limit: int = 0) -> dict:  # noqa: A002
+    def find_events(self, id: str, condition: str, threshold: float | None = None, lower: float | None = None, upper: float | None = None, start: str = "",
+        end: str = "", limit: int = 0) -> dict:  # noqa: A002
         bound = {"threshold": threshold} if condition in ("above", "below") else {"lower": lower, "upper": upper}
         islands.condition(condition, **bound)
         series, entry, s = self._rows(id, start, end)
@@ -259,7 +263,8 @@ class Engine:
         made = []
         for x in found:
             away = None if condition == "between" else x.peak_deviation
-            made.append({"start": stamp_text(x.start_ms), "end": stamp_text(x.end_ms), "duration_seconds": x.duration_ms / 1000, "direction": x.direction, "point_count": x.points, "peak_value": x.peak_value, "peak_timestamp": stamp_text(x.peak_ts_ms), **_present(peak_deviation=away)})
+            made.append({"start": stamp_text(x.start_ms), "end": stamp_text(x.end_ms), "duration_seconds": x.duration_ms / 1000, "direction": x.direction,
+                "point_count": x.points, "peak_value": x.peak_value, "peak_timestamp": stamp_text(x.peak_ts_ms), **_present(peak_deviation=away)})
         return {
             **self._head(entry, s),
             "condition": condition,
@@ -307,13 +312,15 @@ class Engine:
         if c.cycle_strength is None:
             caveats.append("a constant series has no cycle strength")
         made = [{"position": p.position, "label": p.label, "count": p["count"], **_present(mean=p["mean"], min=p.min_value, max=p.max_value)} for p in places]
-        return {**self._head(entry, s), "period": period, "positions": made, **_present(cycle_strength=_round(c.cycle_strength, 6)), "span_periods": c.span_periods, **_present(unit=entry.get("unit")), "caveats": caveats}
+        return {**self._head(entry, s), "period": period, "positions": made, **_present(cycle_strength=_round(c.cycle_strength, 6)),
+            "span_periods": c.span_periods, **_present(unit=entry.get("unit")), "caveats": caveats}
 
     def integrate(self, id: str, start: str = "", end: str = "") -> dict:  # noqa: A002
         series, entry, s = self._rows(id, start, end)
         t = self._one(scalar.integrate(series), "an integral needs two rows at different times")
         caveats = [f"{t.large_gaps} gaps of {t.gap_s:.0f} s in all ({100 * t.gap_s / t.duration_s:.1f} % of the window) count as straight lines"] if t.large_gaps else []
-        return {**self._head(entry, s), "integral_value_seconds": t.integral, "integral_value_hours": t.integral_hours, "time_weighted_mean": t.time_weighted_mean, "duration_seconds": t.duration_s, **_present(unit=entry.get("unit")), "caveats": caveats}
+        return {**self._head(entry, s), "integral_value_seconds": t.integral, "integral_value_hours": t.integral_hours,
+            "time_weighted_mean": t.time_weighted_mean, "duration_seconds": t.duration_s, **_present(unit=entry.get("unit")), "caveats": caveats}
 
     def value_at(self, id: str, at: str, max_distance: str = "") -> dict:  # noqa: A002
         instant = stamp_ms(at)
@@ -331,7 +338,8 @@ class Engine:
             caveats.append("the instant is outside the series: nothing is interpolated")
         if middle > 0 and away * 1000 > middle:
             caveats.append(f"the nearest reading is {away:.0f} s away; the median interval is {middle / 1000:.0f} s")
-        return {"id": id, "at": stamp_text(instant), "nearest": {"timestamp": stamp_text(r.nearest_ts_ms), "value": r.nearest_value}, "offset_seconds": r.offset_s, **_present(interpolated=r.interpolated, unit=entry.get("unit")), "caveats": caveats}
+        return {"id": id, "at": stamp_text(instant), "nearest": {"timestamp": stamp_text(r.nearest_ts_ms), "value": r.nearest_value},
+            "offset_seconds": r.offset_s, **_present(interpolated=r.interpolated, unit=entry.get("unit")), "caveats": caveats}
 
     # --- several series
 
@@ -396,5 +404,6 @@ class Engine:
         return {
             "id_a": id_a, "id_b": id_b, "analyzed_range": self._range(lo, hi), "bucket": _width_text(width), "max_lag_scanned_seconds": shifts * width / 1000,
             **_present(best_lag_seconds=r.best_lag_s, pearson_at_best_lag=_round(r.pearson_at_best, 6)), "aligned_samples_at_best_lag": r.aligned_at_best or 0,
-            **_present(pearson_at_zero_lag=_round(r.pearson_at_zero, 6)), "aligned_samples_at_zero_lag": r.aligned_at_zero or 0, **_present(unit_a=ea.get("unit"), unit_b=eb.get("unit")), "caveats": caveats,
+            **_present(pearson_at_zero_lag=_round(r.pearson_at_zero, 6)), "aligned_samples_at_zero_lag": r.aligned_at_zero or 0,
+                **_present(unit_a=ea.get("unit"), unit_b=eb.get("unit")), "caveats": caveats,
         }

@@ -106,7 +106,8 @@ def read(spark: SparkSession, path: str, timestamp_col: str | None = None, value
     cells_before = raw.toDF(*[f"c{i}" for i in range(len(header))]).withColumn("seq", F.monotonically_increasing_id())
     cells = cells_before.where(F.coalesce(F.col(f"c{at}"), F.lit("")) != "").withColumn("ts_ms", stamp_ms(F.col(f"c{at}")))
     pairs = F.explode(F.array(*[F.struct(F.lit(header[i]).alias("column"), F.col(f"c{i}").alias("cell")) for i in values]))
-    long = cells.select("seq", F.col(f"c{at}").alias("stamp"), "ts_ms", pairs.alias("x")).select("seq", "stamp", "ts_ms", "x.column", "x.cell").where("cell IS NOT NULL AND cell <> ''").withColumn("value", number(F.col("cell")))
+    long = cells.select("seq", F.col(f"c{at}").alias("stamp"), "ts_ms", pairs.alias("x")).select("seq", "stamp", "ts_ms", "x.column",
+        "x.cell").where("cell IS NOT NULL AND cell <> ''").withColumn("value", number(F.col("cell")))
 
     def row_of(seq: int) -> int:
         """The number of a row, with the header as the first; only asked for when something is wrong."""

@@ -41,7 +41,8 @@ def window(series: DataFrame, start_ms: int | None = None, end_ms: int | None =
 
 def read(spark: SparkSession, path: str, stamp: str, value: str, seq: str, group: str, prefix: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     table = within(spark.read.parquet(path), stamp, start_ms, end_ms)
-    return table.select(F.concat(F.lit(prefix), F.col(group)).alias("dataset_id"), millis(F.col(stamp)).alias("ts_ms"), F.col(value).cast("double").alias("value"), F.col(seq).cast("long").alias("seq"))
+    return table.select(F.concat(F.lit(prefix), F.col(group)).alias("dataset_id"), millis(F.col(stamp)).alias("ts_ms"),
+        F.col(value).cast("double").alias("value"), F.col(seq).cast("long").alias("seq"))
 
 
 def events(spark: SparkSession, sf_dir: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:

@@ -112,10 +112,13 @@ class Store:
                 raise
 
     def _entry(self, dataset_id: str, path: str, column: str, stamp: str, unit: str | None, count: int, lo: int, hi: int, parent: str = "", origin: str | None = None, fraction: bool = True) -> dict:
-        made = {"id": dataset_id, "kind": "measurement", "source_path": path, "source_column": column, "created_at": stamp_text(int(datetime.now(timezone.utc).timestamp() * 1000), False), "timestamp_column": stamp, "row_count": count, "time_range": {"start": stamp_text(lo, fraction), "end": stamp_text(hi, fraction)}, "parent_id": parent}
+        made = {"id": dataset_id, "kind": "measurement", "source_path": path, "source_column": column,
+            "created_at": stamp_text(int(datetime.now(timezone.utc).timestamp() * 1000), False), "timestamp_column": stamp, "row_count": count,
+            "time_range": {"start": stamp_text(lo, fraction), "end": stamp_text(hi, fraction)}, "parent_id": parent}
         return made | ({"unit": unit} if unit else {}) | ({"origin": origin} if origin else {})
 
-    def ingest_csv(self, path: str, name: str | None = None, timestamp_col: str | None = None, value_cols: list[str] | None = None, units: dict[str, str] | None = None, multi_line: bool = True) -> list[dict]:
+    def ingest_csv(self, path: str, name: str | None = None, timestamp_col: str | None = None, value_cols: list[str] | None = None,
+        units: dict[str, str] | None = None, multi_line: bool = True) -> list[dict]:
         """One dataset per channel, all written in one job, committed together; returns the entries in order of the columns."""
         parsed = csv.read(self.spark, path, timestamp_col, value_cols, multi_line, validate=False)
         base = slug(name or re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1]))
@@ -135,7 +138,8 @@ class Store:
                 if csv.UNREADABLE in str(e):
                     parsed.check()  # names the row
                 raise
-            told = {r.channel: r for r in self.spark.read.parquet(self.files.uri(draft)).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_millis("timestamp")).alias("lo"), F.max(F.unix_millis("timestamp")).alias("hi")).collect()}
+            told = {r.channel: r for r in self.spark.read.parquet(self.files.uri(draft)).groupBy("channel").agg(F.count(F.lit(1)).alias("n"),
+                F.min(F.unix_millis("timestamp")).alias("lo"), F.max(F.unix_millis("timestamp")).alias("hi")).collect()}
             made, moved = [], []
             for c, i in numbers.items():
                 if i not in told:
