@@ -670,6 +670,21 @@ def test_benchmark(spark, small, edge, table):
     assert decontaminate.clean(edge, items.where("false")).count() == edge.count()
 
 
+def test_the_sieve_stays_below_the_join(spark, table):
+    """Only rows that pass the sieve are shuffled: the optimiser must not move the exact join below it."""
+    keys = table.limit(5).selectExpr("xxhash64(doc_id) AS k")
+    rows = table.selectExpr("doc_id", "text", "xxhash64(doc_id) AS h")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        passed = common.sifted(rows, "h", keys, "k")
+        for made in (passed.join(keys, passed["h"] == keys["k"]), common.without(passed, keys, passed["h"] == keys["k"], "k")):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_the_sketch_decides_what_is_verified(spark):
     """Candidates are found by the sketch alone, and a sieve loses no row and stays small."""
     item = prose(71, 60, 10_000)

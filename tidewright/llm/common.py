@@ -126,9 +126,15 @@ def sieve(keys: DataFrame, column: str) -> DataFrame:
 def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str, among: bool = True) -> DataFrame:
     """The rows whose hash may be among the keys (or, ``among=False``, surely isn't), without shuffling them.
 
-    Only the sieve is broadcast, whose size is bounded whatever the number of keys.
+    Only the sieve is broadcast, whose size is bounded whatever the number of keys.  What passes is to be joined with the keys by an
+    inner join or ``without``: the optimiser moves semi and anti joins below the sieve, and then all rows are shuffled.
     """
     held = F.broadcast(sieve(keys, key).withColumnsRenamed({"slot": "__slot", "bits": "__bits"}))
     met = rows.join(held, _slot(F.col(column)) == F.col("__slot"), "inner" if among else "left")
     hit = F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(_mask(F.col(column))) == _mask(F.col(column))
     return met.where(hit if among else ~hit).select(*rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, same: Column, column: str) -> DataFrame:
+    """The rows that no row of ``gone`` (distinct; ``column`` has no nulls) is the same as: an anti join that stays where it is."""
+    return rows.join(gone, same, "left").where(F.col(column).isNull()).select(*rows.columns)

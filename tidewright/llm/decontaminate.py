@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SIMILARITY_PERCENT, cut, lower_ascii, sifted, split_words
+from tidewright.llm.common import SIMILARITY_PERCENT, cut, lower_ascii, sifted, split_words, without
 from tidewright.llm.fingerprint import shingle_hashes
 
 
@@ -62,7 +62,7 @@ def candidates(docs: DataFrame, sought: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, sought: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``doc_id, doc, item_id, n_shared, n_item`` of the candidate pairs that reach ``percent``."""
     wanted = pairs.select(F.col("doc").alias("w_doc")).distinct()
-    few = sifted(docs, "doc", wanted, "w_doc").join(wanted, F.col("doc") == F.col("w_doc"), "left_semi").dropDuplicates(["doc_id", "doc"])
+    few = sifted(docs, "doc", wanted, "w_doc").join(wanted, F.col("doc") == F.col("w_doc")).dropDuplicates(["doc_id", "doc"])
     met = few.select("doc_id", "doc", F.explode(_set()).alias("d_hash")).join(sought.drop("in_sketch"), F.col("d_hash") == F.col("hash"))
     counted = met.groupBy("doc_id", "doc", "item_id", "item", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     among = pairs.select(F.col("doc").alias("p_doc"), F.col("item").alias("p_item"))
@@ -88,7 +88,7 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT,
     held = cut(_found(docs, items, percent, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__held_id"), F.col("doc").alias("__held")).distinct())
     rows = docs.withColumn("__doc", row_key(id_col, text_col))
     same = (F.col("__doc") == F.col("__held")) & F.col(id_col).cast("long").eqNullSafe(F.col("__held_id"))
-    doubtful = sifted(rows, "__doc", held, "__held").join(held, same, "left_anti")
+    doubtful = without(sifted(rows, "__doc", held, "__held"), held, same, "__held")
     return sifted(rows, "__doc", held, "__held", among=False).unionByName(doubtful).drop("__doc")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
-from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii, sifted
+from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii, sifted, without
 from tidewright.llm.graph import components
 from tidewright.llm.hashing import Spans, U, distinct, mix
 from tidewright.llm.substring_dedup import member, words_of
@@ -453,7 +453,8 @@ def representatives(docs: DataFrame, percent: int = SIMILARITY_PERCENT, *, id_co
     doubt = cut(judged.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone"), "stays", _row_key("doc_id", "digest").alias("__key")))
     rows = docs.withColumn("__digest", _digest(F.coalesce(text_col, F.lit("")))).withColumn("__row", _row_key(id_col, "__digest"))
     gone = doubt.where("NOT stays").select("__id", "__gone")
-    few = sifted(rows, "__row", doubt, "__key").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone"))
+    few = without(sifted(rows, "__row", doubt, "__key"), gone, same, "__gone")
     return sifted(rows, "__row", doubt, "__key", among=False).unionByName(few.dropDuplicates([id_col, "__digest"])).drop("__digest", "__row")
 
 

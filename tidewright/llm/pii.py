@@ -138,7 +138,7 @@ def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     sought = wanted.select(F.col("term").alias("w"), F.xxhash64("term").alias("w_hash"))
     passed = sifted(each.withColumn("hash", F.xxhash64("term")), "hash", sought, "w_hash")
     counted = passed.groupBy("term").agg(F.count_if(F.col("g") == 0).alias("in_lines"), F.count_if(F.col("g") == 1).alias("in_docs"))
-    return counted.join(sought, F.col("term") == F.col("w"), "left_semi").withColumnRenamed("term", "w")
+    return counted.join(sought, F.col("term") == F.col("w")).select("w", "in_lines", "in_docs")
 
 
 def disclosures(lines: DataFrame, texts: DataFrame, n_lines: int, n_docs: int, threshold: float) -> DataFrame:

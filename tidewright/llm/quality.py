@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, sifted, split_words
+from tidewright.llm.common import cut, sifted, split_words, without
 from tidewright.llm.fingerprint import shingle_hashes
 
 MAX_LABELLED = 20_000
@@ -234,7 +234,8 @@ def stage(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     scored = classify(site, fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels), host_col="__source", path_col="__lang", text_col="__text", keep_text=False)
     bad = cut(scored.where("rejected").select(F.col("__row").alias("__bad"), F.col("__id").alias("__bad_id")).distinct())
     rows = docs.withColumn("__row", row)
-    doubtful = sifted(rows, "__row", bad, "__bad").join(bad, (F.col("__row") == F.col("__bad")) & F.col(id_col).eqNullSafe(F.col("__bad_id")), "left_anti")
+    same = (F.col("__row") == F.col("__bad")) & F.col(id_col).eqNullSafe(F.col("__bad_id"))
+    doubtful = without(sifted(rows, "__row", bad, "__bad"), bad, same, "__bad")
     return sifted(rows, "__row", bad, "__bad", among=False).unionByName(doubtful).select(*docs.columns)
 
 
