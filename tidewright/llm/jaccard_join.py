@@ -273,7 +273,7 @@ def region_edges(sets: DataFrame, members: DataFrame, percent: int, rows: int) -
         # Spark splits the rows of a large region if neither they nor what they are joined with are aggregated in the same stage
         members = cut(members, free=False)
         sizes = cut(members.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), free=False)
-        sized = cut(members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size"), free=False)
+        sized = cut(members.join(sizes, F.col("region") == F.col("__r")).select("vertex", "region", "label", "size"))
         with_body = sized.join(bodies, F.col("vertex") == F.col("__s")).select("vertex", "region", "label", "size", "tokens")
         # edges are few; plans stay small if each round is settled by itself
         most = PAIRED if level < LEVELS else LAST
