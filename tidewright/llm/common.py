@@ -51,13 +51,17 @@ def _context_dir(spark: SparkSession) -> str | None:
 def cut(df: DataFrame, free: bool = True) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder, and lets go of shuffles, plans and code that nothing needs any more.
 
-    Freeing costs a full collection of garbage; loops of small steps go without (``free=False``).
+    Freeing costs a full collection of garbage; loops of small steps go without (``free=False``).  The estimate of the size goes
+    too: Spark keeps it over a checkpoint, a join multiplies those of its sides, and so in a loop its digits double each round.
     """
     where = shared_dir(df.sparkSession)
     if not _context_dir(df.sparkSession):
         df.sparkSession.sparkContext.setCheckpointDir(where)
-    out = df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    rows = done._jdf.queryExecution().analyzed().rdd()
+    out = DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
     if free:
+        del done, rows
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector
     return out

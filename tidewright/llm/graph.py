@@ -17,9 +17,9 @@ FEW = 10_000  # edges that one task joins
 def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """``v, c`` for every vertex of ``edges (a, b)``: c is the smallest vertex that v reaches.
 
-    Up to ``few`` edges are joined in one task.  Beyond, each round takes the smallest label among the neighbours and then the
-    label's own label, so that paths halve; rounds go on until nothing changes.  Only numbers of edges and changes
-    come to the driver.  No edges give no rows.
+    Up to ``few`` edges are joined in one task.  Beyond, each round takes the smallest label among the neighbours, for a vertex and
+    for what it is labelled by (else a label would have to walk to it edge by edge), and then the label's own label, so that
+    paths halve; rounds go on until nothing changes.  Only numbers of edges and changes come to the driver.  No edges give no rows.
     """
     once = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     if once.limit(few + 1).count() <= few:
@@ -29,6 +29,8 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
         met = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "n").alias("m"))
+        told = met.union(met.select(F.col("was").alias("v"), F.lit(None).cast("long").alias("was"), "m"))
+        met = told.groupBy("v").agg(F.max("was").alias("was"), F.min("m").alias("m"))
         jump = labels.select(F.col("v").alias("m"), F.col("c").alias("j"))
         fresh = cut(met.join(jump, "m").select("v", "was", F.least("m", "j").alias("c")), free=False)
         changed = fresh.where("c <> was").limit(1).count()
