@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import common, graph
+from tidewright.llm import common, graph, line_dedup
 
 
 def test_estimates_do_not_grow_with_rounds(spark):
@@ -24,3 +27,22 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
     ids = [r.a for r in edges.select("a").union(edges.select("b")).distinct().collect()]
     assert {(r.v, r.c) for r in found.collect()} == {(v, min(ids)) for v in ids}
     assert cuts.count(False) <= 16
+
+
+@pytest.mark.parametrize("least", [1, 6])
+def test_lines_are_deleted_whatever_earlier_document_aligns(spark, least):
+    """60 documents in which lines stand in many orders: as many partners as there are earlier documents."""
+    rng, texts = random.Random(5), []
+    lines = [f"line {i} is {'long enough to stand alone' if i % 2 else ''}" for i in range(14)]
+    for _ in range(60):
+        some = rng.sample(lines, 9)
+        texts.append("\n".join([*some, rng.choice(some), rng.choice(some)]))
+    numbers = {x.strip(): i for i, x in enumerate(lines, 1)}
+    code = [[numbers[x.strip()] for x in t.split("\n")] for t in texts]
+    want = []
+    for d, b in enumerate(code):
+        size = [len(x.split()) for x in texts[d].split("\n")]
+        lost = {i for a in code[:d] for i in line_dedup.deletable(a, b, size, least)}
+        want.append("\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in lost))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(table, least).collect()} == dict(enumerate(want))

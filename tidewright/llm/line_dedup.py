@@ -4,7 +4,9 @@
    lines, rare or frequent.  These are star edges: a line in m documents makes at most m - 1 pairs.  So that a block meets a
    document that holds it whole, it is also paired with the earliest documents that have its runs of shared lines: two
    neighbours (and the empty lines between), and the shortest runs of ``min_words`` that begin or end at a line.  Where a line is
-   left after that (it stands in another order), further partners are up to ``HOLDERS`` other early holders of the line.
+   left after that (it stands in another order), further partners are other earlier holders of the line (of its runs, if it has fewer
+   than ``min_words``): the first of each of ``HOLDERS`` classes, then of more classes, in the end all of them.  So a line is deleted
+   if alignment with any earlier document deletes it; copies of a holder are not aligned again.
 2. Each pair is aligned by patience diff: common beginnings and ends, then lines unique on both sides in their
    longest increasing order, then the gaps between them.
 3. Aligned common blocks of at least ``min_words`` words are deleted from the later document; the query and the pipeline
@@ -33,7 +35,8 @@ from tidewright.llm.common import cut, sifted, split_words
 
 MIN_WORDS = 10
 PAIRS = 2_000  # of one owner that are dealt out together
-HOLDERS = 8
+HOLDERS = 8  # classes of the first round of further holders; a round has as many times more
+CLASSES = 4_096  # beyond, all holders are partners
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,8 +124,23 @@ def spans_of(lines: list[int], words: list[int], shared: set[int], min_words: in
 def runs(lines: list[int], words: list[int], shared: set[int], min_words: int) -> set[int]:
     """Hashes of the runs of two lines or more."""
     found = spans_of(lines, words, shared, min_words)
-    hashed = (blake2b(array("q", lines[i : j + 1]).tobytes(), digest_size=8).digest() for i, j in found if i < j)
-    return {int.from_bytes(x, "little", signed=True) for x in hashed}
+    return {_run_hash(lines[i : j + 1]) for i, j in found if i < j}
+
+
+def _run_hash(lines: list[int]) -> int:
+    return int.from_bytes(blake2b(array("q", lines).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def sought_units(lines: list[int], words: list[int], shared: set[int], removed: set[int], min_words: int) -> set[int]:
+    """Lines and hashes of runs, one of which any document must hold that could still delete a line of this one."""
+    still = [i for i, x in enumerate(lines) if x in shared and i not in removed]
+    out = {lines[i] for i in still if words[i] >= min_words}
+    short = [i for i in still if words[i] < min_words]
+    for i, j in spans_of(lines, words, shared, min_words) if short else ():
+        k = bisect_left(short, i)
+        if i < j and k < len(short) and short[k] <= j and sum(words[i : j + 1]) >= min_words:
+            out.add(_run_hash(lines[i : j + 1]))
+    return out
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,31 +154,56 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_
     owner = cut(each.groupBy("line").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = each.join(owner, "line")
     own = rows.dropDuplicates(["doc"])
-    several = shared.groupBy("doc").agg(F.collect_list("line").alias("shared")).where(F.size("shared") > 1)
-    met_lines = own.join(several, "doc").select("doc", "lines", "words", "shared")
+    met_lines = own.join(shared.groupBy("doc").agg(F.collect_list("line").alias("shared")), "doc").select("doc", "lines", "words", "shared")
+    # one line alone makes a run only with itself, which matters where lines are too short
+    several = met_lines.where(F.size("shared") > 1) if min_words <= 1 else met_lines
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = [list(runs(x, w, set(s), min_words)) for x, w, s in zip(part["lines"].to_pylist(), part["words"].to_pylist(), part["shared"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part["doc"], pa.array(found, pa.list_(pa.int64()))], names=["doc", "runs"])
 
-    held = cut(met_lines.mapInArrow(find, f"doc {met_lines.schema['doc'].dataType.simpleString()}, runs array<bigint>").where(F.size("runs") > 0)).select("doc", F.explode("runs").alias("run"))
+    held = cut(several.mapInArrow(find, f"doc {met_lines.schema['doc'].dataType.simpleString()}, runs array<bigint>").where(F.size("runs") > 0)).select("doc", F.explode("runs").alias("run"))
     first_held = cut(held.groupBy("run").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), free=False)
     pairs = cut(shared.select("doc", "owner").union(held.join(first_held, "run").select("doc", "owner")).where("doc <> owner").distinct())
     gone = cut(_aligned(pairs, own, min_words))
     # lines that are left though an earlier document has them, because they stand in another order there: further holders
+    first, holding = owner.withColumnRenamed("line", "unit"), each.withColumnRenamed("line", "unit")
+    if min_words > 1:
+        first, holding = first.union(first_held.select("run", "owner")), holding.union(held.select("doc", "run"))
+    left, classes = cut(_left(met_lines, gone, min_words).join(first, "unit").where("doc <> owner").select("doc", "unit")), HOLDERS
+    while left.limit(1).count():
+        sought = cut(left.select(F.col("unit").alias("s_unit")).distinct(), free=False)
+        # the earliest of each class of texts first, a few rows for a unit; then only the units that are sought
+        of = F.col("doc.hash") if classes > CLASSES else F.pmod(F.xxhash64(F.lit(7), "doc.hash"), F.lit(classes))
+        found = sifted(holding, "unit", sought, "s_unit").groupBy("unit", of.alias("of")).agg(F.min("doc").alias("owner"), (F.min("doc.hash") != F.max("doc.hash")).alias("more"))
+        holders = cut(found.join(sought, F.col("unit") == F.col("s_unit")).select("unit", "owner", "more"))
+        more = cut(left.join(holders.select("unit", "owner"), "unit").where("owner < doc").select("doc", "owner").distinct().join(pairs, ["doc", "owner"], "left_anti"))
+        gone = cut(_merged(gone.unionByName(_aligned(more, own, min_words))))
+        pairs = pairs.unionByName(more)
+        # what is known of all its holders now is settled
+        still = cut(holders.where("more").select(F.col("unit").alias("m_unit")).distinct(), free=False)
+        if not still.limit(1).count():
+            break
+        met_lines = cut(met_lines.join(left.select(F.col("doc").alias("l_doc")).distinct(), F.col("doc") == F.col("l_doc"), "left_semi"))
+        again = _left(met_lines, gone, min_words).join(still, F.col("unit") == F.col("m_unit")).select("doc", "unit")
+        left, classes = cut(again.join(left, ["doc", "unit"], "left_semi")), classes * HOLDERS
+    return gone
+
+
+def _left(met_lines: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """``doc, unit``: what an earlier document must hold to delete a line that is left of ``met_lines (doc, lines, words, shared)``."""
     lost = gone.select(F.col("doc").alias("g_doc"), "removed")
-    with_lost = met_lines.join(lost, F.col("doc") == F.col("g_doc"), "left")
-    places = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: ~F.coalesce(F.array_contains("removed", x["i"]), F.lit(False)))
-    left = with_lost.select("doc", F.explode(F.array_intersect("shared", F.transform(places, lambda x: x["line"]))).alias("line"))
-    left = cut(left.join(owner, "line").where("doc <> owner").select("doc", "line"))
-    sought = cut(left.select(F.col("line").alias("s_line")).distinct(), free=False)
-    # the earliest of each hash class first, a few rows for a line; then only the lines that are sought
-    of = F.pmod(F.xxhash64(F.lit(7), "doc"), F.lit(HOLDERS)).alias("of")
-    holders = sifted(each, "line", sought, "s_line").groupBy("line", of).agg(F.min("doc").alias("owner")).join(sought, F.col("line") == F.col("s_line"))
-    more = cut(left.join(holders.select("line", "owner"), "line").where("owner < doc").select("doc", "owner").distinct())
-    both = gone.unionByName(_aligned(more, own, min_words))
-    return both.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    rows = met_lines.join(lost, F.col("doc") == F.col("g_doc"), "left").select("doc", "lines", "words", "shared", "removed")
+
+    def seek(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = (part[c].to_pylist() for c in ("lines", "words", "shared", "removed"))
+            found = [list(sought_units(x, w, set(s), set(r or ()), min_words)) for x, w, s, r in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([part["doc"], pa.array(found, pa.list_(pa.int64()))], names=["doc", "units"])
+
+    units = rows.mapInArrow(seek, f"doc {rows.schema['doc'].dataType.simpleString()}, units array<bigint>")
+    return units.select("doc", F.explode("units").alias("unit"))
 
 
 def _aligned(pairs: DataFrame, own: DataFrame, min_words: int) -> DataFrame:
@@ -177,7 +220,10 @@ def _aligned(pairs: DataFrame, own: DataFrame, min_words: int) -> DataFrame:
             found = [deletable(a, b, w, min_words) for a, b, w in zip(part["o_lines"].to_pylist(), part["lines"].to_pylist(), part["words"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part["doc"], pa.array(found, pa.list_(pa.int32()))], names=["doc", "removed"])
 
-    aligned = met.mapInArrow(run, f"doc {met.schema['doc'].dataType.simpleString()}, removed array<int>").where(F.size("removed") > 0)
+    return _merged(met.mapInArrow(run, f"doc {met.schema['doc'].dataType.simpleString()}, removed array<int>").where(F.size("removed") > 0))
+
+
+def _merged(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
