@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import common, graph, line_dedup
+from tidewright.llm import common, graph, jaccard_join, line_dedup
 
 
 def test_estimates_do_not_grow_with_rounds(spark):
@@ -46,3 +47,14 @@ def test_lines_are_deleted_whatever_earlier_document_aligns(spark, least):
         want.append("\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in lost))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.deduplicate(table, least).collect()} == dict(enumerate(want))
+
+
+def test_links_at_the_edge_of_two_distances_are_found():
+    """Pivot and outsider are exactly 2e apart; only what lies within e of both connects them."""
+    whole = set(range(20))
+    pivot, other = whole - set(range(4)), whole - set(range(4, 8))
+    sets = [pivot, *(pivot | {100 + i} for i in range(30)), whole, other]
+    join = jaccard_join.Join([np.array(sorted(x), np.uint64) for x in sets], 80)
+    assert join.central(np.arange(len(sets))) == 0 and join.links(len(sets) - 2, len(sets) - 1)
+    join.run(np.arange(len(sets)))
+    assert len(np.unique(join.roots(np.arange(len(sets))))) == 1

@@ -141,7 +141,7 @@ class Join:
             if not len(outside):
                 return
             inner = some[near <= self.e]
-            if not (near[near > self.e] <= 2 * self.e).any():
+            if not (near[near > self.e] <= 2 * self.e + 1e-9).any():
                 some = outside
                 continue
             break
