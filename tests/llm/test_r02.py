@@ -58,3 +58,22 @@ def test_links_at_the_edge_of_two_distances_are_found():
     assert join.central(np.arange(len(sets))) == 0 and join.links(len(sets) - 2, len(sets) - 1)
     join.run(np.arange(len(sets)))
     assert len(np.unique(join.roots(np.arange(len(sets))))) == 1
+
+
+def test_a_sieve_is_told_in_few_rows(spark):
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("h"))
+    assert common.sieve(keys, "h").count() <= common.SLOTS // 64
+    rows = spark.range(100).select(F.xxhash64(F.col("id") * 3001).alias("h")).union(spark.createDataFrame([(None,), (-1,), (0,), (1 << 62,), (-(1 << 63),)], "h long"))
+    for n in (0, 1, 64, 300_000):
+        few = keys.limit(n)
+
+        def word(h: int) -> int:
+            return 1 << (h >> 32 & 63) | 1 << (h >> 40 & 63)
+
+        words = {}
+        for r in few.collect():
+            words[r.h % common.SLOTS] = words.get(r.h % common.SLOTS, 0) | word(r.h)
+        want = sorted(r.h for r in rows.collect() if r.h is not None and words.get(r.h % common.SLOTS, 0) & word(r.h) == word(r.h))
+        assert sorted(r.h for r in common.sifted(rows, "h", few, "h").collect()) == want
+        left = common.sifted(rows, "h", few, "h", among=False)
+        assert sorted(r.h for r in left.collect() if r.h is not None) == sorted(r.h for r in rows.collect() if r.h is not None and r.h not in want)

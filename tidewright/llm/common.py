@@ -109,7 +109,7 @@ def chunks_for(docs: DataFrame, text_col: str = "text") -> tuple[int, int, int,
     return chunks, *bucket_counts(chunks, total), total
 
 
-#: Words of 64 bits in a sieve; it is what a broadcast of one holds at most.
+#: Words of 64 bits in a sieve; it is what a broadcast of one holds at most, 64 of them a row.
 SLOTS = 1 << 20
 
 
@@ -122,9 +122,25 @@ def _mask(value: Column) -> Column:
     return bit(32).bitwiseOR(bit(40))
 
 
+def _row(slot: Column) -> Column:
+    return F.shiftright(slot, 6)
+
+
+def _shifted(value: int, slot: Column) -> Column:
+    """Shifted to the left by the place of a slot in its row."""
+    return F.call_function("shiftleft", F.lit(value).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def sieve(keys: DataFrame, column: str) -> DataFrame:
-    """A Bloom filter of 64-bit hashes as a table of at most ``SLOTS`` rows: ``slot, bits``."""
-    return keys.groupBy(_slot(F.col(column)).alias("slot")).agg(F.bit_or(_mask(F.col(column))).alias("bits"))
+    """A Bloom filter of 64-bit hashes as a table of at most ``SLOTS / 64`` rows: ``row, present, words``.
+
+    A row has the words that aren't 0, in order, and tells by bits which these are.  Rows of one word each would take ten
+    times the memory where they are hashed for a broadcast, in the driver and in every executor.
+    """
+    dealt = keys.select(_slot(F.col(column)).alias("slot"), _mask(F.col(column)).alias("mask")).withColumn("row", _row(F.col("slot"))).repartition("row")
+    words = dealt.groupBy("row", "slot").agg(F.bit_or("mask").alias("bits"))
+    whole = words.groupBy("row").agg(F.bit_or(_shifted(1, F.col("slot"))).alias("present"), F.sort_array(F.collect_list(F.struct("slot", "bits"))).alias("words"))
+    return whole.select("row", "present", F.transform("words", lambda w: w["bits"]).alias("words"))
 
 
 def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str, among: bool = True) -> DataFrame:
@@ -133,9 +149,12 @@ def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str, among: bool
     Only the sieve is broadcast, whose size is bounded whatever the number of keys.  What passes is to be joined with the keys by an
     inner join or ``without``: the optimiser moves semi and anti joins below the sieve, and then all rows are shuffled.
     """
-    held = F.broadcast(sieve(keys, key).withColumnsRenamed({"slot": "__slot", "bits": "__bits"}))
-    met = rows.join(held, _slot(F.col(column)) == F.col("__slot"), "inner" if among else "left")
-    hit = F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(_mask(F.col(column))) == _mask(F.col(column))
+    held = F.broadcast(sieve(keys, key).withColumnsRenamed({"row": "__at", "present": "__present", "words": "__words"}))
+    slot = _slot(F.col(column))
+    met = rows.join(held, _row(slot) == F.col("__at"), "inner" if among else "left")
+    # the words before this one are counted by their bits
+    word = F.when(F.col("__present").bitwiseAND(_shifted(1, slot)) != 0, F.get("__words", F.bit_count(F.col("__present").bitwiseAND(F.bitwise_not(_shifted(-1, slot))))))
+    hit = F.coalesce(word, F.lit(0)).bitwiseAND(_mask(F.col(column))) == _mask(F.col(column))
     return met.where(hit if among else ~hit).select(*rows.columns)
 
 
