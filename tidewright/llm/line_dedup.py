@@ -145,15 +145,19 @@ def sought_units(lines: list[int], words: list[int], shared: set[int], removed:
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc (key), removed (line numbers)`` for documents that lose lines."""
-    line = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x09-\x0D]", " ")))
-    rows = docs.select(_key(id_col, text_col).alias("doc"), F.transform(line, lambda x: F.when(x == "",
-        F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("lines"), F.transform(line, lambda x: F.size(split_words(x))).alias("words"))
-    rows = cut(rows)
-    each = rows.select("doc", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0").distinct()
+    text = F.coalesce(text_col, F.lit(""))
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    split = docs.select(_key(id_col, text_col).alias("doc"), F.transform(F.split(text, "\n"), lambda x: F.trim(x)).alias("line"))
+    hashed = F.transform("line", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("lines")
+    # with a bound of one word it only matters which lines are empty
+    words = F.transform("line", lambda x: (x != "").cast("int") if min_words <= 1 else F.size(split_words(x))).alias("words")
+    # repeated rows go before lines are dealt out, so that these needn't be told apart
+    own = cut(split.select("doc", hashed, words).dropDuplicates(["doc"]))
+    each = own.select("doc", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     # a frequent line's rows are split by Spark if what they are joined with is no aggregate in the same stage
     owner = cut(each.groupBy("line").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = each.join(owner, "line")
-    own = rows.dropDuplicates(["doc"])
     met_lines = own.join(shared.groupBy("doc").agg(F.collect_list("line").alias("shared")), "doc").select("doc", "lines", "words", "shared")
     # one line alone makes a run only with itself, which matters where lines are too short
     several = met_lines.where(F.size("shared") > 1) if min_words <= 1 else met_lines
