@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 
 import numpy as np
@@ -93,3 +94,27 @@ def test_lines_are_read_without_patterns_and_dealt_out_once(spark, monkeypatch):
         (4, "", 1, 1), (5, "", 0, 0), (6, "", 1, 0), (7, "", 1, 1), (99, "", 1, 1)]
     assert not any("regexp" in p or "x20" in p for p in plans)
     assert not any("Aggregate [doc#" in line and "line#" in line.split("]")[0] for p in plans for line in p.splitlines())
+
+
+def test_workers_give_back_what_a_group_has_freed():
+    """Idle Python workers of the pipeline held what the largest group had taken."""
+    kept = []
+
+    def resident() -> int:
+        return int(open("/proc/self/statm").read().split()[1]) >> 8  # MB, of pages of 4 KiB
+
+    def fill(key, t) -> int:
+        some = [np.ones(7_000) for _ in range(3_000)]  # too small to be mapped one by one
+        kept.append(some[-1])  # the end of the heap stays in use
+        return len(some)
+
+    def each(parts):
+        for part in parts:
+            yield fill(None, part)
+
+    assert inspect.getfullargspec(common.thrifty(fill)).args == ["key", "t"]
+    common.release()
+    before = resident()
+    assert fill(None, None) == 3_000 and resident() > before + 100
+    assert common.thrifty(fill)(None, None) == 3_000 and resident() < before + 40
+    assert list(common.thrifty(each)(iter([1, 2]))) == [3_000, 3_000] and resident() < before + 40

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import thrifty
+
 SENT = "chunk int, bucket int, body binary"
 KEY_BYTES = 5
 Emit = Callable[[pa.Table], np.ndarray]
@@ -98,7 +100,7 @@ def repeated(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.n
         bodies = [_body(told[j - len(p[0]) : j], crowded[j - len(p[0]) : j]) for p, j in zip(parts, ends, strict=True)]
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(bodies, pa.binary())})
 
-    return dealt.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT)
+    return dealt.groupBy("chunk").applyInArrow(thrifty(send), SENT).groupBy("bucket").applyInArrow(thrifty(answer), SENT)
 
 
 def weights(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int, width: int = 4) -> DataFrame:
@@ -125,7 +127,7 @@ def weights(dealt: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, np.nd
         ends = np.cumsum([len(p[0]) for p in parts])
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array([told[j - len(p[0]) : j].tobytes() for p, j in zip(parts, ends, strict=True)], pa.binary())})
 
-    return dealt.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(answer, SENT)
+    return dealt.groupBy("chunk").applyInArrow(thrifty(send), SENT).groupBy("bucket").applyInArrow(thrifty(answer), SENT)
 
 
 def read_weights(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import exchange as X
-from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii, sifted, without
+from tidewright.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, chunks_for, cut, lower_ascii, sifted, thrifty, without
 from tidewright.llm.graph import components
 from tidewright.llm.hashing import Spans, U, distinct, mix
 from tidewright.llm.substring_dedup import member, words_of
@@ -229,7 +229,7 @@ def classes(docs: DataFrame, percent: int, chunks: int | None = None) -> DataFra
         return _class_table(out)
 
     answers = X.weights(dealt, emit, buckets)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, CLASSES)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(thrifty(keep), CLASSES)
 
 
 def _class_table(rows: list[tuple]) -> pa.Table:
@@ -381,7 +381,7 @@ def _measured(rows: DataFrame, percent: int) -> DataFrame:
         return pa.table(columns, names=["vertex", "region", "label", "size", "tokens", "nearest", "near"])
 
     schema = "vertex long, region long, label long, size long, tokens binary, nearest long, near array<struct<p:long,d:double>>"
-    return dealt.groupBy("region", "own").cogroup(copies.groupBy("of", "own")).applyInArrow(measure, schema)
+    return dealt.groupBy("region", "own").cogroup(copies.groupBy("of", "own")).applyInArrow(thrifty(measure), schema)
 
 
 def _across(measured: DataFrame, percent: int) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, sifted, split_words
+from tidewright.llm.common import cut, sifted, split_words, thrifty
 
 MIN_WORDS = 10
 PAIRS = 2_000  # of one owner that are dealt out together
@@ -167,7 +167,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_
             found = [list(runs(x, w, set(s), min_words)) for x, w, s in zip(part["lines"].to_pylist(), part["words"].to_pylist(), part["shared"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part["doc"], pa.array(found, pa.list_(pa.int64()))], names=["doc", "runs"])
 
-    held = cut(several.mapInArrow(find, f"doc {met_lines.schema['doc'].dataType.simpleString()}, runs array<bigint>").where(F.size("runs") > 0)).select("doc", F.explode("runs").alias("run"))
+    held = cut(several.mapInArrow(thrifty(find), f"doc {met_lines.schema['doc'].dataType.simpleString()}, runs array<bigint>").where(F.size("runs") > 0)).select("doc", F.explode("runs").alias("run"))
     first_held = cut(held.groupBy("run").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), free=False)
     pairs = cut(shared.select("doc", "owner").union(held.join(first_held, "run").select("doc", "owner")).where("doc <> owner").distinct())
     gone = cut(_aligned(pairs, own, min_words))
@@ -206,7 +206,7 @@ def _left(met_lines: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
             found = [list(sought_units(x, w, set(s), set(r or ()), min_words)) for x, w, s, r in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([part["doc"], pa.array(found, pa.list_(pa.int64()))], names=["doc", "units"])
 
-    units = rows.mapInArrow(seek, f"doc {rows.schema['doc'].dataType.simpleString()}, units array<bigint>")
+    units = rows.mapInArrow(thrifty(seek), f"doc {rows.schema['doc'].dataType.simpleString()}, units array<bigint>")
     return units.select("doc", F.explode("units").alias("unit"))
 
 
@@ -224,7 +224,7 @@ def _aligned(pairs: DataFrame, own: DataFrame, min_words: int) -> DataFrame:
             found = [deletable(a, b, w, min_words) for a, b, w in zip(part["o_lines"].to_pylist(), part["lines"].to_pylist(), part["words"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part["doc"], pa.array(found, pa.list_(pa.int32()))], names=["doc", "removed"])
 
-    return _merged(met.mapInArrow(run, f"doc {met.schema['doc'].dataType.simpleString()}, removed array<int>").where(F.size("removed") > 0))
+    return _merged(met.mapInArrow(thrifty(run), f"doc {met.schema['doc'].dataType.simpleString()}, removed array<int>").where(F.size("removed") > 0))
 
 
 def _merged(aligned: DataFrame) -> DataFrame:

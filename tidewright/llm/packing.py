@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import thrifty
+
 WINDOW = 1024
 END = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern:
             yield ready()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return rows.mapInArrow(thrifty(run), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def public_pack(docs: DataFrame, **more) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, sifted, split_words, without
+from tidewright.llm.common import cut, sifted, split_words, thrifty, without
 from tidewright.llm.fingerprint import shingle_hashes
 
 MAX_LABELLED = 20_000
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
                 found = list(terms(text))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["term", "toxic"])
 
-    sample = rows.select("quality", "toxic", "text").mapInArrow(shapes, "quality int, toxic int, x array<double>").collect()  # at most max_labelled rows of eight numbers
+    sample = rows.select("quality", "toxic", "text").mapInArrow(thrifty(shapes), "quality int, toxic int, x array<double>").collect()  # at most max_labelled rows of eight numbers
     if not sample:
         return Model(None, np.zeros(1), np.ones(1), {}, None)
     x = _bent(np.array([r.x for r in sample]))
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     base = float(toxic.mean())
     sketch = F.slice(F.array_sort(F.array_distinct(shingle_hashes(split_words(F.col("text"))))), 1, FOLD)
     first = F.min("text").alias("text")
-    stats = cut(rows.select("text", "toxic", sketch.alias("sketch")).groupBy("sketch", "toxic").agg(first).select("text", "toxic").mapInArrow(counted,
+    stats = cut(rows.select("text", "toxic", sketch.alias("sketch")).groupBy("sketch", "toxic").agg(first).select("text", "toxic").mapInArrow(thrifty(counted),
         "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n")))
     n0 = F.col("n") - F.col("n1")
     ratio = F.col("n1") * F.log(F.col("n1") / F.col("n") / base) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - base))).otherwise(0.0)
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         for part in parts:
             yield pa.RecordBatch.from_arrays([part["toxic"].cast(pa.int32()), pa.array([model.hits(t) for t in part["text"].to_pylist()], pa.float64())], names=["toxic", "hits"])
 
-    told = rows.select("toxic", "text").mapInArrow(scored, "toxic int, hits double").collect()  # two numbers a row, at most max_labelled
+    told = rows.select("toxic", "text").mapInArrow(thrifty(scored), "toxic int, hits double").collect()  # two numbers a row, at most max_labelled
     model.toxic = logistic(np.array([[r.hits] for r in told]), np.array([r.toxic == 1 for r in told], float), ridge=1e-3)
     return model
 
@@ -171,7 +171,7 @@ def evidence(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(blank, 0.0, found), pa.float64())], names=[*part.schema.names, "__evidence"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, __evidence double")
+    return docs.mapInArrow(thrifty(run), f"{fields}, __evidence double")
 
 
 def _strength(groups: DataFrame, prior: str) -> float:
